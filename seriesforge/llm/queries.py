@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, pii, token_counts, trie_bpe, url_filters, warc
+from . import chat_format, decontaminate, hilbert_search, jaccard_join, language_id, pii, token_counts, trie_bpe, url_filters, warc
 from .vocabulary import default_vocabulary
 
 URL_RULES = (
@@ -27,6 +27,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs, ~language_id.held_out())
@@ -34,10 +38,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[F.col("counts")[k].alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)], F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -56,7 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode_documents(table(spark, sf_dir, "documents"), default_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_language_id, op5_warc, op7_pii, op8_chat_format, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_neighbours, op3_language_id, op4_jaccard, op5_warc, op6_decontaminate, op7_pii, op8_chat_format, op9_token_counts, op10_bpe)}
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2)"
@@ -72,6 +84,11 @@ ORACLE = {
           when {_FITS.format("com", "/")} then 'com/' end as rule from p)
         select page_id, host, path, rule,
           case when rule in ('example.com/en/', 'net/es/', 'net/fr/') then 'block' else 'allow' end as verdict from r""",
+    "op2_neighbours": """
+        with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+        s as (select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 20""",
     "op5_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
         w as (select payload_digest, max(page_id) as winner from p where payload_bytes >= 1000 group by 1)
