@@ -8,7 +8,7 @@ VIEWS = {
         cast(year(o_orderdate) * 12 + month(o_orderdate) - 1 as int) as month_ordinal, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as value
         from orders group by 1, 2, 3, 4""",
     "info": """select s_suppkey as entity, s_acctbal as area, cast(s_suppkey * 37 % 1800 as double) / 10 - 90 as lat, cast(s_suppkey * 73 % 3600 as double) / 10 - 180 as lon,
-        cast(s_nationkey % 3 + 1 as int) as kind, 10000000000 * (n_regionkey + 1) + 100000000 * n_nationkey + s_suppkey as code
+        cast(s_nationkey % 3 + 1 as int) as kind, 10000000000 * (n_regionkey + 1) + 100000000 * cast(n_nationkey as bigint) + s_suppkey as code
         from supplier join nation on s_nationkey = n_nationkey""",
     "frozen": "select entity, month_ordinal from series where (entity + month_ordinal) % 17 < 2",
     "daily": "select user_id as entity, cast(ts as date) as day, value, event_type from events",
