@@ -63,7 +63,7 @@ def token_frequencies(parts: DataFrame, tokens: Sequence[str]) -> dict[str, int]
     """In how many URLs each of the rules' tokens occurs, over all of them."""
     found = F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", "host", "path"), F.lit(f"({_TOKEN.pattern})"), 1))
     wanted = parts.sparkSession.createDataFrame([(t,) for t in tokens], "token string")  # as many as the rules have
-    counts = parts.select(F.explode(found).alias("token")).join(wanted, "token", "left_semi").groupBy("token").count()
+    counts = parts.select(F.explode(found).alias("token")).groupBy("token").count().join(wanted, "token", "left_semi")
     return {r["token"]: r["count"] for r in counts.collect()}
 
 
