@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import return_level
 from ..numerics import hawkes, shift, stl, tails
-from .series import BY_ENTITY
+from .series import by_entity
 
 MESSAGE = 500
 
@@ -56,8 +56,8 @@ def stl_index(rows: DataFrame) -> DataFrame:
 
 def weighted_moments(rows: DataFrame, column: str = "value", orders: int = 4) -> DataFrame:
     """b_0..b_orders of each entity: sums of sorted values with polynomial weights of their rank."""
-    i = F.row_number().over(BY_ENTITY.orderBy(column, "month_ordinal")) - 1
-    ranked = rows.select("entity", F.col(column).alias("z"), i.cast("double").alias("i"), F.count("*").over(BY_ENTITY).cast("double").alias("n"))
+    i = F.row_number().over(by_entity().orderBy(column, "month_ordinal")) - 1
+    ranked = rows.select("entity", F.col(column).alias("z"), i.cast("double").alias("i"), F.count("*").over(by_entity()).cast("double").alias("n"))
     weight, sums = F.lit(1.0), []
     for k in range(orders + 1):
         sums.append(F.avg(weight * F.col("z")).alias(f"b_{k}"))

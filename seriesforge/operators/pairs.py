@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
-from .series import IN_TIME, zscore_events
+from .series import in_time, zscore_events
 
 LEVELS = 11
 
@@ -32,7 +32,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, most_ratio: float = 10.0)
 
 def metrics(rows: DataFrame) -> DataFrame:
     """Population coefficient of variation, range over mean, and the deviation of month-over-month changes in percent."""
-    before = F.lag("value").over(IN_TIME)
+    before = F.lag("value").over(in_time())
     change = rows.withColumn("change", ratio(F.col("value") - before, before) * 100)
     mean = F.avg("value")
     return change.groupBy("entity").agg(F.count("*").alias("n_obs"), ratio(F.stddev_pop("value"), mean).alias("cv"), ratio(F.max("value") - F.min("value"), mean).alias("range_ratio"), F.stddev_pop("change").alias("change_std"))

@@ -95,9 +95,9 @@ def ratio_bins(compared: DataFrame) -> DataFrame:
 
 def legacy_volatility(rows: DataFrame) -> DataFrame:
     """Sample deviation of relative changes over the root of the number of months without change."""
-    from .series import IN_TIME
+    from .series import in_time
 
-    before = F.lag("value").over(IN_TIME)
+    before = F.lag("value").over(in_time())
     change = rows.withColumns({"change": ratio(F.col("value") - before, before), "same": (F.col("value") == before).cast("int")})
     out = change.groupBy("entity").agg(F.stddev_samp("change").alias("sd"), F.sum("same").alias("zeros"))
     return out.select("entity", (F.col("sd") / F.sqrt(F.greatest(F.col("zeros"), F.lit(1)))).alias("penalised"))

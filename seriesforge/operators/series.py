@@ -6,14 +6,22 @@ window over one entity's rows or a join on its keys, so one shuffle by entity se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
 
-BY_ENTITY = Window.partitionBy("entity")
-IN_TIME = BY_ENTITY.orderBy("month_ordinal")
-BY_MONTH = Window.partitionBy("entity", "month")
+
+def by_entity() -> WindowSpec:
+    return Window.partitionBy("entity")
+
+
+def in_time() -> WindowSpec:
+    return by_entity().orderBy("month_ordinal")
+
+
+def by_month() -> WindowSpec:
+    return Window.partitionBy("entity", "month")
 
 
 # -- scans and predicates ------------------------------------------------------------------
@@ -44,7 +52,7 @@ def without_frozen(rows: DataFrame, frozen: DataFrame) -> DataFrame:
 
 def frozen_runs(frozen: DataFrame) -> DataFrame:
     """Runs of consecutive frozen months: entity, first, last, months (gaps and islands)."""
-    island = F.col("month_ordinal") - F.row_number().over(IN_TIME)
+    island = F.col("month_ordinal") - F.row_number().over(in_time())
     runs = frozen.distinct().withColumn("island", island).groupBy("entity", "island")
     return runs.agg(F.min("month_ordinal").alias("first"), F.max("month_ordinal").alias("last"), F.count("*").alias("months")).drop("island")
 
@@ -57,7 +65,7 @@ def without_frozen_but_anchors(rows: DataFrame, frozen: DataFrame) -> DataFrame:
 
 def hold_plateaus(rows: DataFrame, frozen: DataFrame) -> DataFrame:
     """Values of frozen months replaced by their run's first value; the last value before each month that isn't a later one."""
-    runs = frozen.distinct().withColumn("island", F.col("month_ordinal") - F.row_number().over(IN_TIME))
+    runs = frozen.distinct().withColumn("island", F.col("month_ordinal") - F.row_number().over(in_time()))
     first = F.min("month_ordinal").over(Window.partitionBy("entity", "island"))
     marked = rows.join(runs.select("entity", "month_ordinal", first.alias("anchor")), ["entity", "month_ordinal"], "left")
     held = F.first("value").over(Window.partitionBy("entity", "anchor").orderBy("month_ordinal"))
@@ -66,7 +74,7 @@ def hold_plateaus(rows: DataFrame, frozen: DataFrame) -> DataFrame:
 
 def with_time(rows: DataFrame) -> DataFrame:
     """Years since the entity's first year, as the axis of seasonal models."""
-    time = (F.col("year") - F.min("year").over(BY_ENTITY)).cast("double") + (F.col("month") - 1).cast("double") / 12
+    time = (F.col("year") - F.min("year").over(by_entity())).cast("double") + (F.col("month") - 1).cast("double") / 12
     return rows.withColumn("time", time)
 
 
@@ -86,14 +94,14 @@ def enough_months(rows: DataFrame, per_month: int = 20, total: int = 240) -> Dat
 
 def climatology_anomaly(rows: DataFrame) -> DataFrame:
     """Adds the month's mean over all years and the anomaly from it."""
-    mean = F.avg("value").over(BY_MONTH)
+    mean = F.avg("value").over(by_month())
     return rows.withColumn("climatology", mean).withColumn("index_value", F.round(F.col("value") - F.col("climatology"), 9))
 
 
 def percentile_rank(rows: DataFrame, column: str = "value") -> DataFrame:
     """100 * (values of the same calendar month that aren't larger) / (n + 1); null for fewer than two."""
-    upto = F.count("*").over(BY_MONTH.orderBy(column).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    n = F.count("*").over(BY_MONTH)
+    upto = F.count("*").over(by_month().orderBy(column).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    n = F.count("*").over(by_month())
     return rows.withColumn("percentile", F.when(n >= 2, upto * 100.0 / (n + 1)))
 
 
@@ -125,7 +133,7 @@ def severities(events: DataFrame) -> DataFrame:
 
 def abrupt_transitions(labelled: DataFrame) -> DataFrame:
     """Opposite extremes in adjacent months."""
-    rows = labelled.select("entity", "month_ordinal", "extreme_label", "index_value", F.lead(F.struct("month_ordinal", "extreme_label", "index_value")).over(IN_TIME).alias("next"))
+    rows = labelled.select("entity", "month_ordinal", "extreme_label", "index_value", F.lead(F.struct("month_ordinal", "extreme_label", "index_value")).over(in_time()).alias("next"))
     opposite = (F.col("extreme_label").isin("extreme_low", "extreme_high")) & F.col("next.extreme_label").isin("extreme_low", "extreme_high") & (F.col("extreme_label") != F.col("next.extreme_label"))
     return rows.where(opposite & (F.col("next.month_ordinal") == F.col("month_ordinal") + 1)).select(
         "entity", F.col("month_ordinal").alias("from_ordinal"), F.col("next.month_ordinal").alias("to_ordinal"),
@@ -136,13 +144,13 @@ def abrupt_transitions(labelled: DataFrame) -> DataFrame:
 
 def zscore_events(rows: DataFrame, limit: float = 3.0) -> DataFrame:
     """Months more than ``limit`` population standard deviations from the entity's mean."""
-    z = ratio(F.col("value") - F.avg("value").over(BY_ENTITY), F.stddev_pop("value").over(BY_ENTITY))
+    z = ratio(F.col("value") - F.avg("value").over(by_entity()), F.stddev_pop("value").over(by_entity()))
     return rows.withColumn("z", z).where(F.abs("z") > limit).withColumn("z", F.round("z", 3)).withColumn("event_type", F.when(F.col("z") > 0, "high").otherwise("low"))
 
 
 def deseasonalise(rows: DataFrame) -> DataFrame:
     """Adds the value without its month's deviation from the mean."""
-    seasonal = F.avg("value").over(BY_MONTH) - F.avg("value").over(BY_ENTITY)
+    seasonal = F.avg("value").over(by_month()) - F.avg("value").over(by_entity())
     return rows.withColumn("seasonal", seasonal).withColumn("deseasoned", F.col("value") - F.col("seasonal"))
 
 
@@ -154,21 +162,21 @@ def seasonality_dominance(rows: DataFrame) -> DataFrame:
 # -- runs, clusters, segments --------------------------------------------------------------
 
 
-def _islands(rows: DataFrame, breaks: Column, order: Window = IN_TIME) -> DataFrame:
+def _islands(rows: DataFrame, breaks: Column, order: WindowSpec | None = None) -> DataFrame:
     """Numbers runs within an entity: a new one begins wherever breaks holds."""
-    return rows.withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over((order or in_time()).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def collinear_segments(rows: DataFrame, least: int = 4, tolerance: float = 1e-6) -> DataFrame:
     """Runs of at least ``least`` positive adjacent months whose steps are equal, one row each."""
     v, o = F.col("value"), F.col("month_ordinal")
     stepped = rows.where(v > 0).withColumns({
-        "pos": F.row_number().over(IN_TIME), "before": v - F.lag("value").over(IN_TIME), "after": F.lead("value").over(IN_TIME) - v,
-        "gap_before": o - F.lag("month_ordinal").over(IN_TIME), "gap_after": F.lead("month_ordinal").over(IN_TIME) - o,
-        "ordinal_before": F.lag("month_ordinal").over(IN_TIME), "n_obs": F.count("*").over(BY_ENTITY),
+        "pos": F.row_number().over(in_time()), "before": v - F.lag("value").over(in_time()), "after": F.lead("value").over(in_time()) - v,
+        "gap_before": o - F.lag("month_ordinal").over(in_time()), "gap_after": F.lead("month_ordinal").over(in_time()) - o,
+        "ordinal_before": F.lag("month_ordinal").over(in_time()), "n_obs": F.count("*").over(by_entity()),
     })
     valid = stepped.where((F.col("gap_before") == 1) & (F.col("gap_after") == 1) & (F.abs(F.col("before") - F.col("after")) <= tolerance))
-    runs = valid.withColumn("island", F.col("pos") - F.row_number().over(BY_ENTITY.orderBy("pos"))).groupBy("entity", "island").agg(
+    runs = valid.withColumn("island", F.col("pos") - F.row_number().over(by_entity().orderBy("pos"))).groupBy("entity", "island").agg(
         (F.min("pos") - 1).alias("first_pos"), (F.max("pos") + 1).alias("last_pos"), F.min("ordinal_before").alias("first_ordinal"), F.first("n_obs").alias("n_obs"),
         (F.max(F.greatest(F.abs("before"), F.abs("after"))) <= tolerance).alias("flat"),
     )
@@ -193,8 +201,8 @@ def interpolation_summary(rows: DataFrame, least: int = 4, tolerance: float = 1e
 
 def decluster(rows: DataFrame, threshold: str = "threshold", run: int = 3) -> DataFrame:
     """Exceedances in clusters: a new one after ``run`` rows or more below; the largest (first of ties) represents it."""
-    placed = rows.withColumn("pos", F.row_number().over(IN_TIME)).where(F.col("value") > F.col(threshold))
-    gap = F.col("pos") - F.lag("pos").over(IN_TIME) - 1
+    placed = rows.withColumn("pos", F.row_number().over(in_time())).where(F.col("value") > F.col(threshold))
+    gap = F.col("pos") - F.lag("pos").over(in_time()) - 1
     clusters = _islands(placed, F.coalesce(gap >= run, F.lit(True))).withColumnRenamed("island", "cluster_id")
     whole = Window.partitionBy("entity", "cluster_id")
     best = clusters.withColumns({"size": F.count("*").over(whole), "rn": F.row_number().over(whole.orderBy(F.desc("value"), "pos"))})
@@ -204,13 +212,13 @@ def decluster(rows: DataFrame, threshold: str = "threshold", run: int = 3) -> Da
 def singletons(rows: DataFrame, threshold: str = "threshold") -> DataFrame:
     """Every exceedance as a cluster of its own."""
     over = rows.where(F.col("value") > F.col(threshold))
-    return over.select("entity", F.row_number().over(IN_TIME).cast("long").alias("cluster_id"), F.lit(1).cast("long").alias("size"), "month_ordinal", "value", F.col(threshold).alias("threshold"))
+    return over.select("entity", F.row_number().over(in_time()).cast("long").alias("cluster_id"), F.lit(1).cast("long").alias("size"), "month_ordinal", "value", F.col(threshold).alias("threshold"))
 
 
 def decluster_typed(events: DataFrame, run: int = 3) -> DataFrame:
     """Clusters of events of one type; a new one on a change of type or a gap of ``run`` months or more."""
-    change = F.col("event_type") != F.lag("event_type").over(IN_TIME)
-    gap = F.col("month_ordinal") - F.lag("month_ordinal").over(IN_TIME) - 1 >= run
+    change = F.col("event_type") != F.lag("event_type").over(in_time())
+    gap = F.col("month_ordinal") - F.lag("month_ordinal").over(in_time()) - 1 >= run
     clusters = _islands(events, F.coalesce(change | gap, F.lit(True))).withColumnRenamed("island", "cluster_id")
     whole = Window.partitionBy("entity", "cluster_id")
     best = clusters.withColumns({"size": F.count("*").over(whole), "rn": F.row_number().over(whole.orderBy(F.desc("severity"), "month_ordinal"))})
@@ -219,8 +227,8 @@ def decluster_typed(events: DataFrame, run: int = 3) -> DataFrame:
 
 def decay_index(rows: DataFrame, phi: str = "phi", rate: float = 0.8) -> DataFrame:
     """S_k = S_(k-1) exp(-rate gap) + phi_k, as a prefix sum: terms are scaled by exp(rate t) with t from the entity's first month."""
-    t = F.col("month_ordinal") - F.min("month_ordinal").over(BY_ENTITY)
-    upto = IN_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    t = F.col("month_ordinal") - F.min("month_ordinal").over(by_entity())
+    upto = in_time().rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("t", t).withColumn("decay_index", F.exp(-rate * F.col("t")) * F.sum(F.col(phi) * F.exp(rate * F.col("t"))).over(upto)).drop("t")
 
 
@@ -230,7 +238,7 @@ def phi(rows: DataFrame, mapping: str = "identity") -> DataFrame:
     if mapping == "log1p":
         return rows.withColumn("phi", F.log1p(s))
     if mapping == "normalize":
-        return rows.withColumn("phi", F.coalesce(ratio(s, F.avg(F.when(s > 0, s)).over(BY_ENTITY)), F.lit(0.0)))
+        return rows.withColumn("phi", F.coalesce(ratio(s, F.avg(F.when(s > 0, s)).over(by_entity())), F.lit(0.0)))
     return rows.withColumn("phi", s)
 
 
@@ -245,25 +253,25 @@ def segments(rows: DataFrame, bridge: Column | None = None) -> DataFrame:
     """Runs of extreme months by row, with one normal month between or after where the decay index is above 1."""
     extreme = F.col("extreme_label") != "normal"
     if bridge is None:
-        bridge = F.lag(extreme).over(IN_TIME) & (F.col("decay_index") > 1)
-    placed = rows.withColumns({"pos": F.row_number().over(IN_TIME), "member": extreme | F.coalesce(bridge, F.lit(False))})
-    members = placed.where("member").withColumn("island", F.col("pos") - F.row_number().over(IN_TIME))
+        bridge = F.lag(extreme).over(in_time()) & (F.col("decay_index") > 1)
+    placed = rows.withColumns({"pos": F.row_number().over(in_time()), "member": extreme | F.coalesce(bridge, F.lit(False))})
+    members = placed.where("member").withColumn("island", F.col("pos") - F.row_number().over(in_time()))
     runs = members.groupBy("entity", "island").agg(
         F.min("month_ordinal").alias("start_ordinal"), F.max("month_ordinal").alias("end_ordinal"), F.count("*").alias("months"),
         F.max((F.col("extreme_label") == "extreme_high").cast("int")).alias("has_high"), F.max((F.col("extreme_label") == "extreme_low").cast("int")).alias("has_low"),
         F.max("decay_index").alias("max_s"), F.avg("decay_index").alias("mean_s"), F.sum("decay_index").alias("sum_s"), F.sum(extreme.cast("long")).alias("n_extremes"),
     )
     kind = F.when((F.col("has_high") == 1) & (F.col("has_low") == 1), "transition").otherwise("unilateral")
-    return runs.withColumns({"segment_type": kind, "segment_id": F.row_number().over(BY_ENTITY.orderBy("start_ordinal"))}).drop("island")
+    return runs.withColumns({"segment_type": kind, "segment_id": F.row_number().over(by_entity().orderBy("start_ordinal"))}).drop("island")
 
 
 def bidirectional_bridge(rate: float = 0.8, least: float = 1.0) -> Column:
     """A normal month between two extremes whose decayed strengths support it from both sides."""
     extreme = F.col("extreme_label") != "normal"
     o = F.col("month_ordinal")
-    left = F.lag("strength").over(IN_TIME) * F.exp(-rate * (o - F.lag("month_ordinal").over(IN_TIME)))
-    right = F.lead("strength").over(IN_TIME) * F.exp(-rate * (F.lead("month_ordinal").over(IN_TIME) - o))
-    return ~extreme & F.lag(extreme).over(IN_TIME) & F.lead(extreme).over(IN_TIME) & (left + right > least)
+    left = F.lag("strength").over(in_time()) * F.exp(-rate * (o - F.lag("month_ordinal").over(in_time())))
+    right = F.lead("strength").over(in_time()) * F.exp(-rate * (F.lead("month_ordinal").over(in_time()) - o))
+    return ~extreme & F.lag(extreme).over(in_time()) & F.lead(extreme).over(in_time()) & (left + right > least)
 
 
 def segment_events(rows: DataFrame, segments_: DataFrame) -> DataFrame:
@@ -280,4 +288,4 @@ def timeline(high: DataFrame, low: DataFrame) -> DataFrame:
     """Two kinds of events as one typed sequence: 0 dry, 1 wet, ordered by time, then kind."""
     at = lambda rows, kind: rows.select("entity", (F.floor(F.col("month_ordinal") / 12) + (F.col("month_ordinal") % 12) / 12.0).alias("time"), F.lit(kind).alias("event_kind"))
     both = at(low, 0).unionByName(at(high, 1))
-    return both.withColumn("place", F.row_number().over(BY_ENTITY.orderBy("time", "event_kind")))
+    return both.withColumn("place", F.row_number().over(by_entity().orderBy("time", "event_kind")))

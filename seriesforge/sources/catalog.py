@@ -74,3 +74,16 @@ def read_csv(spark: SparkSession, path: str, required: Sequence[str], schema: St
 def numeric(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns as doubles; rows where one isn't a number go."""
     return rows.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in columns}).dropna(subset=list(columns))
+
+
+def push(rows: DataFrame, url: str, target: str, stored: int, properties: Mapping[str, str] | None = None) -> bool:
+    """Replaces a database table by the rows, unless they are under a tenth of more than a hundred stored ones."""
+    if stored > 100 and rows.count() < 0.1 * stored:
+        return False
+    rows.write.jdbc(url, target, mode="overwrite", properties=dict(properties or {}))
+    return True
+
+
+def pull(spark: SparkSession, url: str, source: str, key: str, low: int, high: int, partitions: int, properties: Mapping[str, str] | None = None) -> DataFrame:
+    """Reads a database table in ranges of its key, one task each."""
+    return spark.read.jdbc(url, source, column=key, lowerBound=low, upperBound=high, numPartitions=partitions, properties=dict(properties or {}))

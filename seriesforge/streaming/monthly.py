@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed_totals(events: DataFrame, time: str = "ts", value: str = "value", key: str = "event_type", window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts and exact sums of each key and window; state is dropped when the watermark passes it."""
-    rows = events.withWatermark(time, late).groupBy(F.window(time, window), key)
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), key)
     return rows.agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(18,4)")).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
