@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import agreement_class, flag_is_set, plogp, ratio
+from ..functions.exprs import agreement_class, flag_is_set, ratio
 
 ZERO_QUANTILE, FLAT, AREA_RATIO, OUTSIDE_RANGE, LOW_VOLATILITY, SHIFT = 1, 2, 4, 8, 16, 32
 
@@ -21,26 +21,39 @@ def value_counts(rows: DataFrame, digits: int | None = None) -> DataFrame:
     return rows.where(F.col("value").isNotNull()).groupBy("entity", value.alias("value")).agg(F.count("*").alias("n"))
 
 
+def value_stats(rows: DataFrame, digits: int | None = None) -> DataFrame:
+    """Of each entity's distribution of values: numbers, the commonest value's count and the Shannon entropy.
+
+    With counts n of total T the entropy is log2 T - sum(n log2 n) / T: one aggregate, no join with the total.
+    """
+    n = F.col("n")
+    out = value_counts(rows, digits).groupBy("entity").agg(F.sum("n").alias("total"), F.count("*").alias("n_unique"), F.max("n").alias("most"), F.sum(n * F.log2(n)).alias("weighted"))
+    return out.select("entity", "total", "n_unique", "most", (F.log2("total") - F.col("weighted") / F.col("total")).alias("entropy"))
+
+
 def flatness(rows: DataFrame, digits: int | None = None) -> DataFrame:
     """Observations, distinct values, and the shares of the commonest and of distinct values."""
-    out = value_counts(rows, digits).groupBy("entity").agg(F.sum("n").alias("n_obs"), F.count("*").alias("n_unique"), F.max("n").alias("most"))
-    return out.select("entity", "n_obs", "n_unique", (F.col("most") / F.col("n_obs")).alias("dominant_ratio"), (F.col("n_unique") / F.col("n_obs")).alias("unique_ratio"))
+    return value_stats(rows, digits).select("entity", F.col("total").alias("n_obs"), "n_unique", (F.col("most") / F.col("total")).alias("dominant_ratio"), (F.col("n_unique") / F.col("total")).alias("unique_ratio"))
+
+
+def _cv() -> Column:
+    """Sample coefficient of variation, for two observations or more with a positive mean."""
+    return F.when((F.col("n_obs") >= 2) & (F.col("mean") > 0), F.col("sd") / F.nullif("mean", F.lit(0.0)))
 
 
 def volatility(rows: DataFrame, digits: int | None = None) -> DataFrame:
     """Shannon entropy of the distribution of values times the sample coefficient of variation."""
-    counted = value_counts(rows, digits)
-    total = counted.groupBy("entity").agg(F.sum("n").alias("total"))
-    entropy = counted.join(total, "entity").groupBy("entity").agg(F.sum(plogp(F.col("n") / F.col("total"))).alias("entropy"))
     spread = rows.groupBy("entity").agg(F.count("value").alias("n_obs"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    known = (F.col("n_obs") >= 2) & (F.col("mean") > 0)
-    out = spread.join(entropy, "entity", "left")
-    return out.select("entity", "n_obs", F.when(known, F.col("sd") / F.nullif("mean", F.lit(0.0))).alias("cv"), F.when(known, F.col("entropy")).alias("entropy"), F.when(known, F.col("entropy") * F.col("sd") / F.nullif("mean", F.lit(0.0))).alias("h_cv"))
+    out = spread.join(value_stats(rows, digits), "entity", "left").withColumn("cv", _cv())
+    return out.select("entity", "n_obs", "cv", F.when(F.col("cv").isNotNull(), F.col("entropy")).alias("entropy"), (F.col("entropy") * F.col("cv")).alias("h_cv"))
 
 
 def classify(rows: DataFrame, info: DataFrame, shifted: DataFrame | None = None) -> DataFrame:
     """Every entity's flags: a bit for each filter that it fails, with what the filters looked at."""
-    metrics = levels(rows).join(flatness(rows).select("entity", "dominant_ratio"), "entity").join(volatility(rows).select("entity", "h_cv"), "entity")
+    v = "value"
+    base = rows.groupBy("entity").agg(F.count(v).alias("n_obs"), F.median(v).alias("median"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.8)).alias("q"), F.min(v).alias("least"), F.max(v).alias("largest"), F.stddev_samp(v).alias("sd"))
+    shares = value_stats(rows).select("entity", (F.col("most") / F.col("total")).alias("dominant_ratio"), "entropy")
+    metrics = base.join(shares, "entity", "left").withColumn("h_cv", F.col("entropy") * _cv())
     known = metrics.join(info.select("entity", F.col("area").alias("atlas")), "entity", "left")
     known = known.withColumn("degraded", F.lit(False)) if shifted is None else known.join(shifted.select("entity", (F.col("shift_label") == "degraded").alias("degraded")), "entity", "left")
     area_ratio = F.when(F.col("atlas") > 0, F.col("median") / F.nullif("atlas", F.lit(0.0)))

@@ -107,8 +107,8 @@ def percentile_rank(rows: DataFrame, column: str = "value") -> DataFrame:
 
 def thresholds(rows: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Adds the entity's low and high quantile of index_value, rounded so that ties are ties anywhere."""
-    q = rows.groupBy("entity").agg(F.percentile("index_value", F.array(F.lit(low), F.lit(high))).alias("q"))
-    return rows.join(q.select("entity", F.round(F.col("q")[0], 9).alias("threshold_low"), F.round(F.col("q")[1], 9).alias("threshold_high")), "entity")
+    q = F.percentile("index_value", F.array(F.lit(low), F.lit(high))).over(by_entity())
+    return rows.withColumn("_q", q).withColumns({"threshold_low": F.round(F.col("_q")[0], 9), "threshold_high": F.round(F.col("_q")[1], 9)}).drop("_q")
 
 
 def label(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ def monthly(rows: DataFrame, entity: str, time: str, value: str) -> DataFrame:
     """entity, year, month, month_ordinal, value: exact monthly sums of a money column."""
     year, month = F.year(time), F.month(time)
     summed = rows.groupBy(F.col(entity).cast("long").alias("entity"), year.alias("year"), month.alias("month")).agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("value"))
-    return summed.select("entity", "year", "month", (F.col("year") * 12 + F.col("month") - 1).alias("month_ordinal"), "value")
+    rows = summed.select("entity", "year", "month", (F.col("year") * 12 + F.col("month") - 1).alias("month_ordinal"), "value")
+    # dealt by entity once, after the sums: every window, group and join by entity after it finds its rows together
+    return rows.repartition("entity")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
