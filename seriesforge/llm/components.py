@@ -1,37 +1,51 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links: local forests, then alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
 
 
-def _point_down(a: str, b: str):
-    return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
+def _contracted(links: DataFrame) -> DataFrame:
+    """Each batch's links as stars on the smallest node of what they connect: the same components, shorter paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            up: dict[int, int] = {}
+
+            def root(k: int) -> int:
+                while (parent := up.setdefault(k, k)) != k:
+                    up[k] = k = up[parent]
+                return k
+
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+            stars = [(k, r) for k in up if (r := root(k)) != k]
+            yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in stars], pa.int64()), pa.array([s[1] for s in stars], pa.int64())], ["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b); a component's id is its smallest node.
 
     Each round hangs a node's larger neighbours, then its smaller ones, on its smallest
-    neighbour.  The rounds grow with the logarithm of the longest path; minima are taken before
-    the shuffle and no node's neighbours are gathered.
+    neighbour, until all links are stars.  The rounds grow with the logarithm of the longest
+    path; minima are taken before the shuffle and no node's neighbours are gathered.
     """
-    edges = written(links.where("a <> b").select(*_point_down("a", "b")).distinct(), "links")
-    before = None
-    while True:
+    edges = written(_contracted(links.where("a <> b")).distinct(), "links")
+    while edges.groupBy("a").count().where("count > 1").head(1) or edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi").head(1):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("of")).agg(F.least("of", F.min("b")).alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"))
         hung = large.join(lowest, F.col("a") == F.col("of"))
         small = hung.select("a", F.col("m").alias("b")).union(hung.where("b <> m").select("b", "m"))
-        edges = written(small.distinct(), "links")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    roots = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    return roots.union(edges.select("b", "b").distinct())
+        edges = written(_contracted(small.where("a <> b")).distinct(), "links")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
