@@ -1,14 +1,15 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND, queried by every passage.
 
 The index holds each item's terms with BM25 weights, divided by the item's weight for itself, so
-a passage scores the share of the item that it has.  Passages are windows of two blocks of
-``BLOCK`` words, one block apart.  Each posting list is cut into blocks of items with the largest
+a passage scores the share of the item that it has.  Passages are windows of successive blocks of
+``BLOCK`` words, one block apart, and follow the item: as many blocks as it needs wherever it
+starts (two up to ``BLOCK`` words).  Each posting list is cut into blocks of items with the largest
 weight of each, and a search skips items and blocks whose bounds can't reach the threshold.
 
 Most passages never start a search.  Each item sets aside its most common terms, together worth
 less than half of the threshold, and the rest of its postings give, for all passages of a batch
 at once, an upper bound of any score; only passages whose bound reaches the threshold are
-searched.  Retrieved items are then verified: the passage's surroundings must hold most word
+searched, among the items of their length.  Retrieved items are then verified: the passage's surroundings must hold most word
 trigrams of the item's question and of its answer (its last sentence).
 
 Items are shipped to the executors in shards of bounded size, one after the other.
@@ -61,14 +62,21 @@ def trigrams(terms: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(terms[k : k + n]) for k in range(len(terms) - n + 1)} if n else set()
 
 
+def blocks_of(size: int) -> int:
+    """Blocks of a passage for an item of so many words."""
+    return -(-size // BLOCK) + 1
+
+
 class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]):
-        items = [(i, t) for i, t in items if t and words(t)]
+        items = sorted(((i, t) for i, t in items if t and words(t)), key=lambda x: blocks_of(len(words(x[1]))))
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
         counts = [Counter(words(t)) for _, t in items]
         sizes = [sum(c.values()) for c in counts]
         self.sizes, mean = sizes, sum(sizes) / max(1, len(sizes))
+        #: Blocks of each item's passages; items are in order of it, so those of one length are a range.
+        self.span = np.array([blocks_of(x) for x in sizes], dtype=np.int64)
         df = Counter(t for c in counts for t in c)
         self.terms = {t: k for k, t in enumerate(df)}
         n = len(items)
@@ -98,61 +106,76 @@ class ItemIndex:
         """Of each word its term, or -1."""
         return np.fromiter(map(self.terms.get, words(text), repeat(-1)), dtype=np.int64)
 
-    def promising(self, blocks: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        """The blocks whose passage (with the block after it) may reach the threshold for some item."""
+    def promising(self, blocks: np.ndarray, terms: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+        """(first block, blocks) of the passages that may reach the threshold for some item; starts are the texts' first blocks."""
         have = self.start[terms + 1] - self.start[terms]
         blocks, terms, have = blocks[have > 0], terms[have > 0], have[have > 0]
         if not len(terms):
-            return np.empty(0, dtype=np.int64)
+            return np.empty((0, 2), dtype=np.int64)
+        starts = np.zeros(1, dtype=np.int64) if starts is None else np.asarray(starts, dtype=np.int64)
         ends = np.cumsum(have)
         posting = np.repeat(self.start[terms] - ends + have, have) + np.arange(ends[-1])
-        item, n = self.item[posting], len(self.ids)
-        keys = np.repeat(blocks, have) * n + item
+        stride = int(blocks.max()) + 1
+        keys = self.item[posting] * stride + np.repeat(blocks, have)
         order = np.argsort(keys, kind="stable")
         keys, weight = keys[order], self.weight[posting][order]
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         keys, bound = keys[at], np.add.reduceat(weight, at)
-        after = np.searchsorted(keys, keys + n)
-        after_ok = (after < len(keys)) & (keys[np.minimum(after, len(keys) - 1)] == keys + n)
-        whole = bound + np.where(after_ok, bound[np.minimum(after, len(keys) - 1)], 0) + self.aside[keys % n]
-        return np.unique(keys[whole >= THRESHOLD - 1e-9] // n)
-
-    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """All items that the passage's distinct terms score at least the threshold for, by block-max WAND."""
-        cursors = [[t, 0] for t in np.unique(terms).tolist()]
+        item, block = keys // stride, keys % stride
+        row = np.searchsorted(starts, block, side="right") - 1
+        last = np.append(starts[1:], stride)[row] - 1
+        total = np.concatenate(([0.0], np.cumsum(bound)))
+        span, aside = self.span[item], self.aside[item]
+        to = np.searchsorted(keys, item * stride + np.minimum(block + span - 1, last), side="right")
+        may = total[to] - total[:-1] + aside >= THRESHOLD - 1e-6
+        return np.unique(np.stack([block[may], span[may]], axis=1), axis=0)
+
+    def search(self, terms: np.ndarray, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
+        """All items (of those from low to before high) that the passage's distinct terms score at least the threshold for, by block-max WAND."""
+        high = len(self.ids) if high is None else high
+        cursors = []  # (item, term, place in the term's list)
+        for t in np.unique(terms).tolist():
+            ids = self.lists[t][0]
+            at = int(np.searchsorted(ids, low)) if low else 0
+            if at < len(ids) and ids[at] < high:
+                cursors.append((int(ids[at]), t, at))
         found = []
         while cursors:
-            cursors.sort(key=lambda c: self.lists[c[0]][0][c[1]])
+            cursors.sort()
             bound, pivot = 0.0, -1
-            for k, (t, _) in enumerate(cursors):
+            for k, (_, t, _) in enumerate(cursors):
                 bound += self.most[t]
                 if bound >= THRESHOLD - 1e-9:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            item = int(self.lists[cursors[pivot][0]][0][cursors[pivot][1]])
+            item = cursors[pivot][0]
             upto = pivot
-            while upto + 1 < len(cursors) and self.lists[cursors[upto + 1][0]][0][cursors[upto + 1][1]] == item:
+            while upto + 1 < len(cursors) and cursors[upto + 1][0] == item:
                 upto += 1
-            block_bound = 0.0
-            for cursor in cursors[: upto + 1]:
-                ids = self.lists[cursor[0]][0]
-                at = cursor[1] + int(np.searchsorted(ids[cursor[1] :], item))
+            moved, block_bound = [], 0.0
+            for have, t, at in cursors[: upto + 1]:
+                ids = self.lists[t][0]
+                if have < item:
+                    at += int(np.searchsorted(ids[at:], item))
+                    have = int(ids[at]) if at < len(ids) else high
+                moved.append((have, t, at))
                 if at < len(ids):
-                    block_bound += self.blocks[cursor[0]][at // LIST_BLOCK]
+                    block_bound += self.blocks[t][at // LIST_BLOCK]
             if block_bound >= THRESHOLD - 1e-9:
-                score = 0.0
-                for cursor in cursors[: upto + 1]:
-                    ids, weights = self.lists[cursor[0]]
-                    cursor[1] += int(np.searchsorted(ids[cursor[1] :], item))
-                    if cursor[1] < len(ids) and ids[cursor[1]] == item:
-                        score += float(weights[cursor[1]])
+                score = sum(float(self.lists[t][1][at]) for have, t, at in moved if have == item)
                 if score >= THRESHOLD - 1e-9:
                     found.append((item, score))
-            for cursor in cursors[: upto + 1]:
-                cursor[1] += int(np.searchsorted(self.lists[cursor[0]][0][cursor[1] :], item + 1))
-            cursors = [c for c in cursors if c[1] < len(self.lists[c[0]][0])]
+            left = []
+            for have, t, at in moved:
+                ids = self.lists[t][0]
+                if have == item:
+                    at += 1
+                    have = int(ids[at]) if at < len(ids) else high
+                if have < high:
+                    left.append((have, t, at))
+            cursors = left + cursors[upto + 1 :]
         return found
 
     def verify(self, item: int, near: list[bytes]) -> tuple[float, float]:
@@ -177,18 +200,20 @@ class ItemIndex:
             blocks.append(at + known // BLOCK)
             terms.append(x[known])
             at += len(x) // BLOCK + 2  # a block stays empty between two texts
-        passages = self.promising(np.concatenate(blocks), np.concatenate(terms)) if ids else ()
-        rows = np.searchsorted(starts, passages, side="right") - 1
+        passages = self.promising(np.concatenate(blocks), np.concatenate(terms), np.array(starts)) if ids else np.empty((0, 2), dtype=np.int64)
+        rows = np.searchsorted(starts, passages[:, 0], side="right") - 1
+        lows, highs = (np.searchsorted(self.span, passages[:, 1], side=side) for side in ("left", "right"))
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         cut: tuple[int, list[bytes]] = (-1, [])
-        for row, passage in zip(np.asarray(rows).tolist(), np.asarray(passages).tolist()):
+        for row, (passage, span), low, high in zip(rows.tolist(), passages.tolist(), lows.tolist(), highs.tolist()):
             first = (passage - starts[row]) * BLOCK
-            window = ids[row][first : first + 2 * BLOCK]
-            for item, score in self.search(window[window >= 0]):
+            after = first + span * BLOCK
+            window = ids[row][first:after]
+            for item, score in self.search(window[window >= 0], low, high):
                 if cut[0] != row:
                     cut = row, words(texts[row])
                 more = max(0, self.sizes[item] - BLOCK)
-                shares = self.verify(item, cut[1][max(0, first - more) : first + 2 * BLOCK + more])
+                shares = self.verify(item, cut[1][max(0, first - more) : after + more])
                 if min(shares) >= OVERLAP:
                     best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (score, *shares))
         for (row, item), found in best.items():

@@ -248,6 +248,19 @@ def test_leaks_are_found_and_clean_documents_stay(spark, sf_dir):
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size, step", [(100, 1), (130, 1), (250, 1), (400, 1), (1000, 8), (2000, 21)])
+def test_long_items_are_found_at_every_offset(size, step):
+    rng = random.Random(size)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    draw = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, draw(size - 10 + k) + ". " + draw(10) + ".") for k in range(4)] + [(9, draw(20) + ". " + draw(4) + ".")]
+    index = decontaminate.ItemIndex(items)
+    texts = [f"{draw(offset)} {items[offset // step % 4][1]} {draw(90)}" for offset in range(0, decontaminate.BLOCK, step)]
+    found = {(row, item): score for row, item, score, *_ in index.judge(texts)}
+    assert set(found) == {(row, row % 4) for row in range(len(texts))}
+    assert min(found.values()) > 1 - 1e-9
+
+
 # -- personal data -------------------------------------------------------------------------
 
 PATTERNS = {
