@@ -8,7 +8,7 @@ weight of each, and a search skips items and blocks whose bounds can't reach the
 
 Most passages never start a search.  Each item sets aside its most common terms, together worth
 less than half of the threshold, and the rest of its postings give, for all passages of a batch
-at once, an upper bound of any score; only passages whose bound reaches the threshold are
+at once and wherever they start, an upper bound of any score; only passages whose bound reaches the threshold are
 searched, among the items of their length.  Retrieved items are then verified: the passage's surroundings must hold most word
 trigrams of the item's question and of its answer (its last sentence).
 
@@ -116,19 +116,26 @@ class ItemIndex:
         ends = np.cumsum(have)
         posting = np.repeat(self.start[terms] - ends + have, have) + np.arange(ends[-1])
         stride = int(blocks.max()) + 1
-        keys = self.item[posting] * stride + np.repeat(blocks, have)
-        order = np.argsort(keys, kind="stable")
-        keys, weight = keys[order], self.weight[posting][order]
-        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        keys, bound = keys[at], np.add.reduceat(weight, at)
-        item, block = keys // stride, keys % stride
-        row = np.searchsorted(starts, block, side="right") - 1
-        last = np.append(starts[1:], stride)[row] - 1
-        total = np.concatenate(([0.0], np.cumsum(bound)))
-        span, aside = self.span[item], self.aside[item]
-        to = np.searchsorted(keys, item * stride + np.minimum(block + span - 1, last), side="right")
-        may = total[to] - total[:-1] + aside >= THRESHOLD - 1e-6
-        return np.unique(np.stack([block[may], span[may]], axis=1), axis=0)
+        # of each posting the blocks that have it, once each
+        keys = np.unique(posting * stride + np.repeat(blocks, have))
+        posting, block = keys // stride, keys % stride
+        item, weight = self.item[posting], self.weight[posting]
+        before = np.concatenate(([-1], np.where(posting[1:] == posting[:-1], block[:-1], -1)))
+        # a passage holds it first in this block if it starts after the block before, reaches here, and is of this text
+        first = np.maximum(np.maximum(before, block - self.span[item]) + 1, starts[np.searchsorted(starts, block, side="right") - 1])
+        # what passages gain and lose by where they start; every start between two changes has the same bound
+        stride += 1
+        change = np.concatenate((item * stride + first, item * stride + block + 1))
+        order = np.argsort(change, kind="stable")
+        change, weight = change[order], np.concatenate((weight, -weight))[order]
+        at = np.flatnonzero(np.concatenate(([True], change[1:] != change[:-1])))
+        change, bound = change[at], np.cumsum(np.add.reduceat(weight, at))
+        item = change // stride
+        may = np.flatnonzero(bound[:-1] + self.aside[item[:-1]] >= THRESHOLD - 1e-6)
+        may = may[item[may] == item[may + 1]]
+        many = change[may + 1] - change[may]
+        start = np.repeat(change[may] % stride, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.unique(np.stack([start, np.repeat(self.span[item[may]], many)], axis=1), axis=0)
 
     def search(self, terms: np.ndarray, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
         """All items (of those from low to before high) that the passage's distinct terms score at least the threshold for, by block-max WAND."""

@@ -261,6 +261,37 @@ def test_long_items_are_found_at_every_offset(size, step):
     assert min(found.values()) > 1 - 1e-9
 
 
+def test_promising_passages_hold_all_that_score():
+    rng = random.Random(16)
+    common = [f"c{k}" for k in range(12)]
+    items = []
+    for k in range(60):
+        size = rng.choice([20, 40, 63, 90, 200])
+        items.append((k, " ".join(rng.choice(common) if rng.random() < 0.6 else f"r{k}x{rng.randint(0, 30)}" for _ in range(size))))
+    index = decontaminate.ItemIndex(items)
+    block = decontaminate.BLOCK
+    texts = []
+    for _ in range(120):
+        copied = rng.choice(items)[1].split()
+        copied = sorted(copied, key=lambda w: w[0] == "r") if rng.random() < 0.5 else copied
+        copied = [w for w in copied if rng.random() < 0.8]
+        cut = rng.randint(0, len(copied))
+        filler = [f"z{k}" for k in range(rng.randint(0, 40))]
+        texts.append(" ".join([f"z{k}" for k in range(rng.randint(0, 200))] + copied[:cut] + filler + copied[cut:]))
+    for text in texts:
+        ids = index.term_ids(text)
+        known = np.flatnonzero(ids >= 0)
+        got = {tuple(x) for x in index.promising(known // block, ids[known]).tolist()}
+        for span in set(index.span.tolist()):
+            for start in range(len(ids) // block + 1):
+                window = ids[start * block : (start + span) * block]
+                scores = np.zeros(len(index.ids))
+                for t in set(window[window >= 0].tolist()):
+                    scores[index.lists[t][0]] += index.lists[t][1]
+                if ((scores >= decontaminate.THRESHOLD) & (index.span == span)).any():
+                    assert (start, span) in got
+
+
 # -- personal data -------------------------------------------------------------------------
 
 PATTERNS = {
