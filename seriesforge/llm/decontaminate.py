@@ -12,7 +12,8 @@ at once and wherever they start, an upper bound of any score; only passages whos
 searched, among the items of their length.  Retrieved items are then verified: the passage's surroundings must hold most word
 trigrams of the item's question and of its answer (its last sentence).
 
-Items are shipped to the executors in shards of bounded size, one after the other.
+Items are shipped to the executors in shards of bounded size, one after the other; the number of
+items, their mean length and the terms' document frequencies are those of all shards together.
 
 Defined results: null or wordless texts and items match nothing; repeated documents are judged
 each; items with equal texts are found each under its own id.
@@ -20,16 +21,21 @@ each; items with equal texts are found each under its own id.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterator, Mapping
+from itertools import islice, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 BLOCK = 64
 THRESHOLD = 0.6
 #: Share of the question's, and of the answer's, trigrams that must be there.
@@ -67,23 +73,32 @@ def blocks_of(size: int) -> int:
     return -(-size // BLOCK) + 1
 
 
+class Statistics(NamedTuple):
+    """Of all items, also those of other shards; df has the terms of the shard at least."""
+
+    items: int
+    words: int
+    df: Mapping[bytes, int]
+
+
 class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], overall: Statistics | None = None):
         items = sorted(((i, t) for i, t in items if t and words(t)), key=lambda x: blocks_of(len(words(x[1]))))
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
         counts = [Counter(words(t)) for _, t in items]
         sizes = [sum(c.values()) for c in counts]
-        self.sizes, mean = sizes, sum(sizes) / max(1, len(sizes))
+        self.sizes = sizes
         #: Blocks of each item's passages; items are in order of it, so those of one length are a range.
         self.span = np.array([blocks_of(x) for x in sizes], dtype=np.int64)
-        df = Counter(t for c in counts for t in c)
-        self.terms = {t: k for k, t in enumerate(df)}
-        n = len(items)
-        idf = {t: np.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-        lists: list[list[tuple[int, float]]] = [[] for _ in df]
-        essential: list[list[tuple[int, float]]] = [[] for _ in df]
-        self.aside = np.zeros(n)
+        here = Counter(t for c in counts for t in c)
+        n, total, df = overall or Statistics(len(items), sum(sizes), here)
+        mean = total / max(1, n)
+        self.terms = {t: k for k, t in enumerate(here)}
+        idf = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in here}
+        lists: list[list[tuple[int, float]]] = [[] for _ in here]
+        essential: list[list[tuple[int, float]]] = [[] for _ in here]
+        self.aside = np.zeros(len(items))
         for k, c in enumerate(counts):
             weight = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * sizes[k] / mean)) for t, f in c.items()}
             own = sum(weight.values())
@@ -171,7 +186,7 @@ class ItemIndex:
                 if at < len(ids):
                     block_bound += self.blocks[t][at // LIST_BLOCK]
             if block_bound >= THRESHOLD - 1e-9:
-                score = sum(float(self.lists[t][1][at]) for have, t, at in moved if have == item)
+                score = math.fsum(self.lists[t][1][at] for have, t, at in moved if have == item)
                 if score >= THRESHOLD - 1e-9:
                     found.append((item, score))
             left = []
@@ -229,14 +244,44 @@ class ItemIndex:
 
 def _shards(benchmark: DataFrame):
     """Indexes of the items, SHARD_ITEMS at a time; items come to the driver one shard after the other."""
-    spark, part = benchmark.sparkSession, []
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id").toLocalIterator():
-        part.append((r["item_id"], r["text"]))
-        if len(part) == SHARD_ITEMS:
-            yield spark.sparkContext.broadcast(ItemIndex(part))
-            part = []
-    if part:
+    spark = benchmark.sparkSession
+    source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = ((r["item_id"], r["text"]) for r in source.orderBy("item_id").toLocalIterator())
+    part, following = list(islice(rows, SHARD_ITEMS)), list(islice(rows, SHARD_ITEMS))
+    if part and not following:  # the only shard has all items: their statistics are its own
         yield spark.sparkContext.broadcast(ItemIndex(part))
+        return
+    count = _counted(source) if part else None
+    while part:
+        yield spark.sparkContext.broadcast(ItemIndex(part, count(part)))
+        part, following = following, list(islice(rows, SHARD_ITEMS))
+
+
+def _counted(source: DataFrame):
+    """Counts items, words and documents of each term over all items; gives them for the terms of some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [w for t in batch.column("text").to_pylist() if t and (w := words(t))]
+            df = Counter(t for w in found for t in set(w))
+            # the null term has the number of items and of words
+            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.binary()), pa.array([len(found), *df.values()], pa.int64()), pa.array([sum(map(len, found))] + [0] * len(df), pa.int64())], ["term", "n", "words"])
+
+    counts = written(source.mapInArrow(run, "term binary, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "item-terms")
+    whole = counts.where("term is null").first()
+
+    def count(items: list[tuple[int, str]]) -> Statistics:
+        shared = counts.sparkSession.sparkContext.broadcast(sorted({w for _, t in items if t for w in words(t)}))
+
+        def of_these(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = pa.array(shared.value, pa.binary())
+            for batch in batches:
+                yield batch.filter(pc.is_in(batch.column("term"), value_set=wanted))
+
+        found = counts.where("term is not null").select("term", "n").mapInArrow(of_these, "term binary, n long").collect()
+        return Statistics(whole["n"], whole["words"], {bytes(r["term"]): r["n"] for r in found})
+
+    return count
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

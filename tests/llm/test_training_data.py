@@ -292,6 +292,18 @@ def test_promising_passages_hold_all_that_score():
                     assert (start, span) in got
 
 
+def test_shards_give_the_same_rows_and_scores(spark, sf_dir, monkeypatch):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(10)
+    items = [r.text for r in bench.collect()]
+    docs = documents(spark, [" ".join(x.split()[k % 9 :]) for k, x in enumerate(items * 2)] + [None, "nothing here"])
+    found = lambda: sorted(tuple(r) for r in decontaminate.find_leaks(docs, bench).collect())
+    whole = found()
+    assert len(whole) > 10
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 3)
+    assert found() == whole
+    assert len(decontaminate.drop_leaks(docs, bench).collect()) == docs.count() - len({r[0] for r in whole})
+
+
 # -- personal data -------------------------------------------------------------------------
 
 PATTERNS = {
