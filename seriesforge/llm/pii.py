@@ -5,7 +5,8 @@ terms around them the corpus tells how much they reveal: with N documents, df(t)
 df(c) with an entity and co(c, t) with both in one another's neighbourhood, the term discloses
 ``PMI(c; t) = log2(N co(c, t) / (df(c) df(t)))`` bits of the entity's ``IC(c) = log2(N / df(c))``.
 A term whose share ``PMI / IC`` reaches the threshold, seen in enough different neighbourhoods,
-is generalised (digits to 0, other words to ``[TERM]``); the entity itself is replaced by its kind.
+is generalised (digits to 0, other words to ``[TERM]``) wherever it stands in the documents that
+hold the entity; the entity itself is replaced by its kind.
 
 All counts are over all documents.  Only counts, positions and hashes are shuffled.
 
@@ -16,6 +17,7 @@ belong to each row; neighbourhoods that are equal word for word count once.
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ from .storage import written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words before and after an entity that can give it away.
+#: Words before and after an entity in which terms are estimated; what is flagged is masked at any distance.
 REACH = 8
 #: Different neighbourhoods in which a term must stand beside the entity.
 SUPPORT = 3
@@ -111,13 +113,30 @@ def _clean(word: str) -> str:
     return word.strip(".,;:!?()[]{}\"'<>|").lower()
 
 
+def words_before(text: str, end: int) -> list[re.Match]:
+    """The last REACH words before a place, whole, however long they are."""
+    back = 40 * REACH
+    while True:
+        # the first word may be cut, so one more than needed
+        found = list(_WORD.finditer(text, max(0, end - back), end))
+        if back >= end or len(found) > REACH:
+            return found[-REACH:]
+        back *= 2
+
+
+def term_span(m: re.Match, term: str) -> tuple[int, int]:
+    """Where the cleaned term stands in its word; the whole word where lower case has another length."""
+    at = m.start() + m[0].lower().find(term)
+    return (at, at + len(term)) if m.string[at : at + len(term)].lower() == term else m.span()
+
+
 def neighbours(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, str, int, int]]:
     """(entity, entity's start, neighbourhood, term, start, end) of the words around each span."""
     taken = sorted((a, b) for _, a, b in spans)
     found = []
     for kind, a, b in spans:
         entity = _key(kind + ":" + re.sub(r"[\x20().-]", "", text[a:b]).lower())
-        before = list(_WORD.finditer(text, max(0, a - 40 * REACH), a))[-REACH:]
+        before = words_before(text, a)
         after = []
         for m in _WORD.finditer(text, b):
             after.append(m)
@@ -127,8 +146,7 @@ def neighbours(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
         around = _key(" ".join(m[0] for m in words))
         for m in words:
             if len(term := _clean(m[0])) >= 3:
-                at = m.start() + m[0].lower().find(term)
-                found.append((entity, a, around, term, at, at + len(term)) if text[at : at + len(term)].lower() == term else (entity, a, around, term, m.start(), m.end()))
+                found.append((entity, a, around, term, *term_span(m, term)))
     return found
 
 
@@ -172,18 +190,51 @@ class _Cleaned(dict):
 _BITMAP = 1 << 20
 
 
+def _bitmap(wanted: DataFrame):
+    marks = np.zeros(_BITMAP, dtype=bool)
+    for row in wanted.select((F.crc32("term") % _BITMAP).alias("at")).distinct().toLocalIterator():
+        marks[row["at"]] = True
+    return wanted.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+
+def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text_key, term, start, stop of the terms of wanted (and of others that share their buckets) in documents with base spans."""
+    shared = _bitmap(wanted)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            cleaned, marked, found = _Cleaned(), {}, []
+            for k, value in enumerate(batch.column("text")):
+                text = value.as_py()
+                if not (spans := base_spans(text)):
+                    continue
+                taken = sorted((a, b) for _, a, b in spans)
+                ends = np.maximum.accumulate([b for _, b in taken])
+                begins = [a for a, _ in taken]
+                for m in _WORD.finditer(text):
+                    term = cleaned[m[0]]
+                    if (hit := marked.get(term)) is None:
+                        hit = marked[term] = len(term) >= 3 and bool(marks[zlib.crc32(term.encode("utf-8", "surrogatepass")) % _BITMAP])
+                    if hit and not ((before := bisect_left(begins, m.end())) and ends[before - 1] > m.start()):
+                        found.append((k, term, *term_span(m, term)))
+            if found:
+                rows, terms, starts, stops = zip(*found)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), batch.column("text_key").take(pa.array(rows)), pa.array(terms, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["doc_id", "text_key", "term", "start", "stop"])
+
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, text_key long, term string, start int, stop int")
+
+
 def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """How many documents hold each term of wanted (and of others that share its bucket).
 
     A bitmap of fixed size keeps most other terms out of the shuffle; what is counted doesn't depend on it.
     """
-    spark = docs.sparkSession
-    marks = np.zeros(_BITMAP, dtype=bool)
-    for row in wanted.select((F.crc32("term") % _BITMAP).alias("at")).distinct().toLocalIterator():
-        marks[row["at"]] = True
-    if not marks.any():
+    shared = _bitmap(wanted)
+    if not shared.value.any():
         return wanted.select("term", F.lit(0).cast("long").alias("df")).limit(0)
-    shared = spark.sparkContext.broadcast(np.packbits(marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.unpackbits(shared.value).view(bool)
@@ -218,8 +269,14 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISC
     # documents are counted by rows: repeated rows are documents too
     per_doc = found.where("kind = 0").select("doc_id", "text_key", "counts", "base")
     near = found.where("kind = 1")
-    flagged = disclosing(near, docs, per_doc.count(), support, disclosure)
-    terms = near.join(flagged, ["entity", "term"]).select("doc_id", "text_key", "start", "stop").distinct()
+    flagged = written(disclosing(near, docs, per_doc.count(), support, disclosure), "pii-flagged")
+    beside = near.join(flagged, ["entity", "term"]).select("doc_id", "text_key", "start", "stop")
+    held = near.select("doc_id", "text_key", "entity").distinct().join(flagged, "entity").select("doc_id", "text_key", "term").distinct()
+    held = held.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), F.col("term").alias("of_term"))
+    stands = occurrences(docs, flagged)
+    anywhere = stands.join(held, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")) & (F.col("term") == F.col("of_term")), "left_semi")
+    # beside an entity a term can also be part of a word that the entity cuts
+    terms = beside.unionByName(anywhere.select("doc_id", "text_key", "start", "stop")).distinct()
     spelled = F.format_string(f"{TERM}:%d:%d", "start", "stop")
     per = terms.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", spelled.alias("s")))).alias("t"))
     per = per.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), F.concat_ws(",", F.transform("t", lambda x: x["s"])).alias("terms"))

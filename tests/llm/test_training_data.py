@@ -348,6 +348,23 @@ def test_disclosing_terms_and_masks(spark):
     assert pii.find_spans(docs.where("false")).count() == 0
 
 
+def test_flagged_terms_are_masked_at_any_distance(spark):
+    far = " ".join(f"far{k}" for k in range(30))
+    texts = [f"Zanzibar, {far} {k} filler{k} zanzibar reach ann@corp.example later{k} on {far} (zanzibar)" for k in range(6)]
+    texts += [f"nothing to see here number {k} for anyone" for k in range(60)]
+    docs = documents(spark, texts)
+    out = {r.doc_id: r.text for r in pii.sanitise(docs, pii.find_spans(docs)).collect()}
+    assert all("zanzibar" not in out[k].lower() and "far15" in out[k] for k in range(6))
+    assert all(out[k] == texts[k] for k in range(6, 66))
+
+
+def test_long_words_before_an_entity_are_whole():
+    long = ["x" * 200 + str(k) for k in range(pii.REACH + 2)]
+    text = " ".join(long) + " ann@corp.example"
+    found = [x[3] for x in pii.neighbours(text, pii.base_spans(text))]
+    assert found == long[-pii.REACH :]
+
+
 # -- chat ----------------------------------------------------------------------------------
 
 
