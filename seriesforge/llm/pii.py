@@ -4,14 +4,14 @@ The patterns find e-mail addresses, IP addresses, payment cards and phone number
 terms around them the corpus tells how much they reveal: with N documents, df(t) with a term,
 df(c) with an entity and co(c, t) with both in one another's neighbourhood, the term discloses
 ``PMI(c; t) = log2(N co(c, t) / (df(c) df(t)))`` bits of the entity's ``IC(c) = log2(N / df(c))``.
-A term whose share ``PMI / IC`` reaches the threshold, seen in enough different neighbourhoods,
+Every entity is judged.  A term whose share ``PMI / IC`` reaches the threshold, and that enough documents hold,
 is generalised (digits to 0, other words to ``[TERM]``) wherever it stands in the documents that
 hold the entity; the entity itself is replaced by its kind.
 
 All counts are over all documents.  Only counts, positions and hashes are shuffled.
 
 Defined results: a null text is an empty one and has no spans; equal spans of repeated rows
-belong to each row; neighbourhoods that are equal word for word count once.
+belong to each row; an entity in every document has no information and no terms.
 """
 
 import hashlib
@@ -33,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Words before and after an entity in which terms are estimated; what is flagged is masked at any distance.
 REACH = 8
-#: Different neighbourhoods in which a term must stand beside the entity.
+#: Documents that must hold a term; entities are all judged, however rare.
 SUPPORT = 3
 #: Share of the entity's information from which a term counts as disclosing.
 DISCLOSURE = 0.8
@@ -251,16 +251,14 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def disclosing(near: DataFrame, docs: DataFrame, n_docs: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, share) of the pairs at or above the threshold."""
-    entities = near.select("entity", "doc_id", "around").distinct()
-    per_entity = entities.groupBy("entity").agg(F.countDistinct("doc_id").alias("entity_df"), F.countDistinct("around").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = near.select("entity", "term", "doc_id", "around").join(per_entity, "entity")
-    together = pairs.groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("co"), F.countDistinct("around").alias("contexts"), F.first("entity_df").alias("entity_df")).where(F.col("contexts") >= support)
+    per_entity = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("entity_df"))
+    together = near.groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("co")).join(per_entity, "entity")
     together = written(together, "pii-together")
     df = term_counts(docs, together)
     n = F.lit(float(max(1, n_docs)))
     informative = F.log2(n / F.col("entity_df"))
     share = F.when(informative > 0, F.log2(n * F.col("co") / (F.col("entity_df") * F.col("df"))) / informative)
-    return together.join(df, "term").withColumn("share", share).where(F.col("share") >= disclosure).select("entity", "term", "share")
+    return together.join(df.where(F.col("df") >= support), "term").withColumn("share", share).where(F.col("share") >= disclosure).select("entity", "term", "share")
 
 
 def find_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:

@@ -358,6 +358,14 @@ def test_flagged_terms_are_masked_at_any_distance(spark):
     assert all(out[k] == texts[k] for k in range(6, 66))
 
 
+def test_entities_are_judged_however_rare(spark):
+    texts = ["here zanzibar reach bob@corp.example on"] + [f"the zanzibar {k} is here" for k in range(2)] + ["here is the lone bird kiwi@corp.example on"]
+    texts += [f"nothing to see here number {k} for anyone" for k in range(3000)]
+    out = {r.doc_id: r.text for r in pii.sanitise(documents(spark, texts), pii.find_spans(documents(spark, texts))).collect()}
+    assert "zanzibar" not in out[0] and "here" in out[0] and "bob" not in out[0]
+    assert all(out[k] == texts[k] for k in [1, 2, *range(4, len(texts))])
+
+
 def test_long_words_before_an_entity_are_whole():
     long = ["x" * 200 + str(k) for k in range(pii.REACH + 2)]
     text = " ".join(long) + " ann@corp.example"
