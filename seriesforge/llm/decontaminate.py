@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import map_batches, portions, written
 
 BLOCK = 64
 THRESHOLD = 0.6
@@ -267,7 +267,7 @@ def _counted(source: DataFrame):
             # the null term has the number of items and of words
             yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.binary()), pa.array([len(found), *df.values()], pa.int64()), pa.array([sum(map(len, found))] + [0] * len(df), pa.int64())], ["term", "n", "words"])
 
-    counts = written(source.mapInArrow(run, "term binary, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "item-terms")
+    counts = written(map_batches(source, run, "term binary, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "item-terms")
     whole = counts.where("term is null").first()
 
     def count(items: list[tuple[int, str]]) -> Statistics:
@@ -278,7 +278,7 @@ def _counted(source: DataFrame):
             for batch in batches:
                 yield batch.filter(pc.is_in(batch.column("term"), value_set=wanted))
 
-        found = counts.where("term is not null").select("term", "n").mapInArrow(of_these, "term binary, n long").collect()
+        found = map_batches(counts.where("term is not null").select("term", "n"), of_these, "term binary, n long").collect()
         return Statistics(whole["n"], whole["words"], {bytes(r["term"]): r["n"] for r in found})
 
     return count
@@ -291,7 +291,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id {id_type}, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
     for shared in _shards(benchmark):
-        found = source.mapInArrow(_finder(shared), schema)
+        found = map_batches(source, _finder(shared), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -299,8 +299,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in portions(batch, 512):
                 found = list(shared.value.judge(part.column("text").to_pylist()))
                 columns = list(zip(*found)) or [()] * 5
                 rows = part.column("doc_id").take(pa.array(columns[0], pa.int64()))
@@ -312,15 +311,14 @@ def _finder(shared):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a verified item; judged where they are, without a shuffle."""
     for shared in _shards(benchmark):
-        docs = docs.mapInArrow(_cleaner(shared), docs.schema)
+        docs = map_batches(docs, _cleaner(shared), docs.schema)
     return docs
 
 
 def _cleaner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in portions(batch, 512):
                 keep = np.ones(part.num_rows, dtype=bool)
                 keep[[x[0] for x in shared.value.judge(part.column("text").to_pylist())]] = False
                 yield part.filter(pa.array(keep))

@@ -7,7 +7,8 @@ and takes the nearest codeword.  A document whose two nearest codewords are abou
 is flagged as ambiguous.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; labels that are
-null teach nothing; if no label is left to learn from, every text is ``und``.
+null teach nothing; if no label is left to learn from, every text is ``und``; repeated rows are
+judged each; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import map_batches
+
 UNDETERMINED = "und"
 #: Buckets for character trigrams.
 BUCKETS = 4096
-#: The classifiers are fitted on this many documents of a language at most.
-SAMPLE = 240
+#: The classifiers are fitted on this many documents of a language at most, and of all together.
+SAMPLE, SAMPLE_ROWS = 240, 4800
+#: Languages that are learned at most, the most frequent ones.
+LANGUAGES = 200
 #: Least probability of the nearest codeword for a prediction that isn't flagged.
 CLEAR = 0.6
 
@@ -103,14 +108,16 @@ def decode(model: EcocModel, margins: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def sample_labelled(docs: DataFrame, lang_col: str, learn_from) -> DataFrame:
     """At most SAMPLE documents of each language, those whose ids hash lowest: counted first, so that no group is sorted whole."""
     rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row a language
-    shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 3.0 * SAMPLE / n))]) if counts else F.create_map().cast("map<string,double>")
-    order = F.xxhash64(F.col("doc_id").cast("string"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("string").alias("doc_id"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    each = min(SAMPLE, SAMPLE_ROWS // max(1, len(counts)))
+    shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 3.0 * each / n))]) if counts else F.create_map().cast("map<string,double>")
+    order = F.xxhash64("doc_id")
     place = F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30))
     # thinned out where they are: only about three samples of each language are shuffled
-    picked = rows.where(place < F.element_at(shares, F.col(lang_col)))
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(order, "doc_id"))
-    return picked.select(F.col(lang_col).alias("lang"), "text", "doc_id", rank.alias("rank")).where(F.col("rank") <= SAMPLE)
+    picked = rows.where(place < F.element_at(shares, F.col("lang")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text")))
+    return picked.withColumn("rank", rank).where(F.col("rank") <= each)
 
 
 def train(docs: DataFrame, learn_from, lang_col: str = "lang") -> EcocModel | None:
@@ -121,7 +128,7 @@ def train(docs: DataFrame, learn_from, lang_col: str = "lang") -> EcocModel | No
             kept = [(lang, features(text).tobytes()) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()) if has_letter(text)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.binary())], ["lang", "x"])
 
-    rows = sample_labelled(docs, lang_col, learn_from).select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
+    rows = map_batches(sample_labelled(docs, lang_col, learn_from).select("lang", "text"), run, "lang string, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
@@ -130,30 +137,43 @@ def train(docs: DataFrame, learn_from, lang_col: str = "lang") -> EcocModel | No
     return fit(x, [rows[k]["lang"] for k in order])
 
 
+def predict(model: EcocModel | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text."""
+    rows = [k for k, t in enumerate(texts) if model is not None and has_letter(t.as_py())]
+    names = np.full(len(texts), UNDETERMINED, dtype=object)
+    score = np.zeros(len(texts))
+    for at in range(0, len(rows), 256):
+        part = rows[at : at + 256]
+        best, near = decode(model, np.stack([features(texts[k].as_py()) for k in part]) @ model.weights + model.bias)
+        names[part] = [model.languages[b] for b in best]
+        score[part] = near
+    return names, score
+
+
 def identify(docs: DataFrame, model: EcocModel | None) -> DataFrame:
-    """docs with lang_pred, score and ambiguous added; every column that docs has is kept under its name."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # of a fixed size: buckets x bits
-    clash = {c for c in ("lang_pred", "score", "ambiguous") if c in docs.columns}
-    kept = docs.drop(*clash)
+    """docs with lang_pred, score and ambiguous added; columns of docs with these names give way to them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: buckets x bits
+    kept = docs.drop("lang_pred", "score", "ambiguous")
     schema = pa_schema(kept, "lang_pred string, score double, ambiguous boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            texts = batch.column("text")
-            rows = [k for k in range(batch.num_rows) if model is not None and has_letter(texts[k].as_py())]
-            names = np.full(batch.num_rows, UNDETERMINED, dtype=object)
-            score = np.zeros(batch.num_rows)
-            for at in range(0, len(rows), 256):
-                part = rows[at : at + 256]
-                best, near = decode(model, np.stack([features(texts[k].as_py()) for k in part]) @ model.weights + model.bias)
-                names[part] = [model.languages[b] for b in best]
-                score[part] = near
-            flags = score < CLEAR
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(flags, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
-
-    return kept.mapInArrow(run, schema)
+            names, score = predict(shared.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(score < CLEAR, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
+
+    return map_batches(kept, run, schema)
+
+
+def keep_identified(docs: DataFrame, model: EcocModel | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns as they are, that have a language with such a score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, score = predict(shared.value, batch.column("text"))
+            yield batch.filter(pa.array((names != UNDETERMINED) & (score >= least)))
+
+    return map_batches(docs, run, docs.schema)
 
 
 def pa_schema(df: DataFrame, more: str):

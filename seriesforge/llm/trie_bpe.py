@@ -15,18 +15,26 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_batches, portions
 from .vocabulary import WordBpe, load_word_bpe
 
-#: Chunks, and pieces, that a worker keeps; beyond it they are dropped and found anew.
-KEPT = 500_000
-#: Characters of text that are encoded together.
-TOGETHER = 4_000_000
+#: What a worker keeps of what it has encoded: chunks, their letters and their tokens; beyond any of these
+#: only chunks of the text at hand stay.
+KEPT, KEPT_LETTERS, KEPT_TOKENS = 200_000, 4_000_000, 2_000_000
+#: Pieces kept; beyond it the older half goes.
+KEPT_PIECES = 200_000
+#: Longer pieces aren't kept.
+PIECE_LETTERS = 64
+#: Characters of text that are encoded together, unless one text has more.
+TOGETHER = 1_000_000
 
 
 def walk_trie(words: Iterable[str], bpe: WordBpe) -> Iterator[tuple[str, list[int]]]:
@@ -98,11 +106,9 @@ class TrieEncoder:
         self.decimal = Spelling([str(k) for k in range(len(bpe.names))])
         self.plain = Spelling(bpe.names)
         self.known_pieces: dict[str, list[int]] = {}
-        self.forget()
-
-    def forget(self) -> None:
         #: Each chunk's row; a row's token ids are ids[starts[row] : starts[row + 1]].
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.starts = np.zeros(1, dtype=np.int64)
         self.ids = np.empty(0, dtype=np.int32)
         for name, token in self.bpe.special.items():
@@ -111,30 +117,48 @@ class TrieEncoder:
     def _add(self, chunks: list[str], ids: list[int], sizes: list[int]) -> None:
         first = len(self.known)
         self.known.update(zip(chunks, range(first, first + len(chunks))))
+        self.letters += sum(map(len, chunks))
         self.ids = np.concatenate((self.ids, np.array(ids, dtype=np.int32)))
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.array(sizes, dtype=np.int64))))
 
+    def _keep(self, chunks: set[str]) -> None:
+        """Of the known chunks only these stay, with the special strings."""
+        kept = [c for c in self.known if c in chunks or c in self.bpe.special]
+        rows = np.array([self.known[c] for c in kept], dtype=np.int64)
+        self.ids, sizes = self._tokens(rows)
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))
+        self.known = dict(zip(kept, range(len(kept))))
+        self.letters = sum(map(len, kept))
+
+    def _tokens(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of the rows one after the other, how many each has)."""
+        starts = self.starts[rows]
+        counts = self.starts[rows + 1] - starts
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)], counts
+
     def rows(self, chunks: list[str]) -> np.ndarray:
         """The chunks' rows. Those not known yet are encoded, all their pieces in one walk."""
-        known, pieces_of = self.known, self.known_pieces
-        found = list(map(known.get, chunks))
+        found = list(map(self.known.get, chunks))
         new = {c for c, row in zip(chunks, found) if row is None}
         if new:
-            if len(known) + len(new) > KEPT:
-                self.forget()
-                known, new = self.known, {c for c in chunks if c not in self.bpe.special}
-            if len(pieces_of) > KEPT:
-                pieces_of.clear()
+            if len(self.known) + len(new) > KEPT or self.letters > KEPT_LETTERS or len(self.ids) > KEPT_TOKENS:
+                self._keep(set(chunks))
+            pieces_of, fresh = self.known_pieces, {}
+            if len(pieces_of) > KEPT_PIECES:
+                for piece in list(islice(pieces_of, len(pieces_of) // 2)):
+                    del pieces_of[piece]
             pieces = [(c, self.bpe.pieces(c)) for c in new]
-            pieces_of.update(walk_trie({p for _, ps in pieces for p in ps if p not in pieces_of}, self.bpe))
-            tokens = [pieces_of[ps[0]] if len(ps) == 1 else [t for p in ps for t in pieces_of[p]] for _, ps in pieces]
+            for piece, tokens in walk_trie({p for _, ps in pieces for p in ps if p not in pieces_of}, self.bpe):
+                (pieces_of if len(piece) <= PIECE_LETTERS else fresh)[piece] = tokens
+            of = lambda p: pieces_of[p] if len(p) <= PIECE_LETTERS else fresh[p]
+            tokens = [of(ps[0]) if len(ps) == 1 else [t for p in ps for t in of(p)] for _, ps in pieces]
             self._add([c for c, _ in pieces], [t for ts in tokens for t in ts], [len(ts) for ts in tokens])
-            found = list(map(known.__getitem__, chunks))
+            found = list(map(self.known.__getitem__, chunks))
         return np.array(found, dtype=np.int64)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes, np.ndarray]]:
         """(tokens, ids joined by a space, decoded text, ids) of each text."""
-        gc.disable()  # many small objects that stay, no cycles
         at = 0
         while at < len(texts):
             upto, size = at, 0
@@ -153,22 +177,33 @@ class TrieEncoder:
                 else:
                     chunks += bpe.chunks(section)
             bounds.append(len(chunks))
-        parts = []
+        parts = [np.empty(0, dtype=np.int32)]
         sizes = [np.zeros(1, dtype=np.int64)]
-        for at in range(0, len(chunks), 1 << 20):
-            rows = self.rows(chunks[at : at + (1 << 20)])
-            starts = self.starts[rows]
-            counts = self.starts[rows + 1] - starts
-            ends = np.cumsum(counts)
-            parts.append(self.ids[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1])])
-            sizes.append(counts)
-        ids = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+        self.bpe.trim()
+        with uncollected():
+            for at in range(0, len(chunks), 1 << 18):
+                ids, counts = self._tokens(self.rows(chunks[at : at + (1 << 18)]))
+                parts.append(ids)
+                sizes.append(counts)
+        ids = np.concatenate(parts)
         cuts = np.cumsum(np.concatenate(sizes))[bounds]
         ends = cuts.tolist()
         for k, (decimal, plain) in enumerate(zip(self.decimal.spell(ids, cuts), self.plain.spell(ids, cuts))):
             yield ends[k + 1] - ends[k], decimal, plain, ids[ends[k] : ends[k + 1]]
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without garbage collection: what is made here has no cycles, and looking for some takes long."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def decode(ids: list[int], bpe: WordBpe) -> str:
     """The text of ids: without a decoder of its own, a vocabulary's tokens are joined by a space."""
     return " ".join(bpe.names[i] for i in ids)
@@ -191,8 +226,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in portions(batch, 512):
                 counts, digests, decoded, all_ids = [], [], [], []
                 for count, ids, words, numbers in encoder.encode([t or "" for t in part.column("text").to_pylist()]):
                     counts.append(count)
@@ -208,4 +242,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if keep_ids else "")
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

@@ -11,6 +11,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import regex
 
@@ -25,6 +26,10 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in plain else chr(next(shifted)) for b in range(256))
 
 
+#: Known pairs of tokens, and compiled transitions of the automaton, that are kept.
+KEPT_PAIRS, KEPT_STEPS = 250_000, 150_000
+
+
 class Suffix:
     """An Aho-Corasick state: the longest suffix of a word so far that begins some token."""
 
@@ -65,12 +70,25 @@ class WordBpe:
         self._prefixes = {t[:k] for tokens in (self.inner, self.final) for t in tokens for k in range(1, len(t) + 1)}
         self.root = Suffix("", ())
         self._suffixes = {"": self.root}
+        self.steps = 0
         self.known_pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
     def _ends(self, token: str) -> bool:
         return len(token) > len(self.suffix) and token.endswith(self.suffix)
 
+    def trim(self) -> None:
+        """Keeps caches within their bounds; to be called while no word is being read."""
+        if self.steps > KEPT_STEPS:
+            self.steps = 0
+            for state in self._suffixes.values():
+                state.next.clear()
+                state.closing.clear()
+            self._suffixes = {"": self.root}
+        if len(self.known_pairs) > KEPT_PAIRS:
+            for key in list(islice(self.known_pairs, len(self.known_pairs) // 2)):
+                del self.known_pairs[key]
+
     def advance(self, at: Suffix, letter: str) -> Suffix:
         """Compiles the automaton's transition by a letter inside a word."""
         text = at.text + letter
@@ -79,12 +97,14 @@ class WordBpe:
         if (target := self._suffixes.get(text)) is None:
             ends = tuple((len(text) - k, self.inner[text[k:]]) for k in range(len(text)) if text[k:] in self.inner)
             target = self._suffixes[text] = Suffix(text, ends)
+        self.steps += 1
         at.next[letter] = target
         return target
 
     def close(self, at: Suffix, letter: str) -> tuple[tuple[int, int], ...]:
         """Compiles the tokens that can end a word by this letter."""
         text = at.text + letter
+        self.steps += 1
         ends = at.closing[letter] = tuple((len(text) - k, self.final[text[k:]]) for k in range(len(text)) if text[k:] in self.final)
         return ends
 
@@ -141,8 +161,6 @@ class WordBpe:
         """Whether the two tokens stay as they are when their characters are encoded together."""
         key = left << 20 | right
         if (known := self.known_pairs.get(key)) is None:
-            if len(self.known_pairs) > 1_000_000:
-                self.known_pairs.clear()
             known = self.known_pairs[key] = not self._merges_across(self.names[left], self.names[right])
         return known
 
