@@ -164,7 +164,7 @@ def test_join_equals_brute_force(spark, monkeypatch):
             texts.append(" ".join(w + passage if rng.random() < 0.3 else w))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(documents(spark, texts)).collect()}
     assert got == brute_components(texts)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 2)  # every larger region is dealt out as pairs of blocks
+    monkeypatch.setattr(jaccard_join, "BLOCK", 60)  # larger regions are dealt out in blocks, by their shingles
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(documents(spark, texts)).collect()}
     assert got == brute_components(texts)
     assert jaccard_join.link_documents(documents(spark, ["a"]).where("false")).count() == 0
