@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .components import salted_join
+from .storage import map_batches, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -177,7 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def _batch(*columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(list(columns), ["doc_id", "text_key", "kind", "entity", "around", "term", "start", "stop", "n", "base", "counts"])
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 class _Cleaned(dict):
@@ -187,7 +188,9 @@ class _Cleaned(dict):
 
 
 #: Buckets of the bitmap of wanted terms; its size doesn't grow with the data.
-_BITMAP = 1 << 20
+_BITMAP = 1 << 24
+#: Terms that a task counts before it hands their counts on.
+_COUNTED = 300_000
 
 
 def _bitmap(wanted: DataFrame):
@@ -224,7 +227,7 @@ def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows, terms, starts, stops = zip(*found)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), batch.column("text_key").take(pa.array(rows)), pa.array(terms, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["doc_id", "text_key", "term", "start", "stop"])
 
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, text_key long, term string, start int, stop int")
+    return map_batches(source, run, f"doc_id {dict(source.dtypes)['doc_id']}, text_key long, term string, start int, stop int")
 
 
 def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -238,15 +241,27 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.unpackbits(shared.value).view(bool)
+        counts: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "df"])
+            counts.clear()
+            return out
+
         for batch in batches:
-            counts, cleaned = Counter(), _Cleaned()
+            cleaned, hit = _Cleaned(), {}
             for text in batch.column("text"):
-                counts.update({cleaned[w] for w in set(_WORD.findall(text.as_py()))})
-            kept = {t: n for t, n in counts.items() if marks[zlib.crc32(t.encode("utf-8", "surrogatepass")) % _BITMAP]}
-            yield pa.RecordBatch.from_arrays([pa.array(kept.keys(), pa.string()), pa.array(kept.values(), pa.int64())], ["term", "df"])
+                for term in {cleaned[w] for w in set(_WORD.findall(text.as_py()))}:
+                    if (is_hit := hit.get(term)) is None:
+                        is_hit = hit[term] = marks[zlib.crc32(term.encode("utf-8", "surrogatepass")) % _BITMAP]
+                    if is_hit:
+                        counts[term] += 1
+            if len(counts) > _COUNTED:
+                yield counted()
+        yield counted()
 
     source = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return map_batches(source, run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def disclosing(near: DataFrame, docs: DataFrame, n_docs: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -269,7 +284,8 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISC
     near = found.where("kind = 1")
     flagged = written(disclosing(near, docs, per_doc.count(), support, disclosure), "pii-flagged")
     beside = near.join(flagged, ["entity", "term"]).select("doc_id", "text_key", "start", "stop")
-    held = near.select("doc_id", "text_key", "entity").distinct().join(flagged, "entity").select("doc_id", "text_key", "term").distinct()
+    protected = near.select("doc_id", "text_key", F.col("entity").alias("of_entity")).distinct()
+    held = salted_join(protected, F.col("text_key"), flagged, F.col("of_entity") == F.col("entity")).select("doc_id", "text_key", "term").distinct()
     held = held.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), F.col("term").alias("of_term"))
     stands = occurrences(docs, flagged)
     anywhere = stands.join(held, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")) & (F.col("term") == F.col("of_term")), "left_semi")
@@ -301,15 +317,16 @@ def _generalised(piece: str, kind: str) -> str:
 
 def sanitise(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with their texts' spans masked; columns as before (n_chars, if there, follows the new text)."""
-    marked = spans.where(F.col("spans") != "").groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(F.first("spans").alias("spans"))
+    of, of_key, marks = unused(docs, "of", "of_key", "marks")
+    marked = spans.where(F.col("spans") != "").groupBy(F.col("doc_id").alias(of), F.col("text_key").alias(of_key)).agg(F.first("spans").alias(marks))
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or t is None else mask(t, s) for t, s in zip(texts, spans)])
+        return pd.Series([t if s is None or t is None else mask(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("of_key"))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(of_key))
     joined = docs.join(marked.hint("shuffle_hash"), same, "left")
-    out = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked("text", "spans")))
+    out = joined.withColumn("text", F.when(F.col(marks).isNull(), F.col("text")).otherwise(masked("text", marks)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(marks).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
