@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.llm import decontaminate, jaccard_join, language_id, pii, trie_bpe
-from seriesforge.llm.storage import written
+from seriesforge.llm.storage import unused, written
 from seriesforge.llm.vocabulary import default_vocabulary
 from seriesforge.sources.shipping import ship_package
 
@@ -18,20 +18,26 @@ from seriesforge.sources.shipping import ship_package
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter, or no language more likely than all others together."""
     ship_package(spark)
-    model = language_id.train(docs, ~language_id.held_out())
-    judged = language_id.identify(docs, model)
-    return judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)).select(*docs.columns)
+    return language_id.keep_identified(docs, language_id.train(docs, ~language_id.held_out()))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the smallest id stays; of repeated rows of one id, one."""
+    """Of each component of linked documents the smallest id stays; of rows with one id and equal texts, any one.
+
+    Rows of one id with different texts are documents of their own, and rows without an id all stay.
+    """
     ship_package(spark)
-    linked = jaccard_join.link_documents(docs)
-    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(written(gone.distinct(), "copies").hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns) if repeated.head(1) else kept.select(*docs.columns)
+    key, of, of_key = unused(docs, "text_key", "of", "of_key")
+    rows = written(jaccard_join.link_rows(docs), "linked")
+    each = rows.groupBy(F.col("doc_id").alias(of), F.col("text_key").alias(of_key)).agg(F.first("stays").alias("stays"), F.count("*").alias("rows"))
+    same = (F.col("doc_id") == F.col(of)) & (F.col(key) == F.col(of_key))
+    keyed = docs.withColumn(key, jaccard_join.text_key("text"))
+    kept = keyed.join(written(each.where("not stays").select(of, of_key), "copies").hint("shuffle_hash"), same, "left_anti")
+    repeated = written(each.where("stays and rows > 1").select(of, of_key), "repeated")
+    if repeated.head(1):
+        once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", key])
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
