@@ -1,36 +1,47 @@
 """Nearest neighbours by inner product over shifted Hilbert orderings.
 
 Several curves order all vectors: each projects them on its own random directions, shifts its
-grid and numbers the cells along a Hilbert curve.  Spark range-partitions each ordering; around
-every query's place a window of neighbouring keys is scored with the original vectors, and the
-windows of all curves merge.  Their k-th best product is a bound that the true neighbours reach.
+grid and numbers the cells along a Hilbert curve.  Spark range-partitions each ordering and
+numbers its rows, so that every vector has a rank on every curve.  A query's window on a curve
+are the blocks of ``ROWS`` ranks that come within ``w`` ranks of its own; what stands there is
+scored with the original vectors, and the windows of all curves merge and are ranked anew.
 
-The ranges of the first curve are also blocks with a centre and a radius, and a block can hold
-a neighbour of q only if <q, centre> + |q| radius reaches the bound.  Each query visits the blocks
-that can, so the result is exact; how many can depends on the vectors: for directions spread
-evenly over many dimensions, most.
+How wide windows must be depends on the vectors, so ``w`` is measured: for ``SAMPLE`` queries the
+true neighbours are found by brute force, and ``w`` is the distance in ranks, on the curve where
+it is least, within which a share ``TARGET`` of them stands.  Where vectors have few real
+dimensions windows are narrow; spread evenly over many dimensions they must be a good part of the
+table, which no ordering mends.
+
+Equal vectors are one point of the curves, however many rows they have; of its rows the k + 1
+smallest can be among k neighbours.
 
 Defined results: vectors that are null, zero, of another length than most or that hold null or
 non-finite components take no part; equal products go to the smaller id; fewer candidates than k
-are all returned; repeated ids are rows of their own.
+are all returned; a query's own row alone is no candidate, rows that repeat its id are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .storage import written
+from .components import salted_join
+from .storage import map_batches, written
 
 CURVES = 4
-DIMENSIONS = 6
-BITS = 5
-#: Keys before and after a query's own that are scored on each curve.
-WINDOW = 128
+DIMENSIONS = 8
+BITS = 4
+#: Ranks of a block.
+ROWS = 2048
+#: Queries whose true neighbours are found to measure windows, and the share of these within them.
+SAMPLE, TARGET = 64, 0.95
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -72,206 +83,200 @@ def curve_keys(vectors: np.ndarray, curve: int) -> np.ndarray:
     return hilbert_keys(np.clip(cells, 0, (1 << BITS) - 1).astype(np.int64), BITS)
 
 
-def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part."""
-    e = F.col("embedding").cast("array<double>")
+def valid_vectors(rows: DataFrame, asks) -> DataFrame:
+    """vec_id, embedding and asks (a condition) of the rows that take part."""
+    kind = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"
+    e = F.col("embedding").cast(kind)
     fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(e, lambda v: v != 0)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False)))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"), asks.alias("asks")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
     size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("embedding") == (size["n"] if size else -1))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def _best(scores: np.ndarray, x: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int, least: float = -1e300) -> tuple[np.ndarray, np.ndarray]:
-    """(places, products) of the k largest products that reach the least, ties to the smaller id.
+def _best(scores: np.ndarray, x: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, products) of the k largest products, ties to the smaller id.
 
     The scores are matrix products; those that may count are summed anew in the order of the components, so that
     a product doesn't depend on how many were formed together.
     """
-    slack = 1e-12 * (1 + np.abs(least)) if least > -1e300 else 0.0
+    near = np.arange(len(scores))
     if len(scores) > k:
         edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        least = max(least, edge)
-        slack = 1e-12 * (1 + abs(edge)) if edge > -np.inf else 0.0
-    near = np.flatnonzero((scores >= least - slack) & (scores > -np.inf))
+        near = np.flatnonzero(scores >= edge - 1e-12 * (1 + abs(edge)))
     exact = np.add.accumulate(x[near] * q, axis=1)[:, -1] if len(near) else np.empty(0)
     order = np.lexsort((ids[near], -exact))[:k]
     return near[order], exact[order]
 
 
-_KEYED = "curve int, key long, vec_id long, row long, is_query boolean, embedding array<double>"
-_HITS = "row long, query_id long, ids array<long>, rows array<long>, scores array<double>"
+def _points(taking: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(point, vec_id, asks, embedding of each distinct vector; point, vec_id, row of its k + 1 smallest rows)."""
+    points = taking.groupBy("point").agg(F.min("vec_id").alias("vec_id"), F.max("asks").alias("asks"), F.first("embedding").alias("embedding"))
+    order = Window.partitionBy("point").orderBy("vec_id", "row")
+    rows = taking.select("point", "vec_id", "row").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
+    return points, rows
+
 
+def _named(vectors: DataFrame) -> DataFrame:
+    """vectors with the digest of each vector as its point."""
 
-def _keyed(vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, n = _matrix(batch.column("embedding")), batch.num_rows
-            for curve in range(CURVES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, dtype=np.int32)), pa.array(curve_keys(x, curve)), batch.column("vec_id"), batch.column("row"), batch.column("is_query"), batch.column("embedding")], [c.split()[0] for c in _KEYED.split(", ")])
+            x = _matrix(batch.column("embedding")) + 0.0 if batch.num_rows else np.empty((0, 0))  # without negative zeros
+            names = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "point"])
 
-    return vectors.select("vec_id", "row", "is_query", "embedding").mapInArrow(run, _KEYED)
+    return map_batches(vectors, run, StructType([*vectors.schema.fields, StructField("point", BinaryType())]))
 
 
-def _hits(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 5
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["row", "query_id", "ids", "rows", "scores"])
-
+def _ordered(points: DataFrame, partitions: int) -> DataFrame:
+    """Each point on each curve: curve, part, place in the part, and the point's columns."""
+    kind = dict(points.dtypes)["embedding"]
+    names = ["curve", "key", "point", "vec_id", "asks", "embedding"]
 
-def _windows(ordered: DataFrame, k: int) -> DataFrame:
-    """Each query's best on each curve, among the keys around its own."""
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, n = _matrix(batch.column("embedding")), batch.num_rows
+                for curve in range(CURVES):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, dtype=np.int32)), pa.array(curve_keys(x, curve)), *(batch.column(c) for c in names[2:])], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, done = 0, 0  # rows held; of them those whose queries are answered
-        ended = False
-        stream = iter(batches)
-        while not ended:
-            batch = next(stream, None)
-            if batch is None:
-                ended = True
-            else:
-                held.append(batch)
-                size += batch.num_rows
-            if not held or (not ended and size - done < 4 * WINDOW):
-                continue
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if size else None
-            if table is None:
-                continue
-            curve, ids, rows, query, x = (table.column("curve").to_numpy(), table.column("vec_id").to_numpy(), table.column("row").to_numpy(), table.column("is_query").to_numpy(zero_copy_only=False), _matrix(table.column("embedding")))
-            upto = size if ended else size - WINDOW
-            found = []
-            for at in (done + np.flatnonzero(query[done:upto])).tolist():
-                a, b = max(0, at - WINDOW), min(size, at + WINDOW + 1)
-                scores = x[a:b] @ x[at]
-                scores[(curve[a:b] != curve[at]) | (ids[a:b] == ids[at])] = -np.inf
-                best, exact = _best(scores, x[a:b], x[at], ids[a:b], k)
-                found.append((int(rows[at]), int(ids[at]), ids[a:b][best], rows[a:b][best], exact))
-            yield _hits(found)
-            kept = max(0, upto - WINDOW)
-            held, size, done = [table.slice(kept)], size - kept, upto - kept
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), dict.fromkeys(range(CURVES), 0)
+        for batch in batches:
+            curve = batch.column("curve").to_numpy()
+            places = np.empty(batch.num_rows, dtype=np.int64)
+            for c in np.unique(curve).tolist():
+                here = np.flatnonzero(curve == c)
+                places[here] = at[c] + np.arange(len(here))
+                at[c] += len(here)
+            yield pa.RecordBatch.from_arrays([batch.column("curve"), pa.array(np.full(batch.num_rows, part, dtype=np.int32)), pa.array(places), *(batch.column(c) for c in names[2:])], ["curve", "part", "place", *names[2:]])
 
-    return ordered.mapInArrow(run, _HITS)
+    columns = f"point binary, vec_id long, asks boolean, embedding {kind}"
+    keyed = map_batches(points.select(*names[2:]), key, f"curve int, key long, {columns}")
+    dealt = keyed.repartitionByRange(partitions, "curve", "key", "point").sortWithinPartitions("curve", "key", "point")
+    return map_batches(dealt, number, f"curve int, part int, place long, {columns}")
 
 
-def _bounds(hits: DataFrame, k: int) -> DataFrame:
-    """(row, least): the k-th best product of each query over all windows, each candidate once."""
-    each = hits.select("row", F.explode(F.arrays_zip("rows", "scores")).alias("h")).select("row", F.col("h.rows").alias("other"), F.col("h.scores").alias("score")).distinct()
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "other"))
-    return each.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("row").alias("bound_row"), F.col("score").alias("least"))
+def _ranked(points: DataFrame, partitions: int) -> tuple[DataFrame, int]:
+    """(curve, rank and the point's columns; number of points)."""
+    ordered = written(_ordered(points, partitions), "ann-curves")
+    counts = sorted((r["curve"], r["part"], r["count"]) for r in ordered.groupBy("curve", "part").count().collect())  # a row a part and curve
+    before, rows = {}, []
+    for curve, part, n in counts:
+        rows.append((curve, part, before.get(curve, 0)))
+        before[curve] = before.get(curve, 0) + n
+    offsets = ordered.sparkSession.createDataFrame(rows, "of int, of_part int, before long")
+    ranked = ordered.join(F.broadcast(offsets), (F.col("curve") == F.col("of")) & (F.col("part") == F.col("of_part")))
+    return ranked.select("curve", (F.col("before") + F.col("place")).alias("rank"), "point", "vec_id", "asks", "embedding"), max(before.values(), default=0)
 
 
-def search(vectors: DataFrame, queries, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows nearest to each row for which the condition queries holds."""
-    spark = vectors.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    taking = written(valid_vectors(vectors).withColumn("row", F.monotonically_increasing_id()).withColumn("is_query", F.coalesce(queries, F.lit(False))), "ann-vectors")
-    keyed = _keyed(taking)
-    ordered = keyed.repartitionByRange(blocks, "curve", "key", "row").sortWithinPartitions("curve", "key", "row")
-    least = written(_bounds(_windows(ordered, k), k), "ann-bounds")
-    # the first curve's ranges as blocks
-    first = keyed.where("curve = 0")
-    cuts = first.agg(F.percentile_approx("key", F.array(*[F.lit((i + 1) / blocks) for i in range(blocks - 1)] or [F.lit(0.5)]), 10_000)).first()[0] or []
-    spread = _in_blocks(first, sorted(set(cuts)), len(set(cuts)) + 1)
-    spread = written(spread, "ann-blocks")
-    outline = {r["block"]: (np.frombuffer(r["centre"]), r["radius"]) for r in _outlines(spread).collect()}  # one row a block
-    asking = taking.where("is_query").join(least, F.col("row") == F.col("bound_row"), "left").select("row", "vec_id", "embedding", F.coalesce("least", F.lit(-1e300)).alias("least"))
-    visits = _visits(asking, outline)
-    hits = _visit(spread, visits, blocks, k)
-    each = hits.select("row", "query_id", F.explode(F.arrays_zip("ids", "rows", "scores")).alias("h")).select("row", "query_id", F.col("h.ids").alias("vec_id"), F.col("h.rows").alias("other"), F.col("h.scores").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "other"))
-    return each.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-_BLOCKED = "block int, row long, vec_id long, least double, asks boolean, embedding array<double>"
-_BLOCKED_NAMES = [c.split()[0] for c in _BLOCKED.split(", ")]
-
-
-def _in_blocks(first: DataFrame, cuts: list[int], blocks: int) -> DataFrame:
-    """Vectors dealt to blocks by key; equal keys, of which one may have very many, are dealt on by row."""
-    edges = np.array(cuts, dtype=np.int64)
+_HITS = "point binary, other binary, vec_id long, score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = np.searchsorted(edges, batch.column("key").to_numpy()).astype(np.int32)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(block), batch.column("row"), batch.column("vec_id"), pa.nulls(n, pa.float64()), pa.array(np.zeros(n, dtype=bool)), batch.column("embedding")], _BLOCKED_NAMES)
-
-    return first.mapInArrow(run, _BLOCKED)
 
+def _hits(rows: list[tuple]) -> pa.RecordBatch:
+    """From (point, others, their ids, products) of each query."""
+    many = [len(r[2]) for r in rows]
+    asked = [p for (p, *_), n in zip(rows, many) for _ in range(n)]
+    columns = [asked, [o for r in rows for o in r[1]], *(np.concatenate([r[j] for r in rows]) if rows else () for j in (2, 3))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.float64()))], ["point", "other", "vec_id", "score"])
 
-def _outlines(spread: DataFrame) -> DataFrame:
-    """Centre and radius of each block, in two passes of partial sums and maxima."""
-    sums = spread.select("block", F.posexplode("embedding").alias("at", "v")).groupBy("block", "at").agg(F.avg("v").alias("v"))
-    centres = sums.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("c"))  # one value a dimension
-    centres = centres.select(F.col("block").alias("of"), "c")
-    far = spread.join(F.broadcast(centres), F.col("block") == F.col("of"))  # one row a block
-    squared = F.aggregate(F.zip_with("embedding", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    out = far.groupBy("block").agg(F.sqrt(F.max(squared)).alias("radius"), F.first("c").alias("c"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [np.array(c, dtype=np.float64).tobytes() for c in batch.column("c").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packed, pa.binary()), batch.column("radius")], ["block", "centre", "radius"])
+def _first(hits: DataFrame, k: int) -> DataFrame:
+    """The k nearest others of each point."""
+    order = Window.partitionBy("point").orderBy(F.desc("score"), "vec_id", "other")
+    return hits.distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).drop("at")
 
-    return out.select("block", "radius", "c").mapInArrow(run, "block int, centre binary, radius double")
 
-
-def _visits(asking: DataFrame, outline: dict) -> DataFrame:
-    """A row for each query and block that may hold one of its neighbours."""
-    shared = asking.sparkSession.sparkContext.broadcast(outline)  # a row a block
+def brute_force(points: DataFrame, asked: list[tuple[bytes, np.ndarray]], k: int) -> DataFrame:
+    """The k nearest others of a bounded number of points, by all products: each task keeps k of each."""
+    shared = points.sparkSession.sparkContext.broadcast(([p for p, _ in asked], np.stack([v for _, v in asked])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = sorted(shared.value)
-        if not names:
-            return
-        centres, radii = np.stack([shared.value[b][0] for b in names]), np.array([shared.value[b][1] for b in names])
+        names, q = shared.value
+        best: list[tuple] = [([], np.empty(0, dtype=np.int64), np.empty(0)) for _ in names]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, least = _matrix(batch.column("embedding")), batch.column("least").to_numpy()
-            top = x @ centres.T + np.linalg.norm(x, axis=1)[:, None] * radii
-            query, block = np.nonzero(top * (1 + 1e-9) + 1e-9 >= least[:, None])
-            at = pa.array(query)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, dtype=np.int32)[block]), *[batch.column(c).take(at) for c in ("row", "vec_id", "least")], pa.array(np.ones(len(query), dtype=bool)), batch.column("embedding").take(at)], _BLOCKED_NAMES)
-
-    return asking.mapInArrow(run, _BLOCKED)
-
-
-def _visit(spread: DataFrame, visits: DataFrame, blocks: int, k: int) -> DataFrame:
-    """In each block, the best of its vectors for each query that visits it."""
-    dealt = spread.unionByName(visits).repartitionById(blocks, F.pmod("block", F.lit(blocks)).cast("int")).sortWithinPartitions("block", "asks")
+            x, ids, others = _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(), batch.column("point")
+            scores = q @ x.T
+            for j in range(len(names)):
+                found, exact = _best(scores[j], x, q[j], ids, k)
+                merged = [*best[j][0], *others.take(pa.array(found)).to_pylist()], np.concatenate((best[j][1], ids[found])), np.concatenate((best[j][2], exact))
+                order = np.lexsort((merged[1], -merged[2]))[:k]
+                best[j] = [merged[0][o] for o in order], merged[1][order], merged[2][order]
+        yield _hits([(names[j], *best[j]) for j in range(len(names))])
+
+    return _first(map_batches(points.select("point", "vec_id", "embedding"), run, _HITS), k)
+
+
+def _window(points: DataFrame, ranked: DataFrame, k: int) -> int:
+    """Ranks to both sides within which, on the nearest curve, a share TARGET of true neighbours stands."""
+    sample = points.where("asks").orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("point", "embedding").collect()
+    if not sample:
+        return 0
+    true = brute_force(points, [(bytes(r["point"]), np.array(r["embedding"], dtype=np.float64)) for r in sample], k).select("point", "other").collect()  # SAMPLE * k rows
+    wanted = {bytes(r[c]) for r in true for c in ("point", "other")}
+    places = ranked.join(F.broadcast(ranked.sparkSession.createDataFrame([(bytearray(p),) for p in wanted], "wanted binary")), F.col("point") == F.col("wanted")).select("point", "curve", "rank").collect()
+    at = {(bytes(r["point"]), r["curve"]): r["rank"] for r in places}
+    least = [min(abs(at[bytes(r["point"]), c] - at[bytes(r["other"]), c]) for c in range(CURVES)) for r in true]
+    return int(np.quantile(least, TARGET, method="higher"))
+
+
+def _in_windows(ranked: DataFrame, points: int, window: int, k: int) -> DataFrame:
+    """The k nearest others of each asking point in each block of its windows."""
+    block = lambda rank: F.floor(rank / ROWS).cast("long")
+    from_, to = block(F.greatest(F.col("rank") - window, F.lit(0))), block(F.least(F.col("rank") + window, F.lit(max(0, points - 1))))
+    visits = ranked.where("asks").withColumn("block", F.explode(F.sequence(from_, to)))
+    both = ranked.withColumns({"block": block(F.col("rank")), "asks": F.lit(False)}).unionByName(visits).select("curve", "block", "asks", "point", "vec_id", "embedding")
+    dealt = both.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, matrix = None, [], None
+        current, held, there = None, [], None
         for batch in batches:
-            block, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
-            x, ids, rows, least = _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(), batch.column("row").to_numpy(), batch.column("least").to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])))) if len(block) else []
-            for a, b in zip(edges, [*edges[1:], len(block)]):
-                if block[a] != current:
-                    current, held, matrix = block[a], [], None
+            curve, blocks, asks = batch.column("curve").to_numpy(), batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            if not batch.num_rows:
+                continue
+            x, ids, names = _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(), batch.column("point").to_pylist()
+            edges = np.flatnonzero(np.concatenate(([True], (curve[1:] != curve[:-1]) | (blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1]))))
+            for a, b in zip(edges, [*edges[1:], len(curve)]):
+                if (curve[a], blocks[a]) != current:
+                    current, held, there = (curve[a], blocks[a]), [], None
                 if not asks[a]:
-                    held.append((x[a:b], ids[a:b], rows[a:b]))
+                    held.append((x[a:b], ids[a:b], names[a:b]))  # ROWS at most
                     continue
-                if matrix is None:
-                    matrix = tuple(np.concatenate([h[j] for h in held]) for j in range(3))
+                if there is None:
+                    there = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [n for h in held for n in h[2]]
                 for at in range(a, b, 256):
-                    upto = min(b, at + 256)
-                    scores, found = x[at:upto] @ matrix[0].T, []
+                    upto, found = min(b, at + 256), []
+                    scores = x[at:upto] @ there[0].T
                     for j in range(upto - at):
-                        own = scores[j]
-                        own[matrix[1] == ids[at + j]] = -np.inf
-                        best, exact = _best(own, matrix[0], x[at + j], matrix[1], k, float(least[at + j]))
-                        if len(best):
-                            found.append((int(rows[at + j]), int(ids[at + j]), matrix[1][best], matrix[2][best], exact))
+                        best, exact = _best(scores[j], there[0], x[at + j], there[1], k)
+                        found.append((names[at + j], [there[2][o] for o in best], there[1][best], exact))
                     yield _hits(found)
 
-    return dealt.mapInArrow(run, _HITS)
+    return map_batches(dealt, run, _HITS)
+
+
+def search(vectors: DataFrame, queries, k: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows found nearest to each row for which the condition queries holds."""
+    spark = vectors.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    taking = written(_named(valid_vectors(vectors, F.coalesce(queries, F.lit(False)))).withColumn("row", F.monotonically_increasing_id()), "ann-vectors")
+    points, rows = _points(taking, k)
+    points = written(points, "ann-points")
+    ranked, n = _ranked(points, partitions)
+    # a point is its own neighbour by its other rows, so one more is looked for
+    near = _first(_in_windows(ranked, n, _window(points, ranked, k + 1), k + 1), k + 1)
+    members = rows.select(F.col("point").alias("of"), F.col("vec_id").alias("id"), F.col("row").alias("other_row"))
+    each = near.join(members, F.col("other") == F.col("of")).select("point", "other_row", "id", "score")
+    order = Window.partitionBy("point").orderBy(F.desc("score"), "id", "other_row")
+    lists = each.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1).drop("at").withColumnRenamed("point", "asked")
+    asking = taking.where("asks").select("point", F.col("vec_id").alias("query_id"), "row")
+    hits = salted_join(asking, F.col("row"), lists, F.col("point") == F.col("asked")).where(F.col("row") != F.col("other_row"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "id", "other_row"))
+    return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
