@@ -9,7 +9,8 @@ A host and path rule fits its host and all subdomains if the path starts with th
 the rules that fit, the longest wins (ties: the longer host, then the smaller rule).
 
 Defined results: a URL that is null or has no ``://`` has an empty host and path, fits no rule
-and gets the default verdict, as does any URL that no rule fits.
+and gets the default verdict, as does any URL that no rule fits; hosts and paths may hold any
+other character, line feeds too; repeated rows are judged each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_batches
+
 ALLOW, BLOCK = "allow", "block"
 #: Rules are shipped to the executors as one broadcast value of at most this many characters; larger sets are split.
 RULE_SET_CHARS = 50_000_000
@@ -40,8 +43,8 @@ class Rule:
 
     @property
     def pattern(self) -> str:
-        """For a URL's host and path with a line feed between."""
-        return r"\A(?:[^\n]*\.)?" + re.escape(self.host) + r"\n" + re.escape(self.path)
+        """For a URL's host and path with a slash between, which no host has."""
+        return r"\A(?:[^/]*\.)?" + re.escape(self.host) + "/" + re.escape(self.path)
 
     @property
     def tokens(self) -> list[str]:
@@ -82,7 +85,7 @@ class RuleIndex:
     def judge(self, host: str, path: str) -> Rule | None:
         if not host and not path:
             return None
-        text, best = f"{host}\n{path}", None
+        text, best = f"{host}/{path}", None
         tokens = set(_TOKEN.findall(text))
         for rule in [*self.always, *(r for t in tokens & self.by_token.keys() for r in self.by_token[t])]:
             order = (-len(rule.name), -len(rule.host), rule.name, rule.verdict)
@@ -128,4 +131,4 @@ def _apply(parts: DataFrame, index: RuleIndex) -> DataFrame:
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], batch.schema.names)
 
-    return parts.mapInArrow(run, parts.schema)
+    return map_batches(parts, run, parts.schema)
