@@ -5,26 +5,29 @@ are rendered; where each rendering begins with the one before, what was added is
 turn's span.  A template that changes what it had rendered before rewrites history: its spans
 can't be told from prefixes, and that is reported.
 
-For a conversation of more than ``WHOLE`` turns the prefixes beyond it are rendered without the
-turns in between (first turn, the one before, the new one), which finds the same added text for
-templates that look no further back; the whole rendering must then equal all parts put
-together, else every prefix is rendered.
+Every prefix is rendered, however many turns there are, as a template may rewrite history at any
+of them: the work grows with the square of a conversation's turns.
 
 Defined results: null texts and roles are empty; turns are ordered by turn, then role and text
-(nulls first), so ties have one order and repeated rows are turns of their own.
+(nulls first), so ties have one order and repeated rows are turns of their own; rows without a
+conversation id are one conversation; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_batches
+
 Turn = tuple[str, str]
-WHOLE = 48
+#: Turns whose escaped form the default template keeps, and their longest text.
+KEPT, KEPT_CHARS = 2048, 4096
 
 
 class HistoryRewritten(ValueError):
@@ -33,9 +36,14 @@ class HistoryRewritten(ValueError):
 
 def render(turns: list[Turn]) -> str:
     """The default template. Control strings hold # or <, which texts only have behind a backslash."""
-    return "".join(f"### {escape(role, _ROLE)}: {escape(text)}</turn>\n" for role, text in turns)
+    return "".join([_kept_turn(role, text) if len(text) <= KEPT_CHARS else _turn(role, text) for role, text in turns])
+
+
+def _turn(role: str, text: str) -> str:
+    return f"### {escape(role, _ROLE)}: {escape(text)}</turn>\n"
 
 
+_kept_turn = lru_cache(maxsize=KEPT)(_turn)
 _TEXT = str.maketrans({c: "\\" + c for c in "\\#<"})
 _ROLE = str.maketrans({c: "\\" + c for c in "\\#<:"})
 
@@ -57,13 +65,8 @@ def unescape(text: str) -> str:
     return "".join(out)
 
 
-def locate(turns: list[Turn], template: Callable[[list[Turn]], str] = render, whole: int = WHOLE) -> tuple[str, list[tuple[int, int]]]:
-    """(rendering, span of each turn in it)."""
-    if len(turns) > whole:
-        try:
-            return _locate_near(turns, template, whole)
-        except HistoryRewritten:
-            pass
+def locate(turns: list[Turn], template: Callable[[list[Turn]], str] = render) -> tuple[str, list[tuple[int, int]]]:
+    """(rendering, span of each turn in it), from the renderings of all prefixes."""
     before, spans = template([]), []
     for k in range(1, len(turns) + 1):
         now = template(turns[:k])
@@ -74,21 +77,6 @@ def locate(turns: list[Turn], template: Callable[[list[Turn]], str] = render, wh
     return before, spans
 
 
-def _locate_near(turns: list[Turn], template: Callable[[list[Turn]], str], whole: int) -> tuple[str, list[tuple[int, int]]]:
-    text, spans = locate(turns[:whole], template, whole)
-    parts, at = [text], len(text)
-    for k in range(whole, len(turns)):
-        shorter = template([turns[0], turns[k - 1]])
-        longer = template([turns[0], turns[k - 1], turns[k]])
-        if not longer.startswith(shorter):
-            raise HistoryRewritten(f"turn {k + 1} changes the rendering of the turns before it")
-        parts.append(longer[len(shorter) :])
-        spans.append((at, at := at + len(parts[-1])))
-    if (rendered := template(turns)) != "".join(parts):
-        raise HistoryRewritten("a turn's rendering depends on turns further back")
-    return rendered, spans
-
-
 def parse_turn(rendered: str) -> tuple[str, int, int]:
     """(role, start, end of the text's span) of one turn of the default template."""
     at = 4
@@ -141,4 +129,4 @@ def format_conversations(conversations: DataFrame, keep_text: bool = False) -> D
             yield out()
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long" + (", formatted string" if keep_text else "")
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)
