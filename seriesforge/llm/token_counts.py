@@ -5,31 +5,35 @@ that begins some token, the last tokens at its positions and their counts relati
 newest one.  Each transition is annotated with the (signed) number of tokens it emits.  States
 are compiled when first reached and are the same for all words that agree on them.
 
-A long text is cut into chunks.  A chunk's state map is kept as the text before its first
-white space, the count of what lies between and the text after its last: whatever the state
-before the chunk, only the first part depends on it.  Maps compose associatively, so they are
-combined by a prefix scan in pairs.
+A text is cut into chunks, each with a state map: from the state before the chunk to the state
+after it and the tokens emitted between.  White space ends words, so chunks of whole words have
+the start state on both sides and a count.  A word too long for one chunk is cut anywhere; the map
+of such a part is worked out for the state that the letters just before it lead to, and for
+another state only until it meets the first one's path, from where the rest is the same.  Maps
+compose associatively and are combined by a scan in pairs.
 
 Defined results: a null text is an empty one with no tokens; special strings inside a text
-count as one token each; repeated rows each get their own row.
+count as one token each; repeated rows each get their own row; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import gc
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocabulary import Suffix, WordBpe, load_word_bpe
+from .storage import map_batches, portions
+from .vocabulary import Suffix, WordBpe, load_word_bpe, uncollected
 
-KEPT = 300_000
-#: Characters of a chunk of a long text.
-CHUNK = 1 << 20
-_SPACE = re.compile(r"[^\S\x1c-\x1f]")
+#: Chunks, pieces and states that a worker keeps, and the longest of them.
+KEPT, KEPT_LETTERS = 200_000, 64
+#: Words of a chunk.
+WORDS = 1 << 16
+#: Letters of a chunk that is part of a long word; letters before it that are read to guess its state; letters
+#: from one place to the next where paths are compared.
+PART, BEFORE, STEP = 1 << 14, 256, 64
 
 
 class State:
@@ -76,17 +80,76 @@ class CountTransducer:
         emitted = state.final[letter] = self._last(state, ends)[1]
         return emitted
 
-    def count(self, piece: str) -> int:
-        """Tokens of a piece in byte letters."""
-        state, total = self.start, 0
-        for letter in piece[:-1]:
+    def walk(self, state: State, letters: str) -> tuple[State, int]:
+        """State map of letters inside a word, at one state."""
+        total = 0
+        for letter in letters:
             if (found := state.inner.get(letter)) is None:
                 found = self.step(state, letter)
             state = found[0]
             total += found[1]
-        if (emitted := state.final.get(piece[-1])) is None:
-            emitted = self.finish(state, piece[-1])
-        return total + emitted
+        return state, total
+
+    def end(self, state: State, letter: str) -> int:
+        """Tokens that a word's last letter emits."""
+        if (emitted := state.final.get(letter)) is None:
+            emitted = self.finish(state, letter)
+        return emitted
+
+    def count(self, piece: str) -> int:
+        """Tokens of a piece in byte letters."""
+        state, total = self.walk(self.start, piece[:-1])
+        return total + self.end(state, piece[-1])
+
+
+class Words:
+    """The state map of whole words: from start to start."""
+
+    def __init__(self, start: State, tokens: int):
+        self.start, self.tokens = start, tokens
+
+    def at(self, state: State) -> tuple[State, int]:
+        if state is not self.start:
+            raise ValueError("words begin in the start state")
+        return state, self.tokens
+
+
+class Part:
+    """The state map of a part of a long word, known along the path of one state before it."""
+
+    def __init__(self, transducer: CountTransducer, before: str, letters: str, last: bool):
+        self.transducer, self.letters, self.last = transducer, letters[: len(letters) - last], letters[-1] if last else ""
+        state, total = transducer.walk(transducer.start, before)[0], 0
+        self.path = [(state, 0)]  # the state and the tokens so far after each STEP letters
+        for k in range(0, len(self.letters), STEP):
+            state, more = transducer.walk(state, self.letters[k : k + STEP])
+            total += more
+            self.path.append((state, total))
+
+    def at(self, state: State) -> tuple[State, int]:
+        total, k = 0, 0
+        while k < len(self.path) - 1 and state is not self.path[k][0]:
+            state, more = self.transducer.walk(state, self.letters[k * STEP : (k + 1) * STEP])
+            total += more
+            k += 1
+        if state is self.path[k][0]:
+            state, total = self.path[-1][0], total + self.path[-1][1] - self.path[k][1]
+        return (self.transducer.start, total + self.transducer.end(state, self.last)) if self.last else (state, total)
+
+
+class Composed:
+    """The state map of two chunks that follow each other."""
+
+    def __init__(self, left, right):
+        self.left, self.right = left, right
+        self.known: dict[State, tuple[State, int]] = {}
+
+    def at(self, state: State) -> tuple[State, int]:
+        if (found := self.known.get(state)) is None:
+            between, tokens = self.left.at(state)
+            after, more = self.right.at(between)
+            found = self.known[state] = after, tokens + more
+        return found
 
 
 class TokenCounter:
@@ -96,13 +159,19 @@ class TokenCounter:
         self.known: dict[str, int] = {}
         self.known_pieces: dict[str, int] = {}
 
-    def learn(self, chunk: str) -> int:
+    def learn(self, run: str) -> int | None:
+        """Tokens of a run without white space; none if it has a piece of more than PART letters."""
         pieces, total = self.known_pieces, 0
-        for piece in self.bpe.pieces(chunk):
+        for piece in self.bpe.pieces(run):
+            if len(piece) > PART:
+                return None
             if (count := pieces.get(piece)) is None:
-                count = pieces[piece] = self.transducer.count(piece)
+                count = self.transducer.count(piece)
+                if len(piece) <= KEPT_LETTERS:
+                    pieces[piece] = count
             total += count
-        self.known[chunk] = total
+        if len(run) <= KEPT_LETTERS:
+            self.known[run] = total
         return total
 
     def trim(self) -> None:
@@ -112,48 +181,35 @@ class TokenCounter:
             self.known_pieces.clear()
         if len(self.transducer.states) > KEPT:
             self.transducer.reset()
-
-    def count_run(self, text: str) -> int:
-        """Tokens of a text without special strings."""
-        total = 0
-        known, learn = self.known.get, self.learn
-        for chunk in self.bpe.chunks(text):
-            if (count := known(chunk)) is None:
-                count = learn(chunk)
-            total += count
-        return total
-
-    def chunk_map(self, text: str) -> tuple[str, int, str] | str:
-        """The chunk's state map: (text before its first white space, count between, text after its last)."""
-        first = _SPACE.search(text)
-        if first is None:
-            return text
-        last = len(text) - 1
-        while not _SPACE.match(text, last):
-            last -= 1
-        return text[: first.start()], self.count_run(text[first.start() : last + 1]), text[last + 1 :]
-
-    def compose(self, left, right):
-        """The state map of two chunks that follow each other; associative."""
-        if type(left) is str:
-            return left + right if type(right) is str else (left + right[0], right[1], right[2])
-        if type(right) is str:
-            return left[0], left[1], left[2] + right
-        return left[0], left[1] + self.count_run(left[2] + right[0]) + right[1], right[2]
+        self.bpe.trim()
+
+    def maps(self, section: str) -> Iterator[Words | Part]:
+        """The state maps of the chunks of a text without special strings."""
+        known, learn, start, total = self.known.get, self.learn, self.transducer.start, 0
+        for k, run in enumerate(self.bpe.chunks(section)):
+            if (count := known(run)) is None and (count := learn(run)) is None:
+                yield Words(start, total)
+                total = 0
+                for piece in self.bpe.pieces(run):
+                    for at in range(0, len(piece), PART):
+                        yield Part(self.transducer, piece[max(0, at - BEFORE) : at], piece[at : at + PART], at + PART >= len(piece))
+            else:
+                total += count
+            if k % WORDS == WORDS - 1:
+                yield Words(start, total)
+                total = 0
+        yield Words(start, total)
 
     def count(self, text: str) -> int:
         total = 0
         for section in self.bpe.sections(text):
             if section in self.bpe.special:
                 total += 1
-            elif len(section) <= CHUNK:
-                total += self.count_run(section)
-            else:
-                maps = [self.chunk_map(section[at : at + CHUNK]) for at in range(0, len(section), CHUNK)]
-                while len(maps) > 1:
-                    maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-                whole = maps[0]
-                total += self.count_run(whole) if type(whole) is str else self.count_run(whole[0]) + whole[1] + self.count_run(whole[2])
+                continue
+            maps = list(self.maps(section))
+            while len(maps) > 1:
+                maps = [Composed(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+            total += maps[0].at(self.transducer.start)[1]
             self.trim()
         return total
 
@@ -174,14 +230,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary)
-        gc.disable()  # millions of small objects that stay; none in cycles but the states, which are kept anyway
         for batch in batches:
-            texts, sizes, counts = batch.column("text"), [], []
-            for at in range(batch.num_rows):
-                text = texts[at].as_py() or ""
-                sizes.append(len(text.encode()))
-                counts.append(counter.count(text))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    counted = source.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long")
+            for part in portions(batch, 512):
+                with uncollected():
+                    texts = [t or "" for t in part.column("text").to_pylist()]
+                    counts = [counter.count(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+    counted = map_batches(source, run, f"doc_id {id_type}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

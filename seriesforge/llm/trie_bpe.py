@@ -12,10 +12,8 @@ inside a text become their own ids; repeated rows each get their own row.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import map_batches, portions
-from .vocabulary import WordBpe, load_word_bpe
+from .vocabulary import WordBpe, load_word_bpe, uncollected
 
 #: What a worker keeps of what it has encoded: chunks, their letters and their tokens; beyond any of these
 #: only chunks of the text at hand stay.
@@ -192,18 +190,6 @@ class TrieEncoder:
             yield ends[k + 1] - ends[k], decimal, plain, ids[ends[k] : ends[k + 1]]
 
 
-@contextmanager
-def uncollected() -> Iterator[None]:
-    """Without garbage collection: what is made here has no cycles, and looking for some takes long."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
-
-
 def decode(ids: list[int], bpe: WordBpe) -> str:
     """The text of ids: without a decoder of its own, a vocabulary's tokens are joined by a space."""
     return " ".join(bpe.names[i] for i in ids)

@@ -7,9 +7,12 @@ are written as printable characters and the last one of a piece carries the word
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import islice
 
@@ -184,6 +187,18 @@ class WordBpe:
                 before, right = b[0] + 1, b[1]
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without garbage collection: what is made here has no cycles, and looking for some takes long."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(maxsize=4)
 def load_word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
