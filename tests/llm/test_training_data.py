@@ -48,13 +48,28 @@ def test_encoding_equals_the_library(spark, library):
         assert counts[k].n_bytes == len((text or "").encode()) and counts[k].over_limit == (len(ids) > 2048)
 
 
-def test_chunk_maps_compose(library, monkeypatch):
+@pytest.mark.parametrize("part, before, step", [(5, 0, 1), (7, 3, 2), (20, 20, 64)])
+def test_chunk_maps_compose(library, monkeypatch, part, before, step):
+    for name, value in {"PART": part, "BEFORE": before, "STEP": step, "WORDS": 3}.items():
+        monkeypatch.setattr(token_counts, name, value)
     counter = token_counts.TokenCounter(load_word_bpe(default_vocabulary()))
-    monkeypatch.setattr(token_counts, "CHUNK", 5)
-    for text in random_texts(400, 8):
+    for text in random_texts(300, 8) + ["tion" * 50, "internationalisation" * 9 + "é" * 40, "x" * 99]:
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+def test_a_part_has_one_map_for_all_states(monkeypatch):
+    """A part's map at any state equals a walk from that state."""
+    monkeypatch.setattr(token_counts, "STEP", 2)
+    transducer, rng = token_counts.CountTransducer(load_word_bpe(default_vocabulary())), random.Random(3)
+    letters = lambda n: "".join(rng.choice("etaoinsr") for _ in range(n))
+    for _ in range(200):
+        part, last = letters(rng.randint(2, 40)), rng.random() < 0.3
+        state = transducer.walk(transducer.start, letters(rng.randint(1, 9)))[0]
+        after, tokens = transducer.walk(state, part[: len(part) - last])
+        want = (transducer.start, tokens + transducer.end(after, part[-1])) if last else (after, tokens)
+        assert token_counts.Part(transducer, letters(rng.randint(0, 5)), part, last).at(state) == want
+
+
 def test_round_trip_of_ids(library):
     bpe = load_word_bpe(default_vocabulary())
     for _, _, plain, ids in trie_bpe.TrieEncoder(bpe).encode([t or "" for t in ODD_TEXTS]):
@@ -65,12 +80,13 @@ def test_round_trip_of_ids(library):
 
 
 def test_url_rules(spark):
-    urls = [None, "", "nothing", "http://a.EXAMPLE.com/en/1?x", "https://www.example.com/en/", "http://example.com", "http://x.net/fr/a#b", "http://notexample.com/en/", "http://net/es/", "x://com/?", "://com/"]
+    urls = [None, "", "nothing", "http://a.EXAMPLE.com/en/1?x", "https://www.example.com/en/", "http://example.com", "http://x.net/fr/a#b", "http://notexample.com/en/", "http://net/es/", "x://com/?", "://com/", "http://a\nb.com/x\ny", "http://\ncom/", "http://x.net/fr/" + "z" * 50_000, "http://x.net/fr/a#b"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
     got = [(r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(pages, queries.URL_RULES).orderBy("page_id").collect()]
     assert got == [
         ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("a.example.com", "/en/1", "example.com/en/", "block"), ("www.example.com", "/en/", "www.example.com/en/", "allow"),
         ("example.com", "", None, "allow"), ("x.net", "/fr/a", "net/fr/", "block"), ("notexample.com", "/en/", "com/", "allow"), ("net", "/es/", "net/es/", "block"), ("com", "/", "com/", "allow"), ("com", "/", "com/", "allow"),
+        ("a\nb.com", "/x\ny", "com/", "allow"), ("\ncom", "/", None, "allow"), ("x.net", "/fr/" + "z" * 50_000, "net/fr/", "block"), ("x.net", "/fr/a", "net/fr/", "block"),
     ]
     assert url_filters.judge_urls(pages.where("false"), queries.URL_RULES).count() == 0
 
@@ -105,6 +121,25 @@ def test_neighbours_equal_brute_force(spark):
     assert hilbert_search.search(few.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("dimensions", [3, 32])
+def test_windows_find_nine_of_ten(spark, monkeypatch, dimensions):
+    """Recall of the merged windows alone, over more points than a window holds."""
+    monkeypatch.setattr(hilbert_search, "ROWS", 32)
+    rng = np.random.default_rng(dimensions)
+    x = rng.standard_normal((3000, dimensions)) @ rng.standard_normal((dimensions, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[100:180] = x[100]  # equal vectors
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(100, [float(v) for v in x[100]])]
+    got = hilbert_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"row": F.lit("clash"), "point": F.lit(1)}), F.col("vec_id") % 20 == 0).collect()
+    hit, asked = 0, [q for q in range(0, 3000, 20) if q not in range(100, 180)]
+    for q in asked:
+        scores = x @ x[q]
+        true = sorted((-scores[k], k) for k in range(3000) if k != q)[:20]
+        hit += len({k for _, k in true} & {r.vec_id for r in got if r.query_id == q})
+    assert hit >= 0.9 * 20 * len(asked)
+    assert sorted((r.rank, r.vec_id) for r in got if r.query_id == 120)[:3] == [(1, 100), (2, 100), (3, 101)]
+
+
 def test_hilbert_keys_are_neighbours():
     cells = np.array(list(itertools.product(range(4), repeat=3)))
     order = cells[np.argsort(hilbert_search.hilbert_keys(cells, 2))]
@@ -215,6 +250,23 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive(df.where("false")).count() == 0
 
 
+def test_far_off_ids_make_even_shards(spark):
+    ids = [*range(200), 1 << 62, -(1 << 62), 5, 5, None, None]
+    pages = spark.createDataFrame([(i, f"http://x/{k}", f"page {k} " * (40 * (k % 8))) for k, i in enumerate(ids)], "page_id long, url string, html string")
+    root = warc.fresh_path(spark, "warc-test")
+    manifest = warc.write_archives(pages, root).collect()
+    per = {r.shard: r.records for r in manifest}
+    assert sum(per.values()) == len(ids) and len(per) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(per.values()) <= 2 * len(ids) / len(per)
+    assert sorted(r.page_id for r in warc.read_archives(spark.read.parquet(f"{root}/manifest"), root).where("page_id is not null").collect()) == sorted(i for i in ids if i is not None)
+
+
+def test_equal_payloads_far_apart_and_long(spark):
+    long = "x" * 3_000_000
+    pages = spark.createDataFrame([(1, "u", long), (10**15, "u", long), (500, "v", "y" * 1000), (501, "v", "y" * 1000), (7, "w", "y" * 999)], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(pages).collect()}
+    assert got == {1: (3_000_000, "revisit", 10**15), 10**15: (3_000_000, "response", None), 500: (1000, "revisit", 501), 501: (1000, "response", None), 7: (999, "response", None)}
+
+
 # -- decontamination -----------------------------------------------------------------------
 
 
@@ -395,6 +447,24 @@ def test_templates_that_rewrite_history_are_told():
         chat_format.locate([("u", "a"), ("a", "b")], lambda turns: f"{len(turns)}: " + "".join(t for _, t in turns))
 
 
+def test_history_rewritten_late_is_told():
+    def template(turns):
+        return "".join(t if len(turns) < 50 or k < 30 else t.upper() for k, (_, t) in enumerate(turns))
+
+    chat_format.locate([("u", "a")] * 49, template)
+    with pytest.raises(chat_format.HistoryRewritten):
+        chat_format.locate([("u", "a")] * 60, template)
+
+
+def test_chat_ties_repeats_and_clashes(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 1, "assistant", "x")]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit("clash"))
+    got = {r.conv_id: r for r in chat_format.format_conversations(chats, keep_text=True).collect()}
+    assert got[1].formatted == chat_format.render([("", ""), ("user", "a"), ("user", "a"), ("user", "b")]) and got[1].n_turns == 4
+    assert got[None].loss_chars == 1
+    assert chat_format.format_conversations(chats.where("false")).count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark, sf_dir):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     out = corpus_pipeline.run(spark, sf_dir)
