@@ -17,10 +17,13 @@ SALTS = 16
 
 
 def salted_join(left: DataFrame, spread: Column, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """A join with a right side that has a row a key at most; a key with very many rows on the left is dealt on by spread."""
+    """A join with a right side of few rows a key; a key with very many rows on the left is dealt on by spread.
+
+    Merged by sorting: the repeated right side is never broadcast, however small it was before.
+    """
     dealt = left.withColumn("salt_l", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     each = right.withColumn("salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(each, on & (F.col("salt_l") == F.col("salt_r")), how).drop("salt_l", "salt_r")
+    return dealt.join(each.hint("merge"), on & (F.col("salt_l") == F.col("salt_r")), how).drop("salt_l", "salt_r")
 
 
 def _contracted(links: DataFrame) -> DataFrame:

@@ -38,6 +38,8 @@ REACH = 8
 SUPPORT = 3
 #: Share of the entity's information from which a term counts as disclosing.
 DISCLOSURE = 0.8
+#: One in so many documents gives a first lower bound of what terms' document counts are.
+PART = 8
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -265,15 +267,26 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def disclosing(near: DataFrame, docs: DataFrame, n_docs: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, share) of the pairs at or above the threshold."""
+    """(entity, term, share) of the pairs at or above the threshold.
+
+    A term's documents are at least those where it stands beside an entity, and at least those among
+    any part of the documents, which bounds its shares from above.  Both bounds only spare work: every
+    term that can still reach the threshold is counted in all documents, and no other could reach it.
+    """
     per_entity = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("entity_df"))
+    per_term = near.groupBy(F.col("term").alias("of_term")).agg(F.countDistinct("doc_id").alias("near_df"))
     together = near.groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("co")).join(per_entity, "entity")
-    together = written(together, "pii-together")
-    df = term_counts(docs, together)
     n = F.lit(float(max(1, n_docs)))
     informative = F.log2(n / F.col("entity_df"))
-    share = F.when(informative > 0, F.log2(n * F.col("co") / (F.col("entity_df") * F.col("df"))) / informative)
-    return together.join(df.where(F.col("df") >= support), "term").withColumn("share", share).where(F.col("share") >= disclosure).select("entity", "term", "share")
+    share = lambda df: F.when(informative > 0, F.log2(n * F.col("co") / (F.col("entity_df") * df)) / informative)
+    bounded = salted_join(together, F.col("entity"), per_term, F.col("term") == F.col("of_term")).where(share(F.greatest("near_df", F.lit(support))) >= disclosure - 1e-9)
+    together = written(bounded.select("entity", "term", "co", "entity_df"), "pii-together")
+    some = term_counts(docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(PART)) == 0), together).withColumnRenamed("term", "of_term")
+    bounded = salted_join(together, F.col("entity"), some, F.col("term") == F.col("of_term"), "left").where(F.col("df").isNull() | (share(F.col("df")) >= disclosure - 1e-9))
+    together = written(bounded.select("entity", "term", "co", "entity_df"), "pii-possible")
+    df = term_counts(docs, together).where(F.col("df") >= support).withColumnRenamed("term", "of_term")
+    counted = salted_join(together, F.col("entity"), df, F.col("term") == F.col("of_term"))
+    return counted.withColumn("share", share(F.col("df"))).where(F.col("share") >= disclosure).select("entity", "term", "share")
 
 
 def find_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:

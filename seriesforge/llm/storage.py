@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +67,22 @@ def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, None) != str(BATCH_BYTES):
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(run(batches), 1):
+            yield batch
+            if k % 32 == 0:
+                release_memory()
+        release_memory()
+
+    return df.mapInArrow(releasing, schema)
+
+
+def release_memory() -> None:
+    """Hands what a worker has freed back to the system; workers of other tasks and the JVM need it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def portions(batch: pa.RecordBatch, rows: int, column: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

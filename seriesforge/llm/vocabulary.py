@@ -30,7 +30,7 @@ def byte_letters() -> str:
 
 
 #: Known pairs of tokens, and compiled transitions of the automaton, that are kept.
-KEPT_PAIRS, KEPT_STEPS = 250_000, 150_000
+KEPT_PAIRS, KEPT_STEPS = 200_000, 150_000
 
 
 class Suffix:
