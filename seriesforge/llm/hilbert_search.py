@@ -42,6 +42,8 @@ BITS = 4
 ROWS = 2048
 #: Queries whose true neighbours are found to measure windows, and the share of these within them.
 SAMPLE, TARGET = 64, 0.95
+#: Queries whose neighbours so far a task holds.
+HELD = 10_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -227,16 +229,22 @@ def _window(points: DataFrame, ranked: DataFrame, k: int) -> int:
     return int(np.quantile(least, TARGET, method="higher"))
 
 
-def _in_windows(ranked: DataFrame, points: int, window: int, k: int) -> DataFrame:
-    """The k nearest others of each asking point in each block of its windows."""
+def _in_windows(ranked: DataFrame, points: int, window: int, k: int, partitions: int) -> DataFrame:
+    """The k nearest others of each asking point in the blocks of its windows, those of one task together."""
     block = lambda rank: F.floor(rank / ROWS).cast("long")
     from_, to = block(F.greatest(F.col("rank") - window, F.lit(0))), block(F.least(F.col("rank") + window, F.lit(max(0, points - 1))))
     visits = ranked.where("asks").withColumn("block", F.explode(F.sequence(from_, to)))
     both = ranked.withColumns({"block": block(F.col("rank")), "asks": F.lit(False)}).unionByName(visits).select("curve", "block", "asks", "point", "vec_id", "embedding")
-    dealt = both.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks")
+    # neighbouring blocks come to one task, where a query's windows merge before anything is sent on
+    dealt = both.repartitionByRange(partitions, "curve", "block").sortWithinPartitions("curve", "block", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, there = None, [], None
+        current, held, there, seen = None, [], None, set()
+        best: dict[bytes, tuple] = {}  # of the queries that the last block had
+
+        def sent(names: list[bytes]) -> pa.RecordBatch:
+            return _hits([(n, *best.pop(n)) for n in names])
+
         for batch in batches:
             curve, blocks, asks = batch.column("curve").to_numpy(), batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
             if not batch.num_rows:
@@ -245,19 +253,26 @@ def _in_windows(ranked: DataFrame, points: int, window: int, k: int) -> DataFram
             edges = np.flatnonzero(np.concatenate(([True], (curve[1:] != curve[:-1]) | (blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1]))))
             for a, b in zip(edges, [*edges[1:], len(curve)]):
                 if (curve[a], blocks[a]) != current:
-                    current, held, there = (curve[a], blocks[a]), [], None
+                    yield sent([n for n in best if n not in seen])
+                    current, held, there, seen = (curve[a], blocks[a]), [], None, set()
                 if not asks[a]:
                     held.append((x[a:b], ids[a:b], names[a:b]))  # ROWS at most
                     continue
                 if there is None:
                     there = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [n for h in held for n in h[2]]
                 for at in range(a, b, 256):
-                    upto, found = min(b, at + 256), []
+                    upto = min(b, at + 256)
                     scores = x[at:upto] @ there[0].T
-                    for j in range(upto - at):
-                        best, exact = _best(scores[j], there[0], x[at + j], there[1], k)
-                        found.append((names[at + j], [there[2][o] for o in best], there[1][best], exact))
-                    yield _hits(found)
+                    for j, name in enumerate(names[at:upto]):
+                        seen.add(name)
+                        found, exact = _best(scores[j], there[0], x[at + j], there[1], k)
+                        others, known, products = best.get(name, ([], np.empty(0, dtype=np.int64), np.empty(0)))
+                        others, known, products = others + [there[2][o] for o in found], np.concatenate((known, there[1][found])), np.concatenate((products, exact))
+                        order = np.lexsort((known, -products))[:k]
+                        best[name] = [others[o] for o in order], known[order], products[order]
+                    if len(best) > HELD:
+                        yield sent(list(best))
+        yield sent(list(best))
 
     return map_batches(dealt, run, _HITS)
 
@@ -271,7 +286,7 @@ def search(vectors: DataFrame, queries, k: int = 20) -> DataFrame:
     points = written(points, "ann-points")
     ranked, n = _ranked(points, partitions)
     # a point is its own neighbour by its other rows, so one more is looked for
-    near = _first(_in_windows(ranked, n, _window(points, ranked, k + 1), k + 1), k + 1)
+    near = _first(_in_windows(ranked, n, _window(points, ranked, k + 1), k + 1, partitions), k + 1)
     members = rows.select(F.col("point").alias("of"), F.col("vec_id").alias("id"), F.col("row").alias("other_row"))
     each = near.join(members, F.col("other") == F.col("of")).select("point", "other_row", "id", "score")
     order = Window.partitionBy("point").orderBy(F.desc("score"), "id", "other_row")
