@@ -113,13 +113,25 @@ def dense(cells: DataFrame, value: str, rows: int, columns: int) -> DataFrame:
 
 
 def merge_grids(grids: list[DataFrame], names: list[str], measure: str = "event_count") -> DataFrame:
-    """Full outer join on cells; missing measures are 0, entities the largest of the counts."""
-    sides = [g.select("cell_lat", "cell_lon", F.col(measure).alias(n), F.col("entity_count").alias(f"entities_{n}")) for g, n in zip(grids, names)]
-    out = reduce(lambda a, b: a.join(b, ["cell_lat", "cell_lon"], "full"), sides)
-    most = F.greatest(*[F.coalesce(F.col(f"entities_{n}"), F.lit(0)) for n in names])
-    return out.select("cell_lat", "cell_lon", *[F.coalesce(n, F.lit(0)).alias(n) for n in names], most.alias("entity_count"))
+    """All grids' cells in one aggregate on whole millionths of degrees; missing measures are 0, entities the largest of the counts."""
+    tagged = [g.select("cell_lat", "cell_lon", F.lit(k).alias("_k"), F.col(measure).alias("_v"), "entity_count") for k, g in enumerate(grids)]
+    rows = reduce(lambda a, b: a.unionByName(b), tagged)
+    whole = [F.round(F.col(c) * 1_000_000).cast("long").alias(f"_{c}") for c in ("cell_lat", "cell_lon")]
+    sums = [F.coalesce(F.sum(F.when(F.col("_k") == k, F.col("_v"))), F.lit(0)).alias(n) for k, n in enumerate(names)]
+    out = rows.groupBy(*whole).agg(F.min("cell_lat").alias("cell_lat"), F.min("cell_lon").alias("cell_lon"), *sums, F.max("entity_count").alias("entity_count"))
+    return out.select("cell_lat", "cell_lon", *names, F.coalesce("entity_count", F.lit(0)).alias("entity_count"))
 
 
 def busy_cells(cells: DataFrame, least: int) -> DataFrame:
     """Cells with enough entities, and their events per entity."""
     return cells.where(F.col("entity_count") >= least).withColumn("mean_per_entity", F.col("event_count") / F.col("entity_count"))
+
+
+def high_quantile(rows: DataFrame, q: float, least: float) -> DataFrame:
+    """Entities whose quantile of values reaches the least: a filter on an aggregate."""
+    return rows.groupBy("entity").agg(F.percentile("value", F.lit(q)).alias("q"), F.count_distinct("value").alias("n_values")).where(F.col("q") >= least)
+
+
+def coerce(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns cast to the types that results have; columns that aren't named stay."""
+    return rows.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in rows.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Primary keys of the result tables, by what they hold.
@@ -18,9 +18,9 @@ KEYS = {
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """Rows of both, incoming ones in place of existing ones with the same key; of repeated incoming rows the last by order."""
+    """Rows of both, incoming ones in place of existing ones with the same key; of repeated incoming rows the last by order, else by all columns."""
     tagged = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    by = [F.desc("_new"), *([F.desc(order)] if order else [])]
+    by = [F.desc("_new"), *([F.desc(order)] if order else []), *[F.desc(c) for c in tagged.columns if c not in (*keys, "_new", order)]]
     return tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("_rn = 1").drop("_new", "_rn")
 
 
@@ -99,9 +99,107 @@ def zero_filled_counts(rows: DataFrame, column: str, categories: Sequence[str])
 
 
 def qc_summary(fits: DataFrame) -> DataFrame:
-    """Numbers and rates of fits by quantile."""
+    """Numbers, rates and, where rows have a time of computation, its range, by quantile."""
     ok = F.col("converged").cast("double")
-    return fits.groupBy("threshold_quantile").agg(F.count("*").alias("n"), F.sum(F.col("converged").cast("long")).alias("n_converged"), F.avg(ok).alias("rate"), F.avg("n_extremes").alias("mean_extremes"))
+    times = [F.min("computed_at").alias("computed_at_min"), F.max("computed_at").alias("computed_at_max")] if "computed_at" in fits.columns else []
+    message = [F.avg((F.trim(F.coalesce("error_message", F.lit(""))) == "").cast("double")).alias("no_error_rate")] if "error_message" in fits.columns else []
+    return fits.groupBy("threshold_quantile").agg(F.count("*").alias("n"), F.sum(F.col("converged").cast("long")).alias("n_converged"), F.avg(ok).alias("rate"), F.avg("n_extremes").alias("mean_extremes"), *message, *times)
+
+
+def ratio_test_summary(tests: DataFrame) -> DataFrame:
+    """Likelihood-ratio tests by name: number, share that reject, mean and range of p."""
+    p = "p_value"
+    return tests.groupBy("test_name").agg(F.count("*").alias("n"), F.avg(F.col("reject_null").cast("double")).alias("reject_rate"), F.avg(p).alias("mean_p"), F.min(p).alias("least_p"), F.max(p).alias("largest_p"))
+
+
+def ids_in_range(rows: DataFrame, start: int, end: int, done: DataFrame | None = None) -> DataFrame:
+    """Distinct ids in [start, end), of those in done if that is given."""
+    found = rows.where((F.col("entity") >= start) & (F.col("entity") < end)).select("entity").distinct()
+    return found if done is None else found.join(done.select("entity").distinct(), "entity", "left_semi")
+
+
+def range_status_counts(status: DataFrame, start: int, end: int, states: Sequence[str] = ("done", "error")) -> DataFrame:
+    """Entities of [start, end) in each state, 0 for states without any."""
+    return zero_filled_counts(status.where((F.col("entity") >= start) & (F.col("entity") < end)), "status", states)
+
+
+def of_ids(rows: DataFrame, ids: Sequence[int], quantile: float | None = None) -> DataFrame:
+    """Rows of a result table by id and, if given, threshold quantile."""
+    found = rows.where(F.col("entity").isin(list(ids)))
+    return found if quantile is None else found.where(F.col("threshold_quantile") == F.lit(str(quantile)).cast("decimal(5,4)"))
+
+
+def lookup(ids: DataFrame, values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The values of all ids, null for those without a row."""
+    return ids.select("entity").distinct().join(values.select("entity", *columns), "entity", "left")
+
+
+def finished_by_all(*ledgers: DataFrame) -> DataFrame:
+    """Ids that any of several ledgers has."""
+    out = ledgers[0].select("entity")
+    for more in ledgers[1:]:
+        out = out.union(more.select("entity"))
+    return out.distinct()
+
+
+def resolve(all_ids: DataFrame, finished: DataFrame, quality: DataFrame | None = None, start: int | None = None, end: int | None = None, subset: Sequence[int] | None = None) -> DataFrame:
+    """Candidates: source, of good quality, in range, in the subset, not finished."""
+    rows = all_ids.select("entity")
+    if start is not None:
+        rows = rows.where(F.col("entity") >= start)
+    if end is not None:
+        rows = rows.where(F.col("entity") < end)
+    if subset is not None:
+        rows = rows.where(F.col("entity").isin(list(subset)))
+    return candidates(rows, quality, finished)
+
+
+def shares_of_workers(ids: DataFrame, workers: int, size: int) -> DataFrame:
+    """Each id with its worker (even split in order) and its batch of ``size`` ids."""
+    place = F.row_number().over(Window.partitionBy("_all").orderBy("entity"))
+    n = F.count("*").over(Window.partitionBy("_all"))
+    spread = ids.select("entity").distinct().withColumn("_all", F.lit(0)).withColumns({"_p": place - 1, "_n": n})
+    least, more = F.floor(F.col("_n") / workers), F.col("_n") % workers
+    worker = F.when(F.col("_p") < more * (least + 1), F.floor(F.col("_p") / (least + 1))).otherwise(more + F.floor((F.col("_p") - more * (least + 1)) / F.greatest(least, F.lit(1))))
+    return spread.select("entity", worker.cast("int").alias("worker"), F.floor(F.col("_p") / size).cast("int").alias("batch"))
+
+
+def named_filter(name: str, info: DataFrame, errors: DataFrame, least_area: float = 10.0) -> DataFrame:
+    """Ids that a named output filter keeps: ``large`` (area above the least) or ``no_error`` (no failed fit)."""
+    if name == "large":
+        return info.where(F.col("area") > least_area).select("entity")
+    if name == "no_error":
+        return delete(info.select("entity"), errors)
+    raise ValueError(f"no filter is called {name}")
+
+
+def outer_counts(ids: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
+    """Rows of each frame by entity side by side, 0 where a frame has none."""
+    tagged = [rows.select("entity", F.lit(k).alias("_k")) for k, rows in enumerate(ids)]
+    out = tagged[0]
+    for more in tagged[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("entity").agg(*[F.sum((F.col("_k") == k).cast("long")).alias(n) for k, n in enumerate(names)])
+
+
+def run_summary(extremes: DataFrame, transitions: DataFrame, status: DataFrame) -> DataFrame:
+    """A run's counts as one long table (measure, key, n): tables of parts add up by :func:`merge_summaries`."""
+    def part(measure: str, rows: DataFrame, key: Column) -> DataFrame:
+        return rows.groupBy(key.cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit(measure).alias("measure"), "key", "n")
+
+    parts = [part("transitions", transitions, F.col("transition_type")), part("seasonality", transitions, F.col("to_ordinal") % 12 + 1), part("entity transitions", transitions, F.col("entity")), part("entity extremes", extremes, F.col("entity")), part("entities", status, F.col("status"))]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def merge_summaries(*parts: DataFrame) -> DataFrame:
+    """Summaries of disjoint parts of the entities put together."""
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("measure", "key").agg(F.sum("n").alias("n"))
 
 
 def error_summary(status: DataFrame, top: int = 10, prefix: int = 200) -> DataFrame:

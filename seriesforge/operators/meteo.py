@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,13 @@ def to_monthly(rows: DataFrame, sums: dict[str, str], means: dict[str, str], day
 
 
 def align(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Joins monthly frames on keys; repeated keys on the right count once, clashing columns get a suffix."""
+    """Joins monthly frames on keys; of repeated keys on the right the least row counts, clashing columns get a suffix.
+
+    A key repeated on the left is an error, as the result would repeat it.
+    """
     clash = {c: f"{c}_right" for c in right.columns if c in left.columns and c not in keys}
-    return left.join(right.dropDuplicates(list(keys)).withColumnsRenamed(clash), list(keys), how)
+    others = [c for c in right.columns if c not in keys]
+    once = right.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]) if others else right.select(*keys).distinct()
+    n = F.count("*").over(Window.partitionBy(*keys))
+    checked = left.withColumn("_n", F.when(n == 1, n).otherwise(F.raise_error(F.lit("a key is repeated on the left")).cast("long"))).where("_n = 1").drop("_n")
+    return checked.join(once.withColumnsRenamed(clash), list(keys), how)

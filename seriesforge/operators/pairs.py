@@ -14,8 +14,8 @@ LEVELS = 11
 def nearest(queries: DataFrame, candidates: DataFrame, most_ratio: float = 10.0) -> DataFrame:
     """For each query the nearest candidate at the finest level of the code that has one of comparable area.
 
-    Both sides are spelt out to their ancestors, from the finest level down, and meet by equality;
-    a level without a fitting candidate falls through to the next coarser one.
+    Both sides are spelt out to their ancestors; a level without a fitting candidate falls through to
+    the next coarser one, and a query meets the candidates of one basin only, that of its finest fitting level.
     """
     up = lambda rows, *c: rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(LEVELS))).alias("level")).select(*c, "level", F.floor(F.col("code") / F.pow(F.lit(10.0), LEVELS - F.col("level"))).cast("long").alias("basin"))
     q = up(queries, "entity", "area", "lat", "lon")
@@ -23,13 +23,31 @@ def nearest(queries: DataFrame, candidates: DataFrame, most_ratio: float = 10.0)
     free = F.coalesce(F.col("area") <= 0, F.lit(True)) | F.coalesce(F.col("p_area") <= 0, F.lit(True))
     alike = free | (F.greatest(ratio(F.col("area"), F.col("p_area")), ratio(F.col("p_area"), F.col("area"))) <= most_ratio)
     square = (F.col("lat") - F.col("p_lat")) * (F.col("lat") - F.col("p_lat")) + (F.col("lon") - F.col("p_lon")) * (F.col("lon") - F.col("p_lon"))
-    found = q.join(c, ["level", "basin"]).where(alike).withColumn("distance", F.sqrt(square))
+    found = _finest(q, c, most_ratio).join(c, ["level", "basin"]).where(alike).withColumn("distance", F.sqrt(square))
     # the best of each query is a maximum, which is taken before the shuffle
     best = found.groupBy("entity").agg(F.min(F.struct(-F.col("level"), "distance", "partner")).alias("m"))
     out = queries.select("entity").join(best, "entity", "left")
     return out.select("entity", F.col("m.partner").alias("partner"), (-F.col("m.col1")).alias("level"), F.col("m.distance").alias("distance"))
 
 
+def _finest(q: DataFrame, c: DataFrame, most_ratio: float) -> DataFrame:
+    """Of each query's levels the finest whose basin has a candidate of comparable area: only there it meets candidates.
+
+    In a basin queries and candidates are sorted by area once, from large to small; the last candidate before a query's
+    least comparable area is the smallest that could do.  No query meets a coarse basin's candidates one by one.
+    """
+    known = F.col("area") > 0
+    asking = q.withColumns({"at": F.when(known, F.col("area") / most_ratio), "asks": F.lit(1), "p_area": F.lit(None).cast("double"), "open": F.lit(0)})
+    there = c.select("level", "basin", F.col("p_area").cast("double").alias("at"), F.lit(0).alias("asks"), F.when(F.col("p_area") > 0, F.col("p_area")).cast("double").alias("p_area"), F.when(F.col("p_area") > 0, 0).otherwise(1).alias("open"))
+    basin = Window.partitionBy("level", "basin")
+    both = asking.unionByName(there, allowMissingColumns=True)
+    smallest = F.last("p_area", ignorenulls=True).over(basin.orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0))
+    marked = both.withColumns({"next": smallest, "any": F.max(1 - F.col("asks")).over(basin), "any_open": F.max("open").over(basin)})
+    may = (F.col("any_open") == 1) | (~F.coalesce(known, F.lit(False)) & (F.col("any") == 1)) | (ratio(F.col("next"), F.col("area")) <= most_ratio)
+    best = marked.where((F.col("asks") == 1) & may).groupBy("entity").agg(F.max(F.struct("level", "basin", "area", "lat", "lon")).alias("m"))
+    return best.select("entity", "m.level", "m.basin", "m.area", "m.lat", "m.lon")
+
+
 def metrics(rows: DataFrame) -> DataFrame:
     """Population coefficient of variation, range over mean, and the deviation of month-over-month changes in percent."""
     before = F.lag("value").over(in_time())
@@ -78,6 +96,21 @@ def pair_events(pairs: DataFrame, rows: DataFrame, limit: float = 3.0) -> DataFr
     return pairs.join(per, ["entity", "partner"], "left").select("entity", "partner", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("a_events", "b_events", "only_a", "only_b")])
 
 
+def event_share(rows: DataFrame, limit: float = 3.0) -> DataFrame:
+    """Outlying months of each entity and their share of all its months."""
+    n = rows.groupBy("entity").agg(F.count("*").alias("n_obs"))
+    events = zscore_events(rows, limit).groupBy("entity").agg(F.count("*").alias("n_events"))
+    out = n.join(events, "entity", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+    return out.select("entity", "n_events", "n_obs", (F.col("n_events") / F.col("n_obs")).alias("anomaly_ratio"))
+
+
+def by_kind(info: DataFrame, basins: DataFrame, first: bool, limit: int | None = None) -> DataFrame:
+    """Entities of the first kind, or of the others up to an id, with the basin that each has a row for."""
+    rows = info.where(F.col("kind") == 1 if first else F.col("kind") > 1)
+    rows = rows if limit is None else rows.where(F.col("entity") < limit)
+    return rows.join(basins.where("basin is not null").select("entity", "basin"), "entity").select("entity", "kind", "basin", "lat", "lon", "area")
+
+
 def without_anomalous(pairs: DataFrame, anomalous: DataFrame) -> DataFrame:
     """Pairs of which neither side is anomalous."""
     bad = anomalous.select("entity").distinct()

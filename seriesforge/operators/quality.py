@@ -48,12 +48,19 @@ def volatility(rows: DataFrame, digits: int | None = None) -> DataFrame:
     return out.select("entity", "n_obs", "cv", F.when(F.col("cv").isNotNull(), F.col("entropy")).alias("entropy"), (F.col("entropy") * F.col("cv")).alias("h_cv"))
 
 
-def classify(rows: DataFrame, info: DataFrame, shifted: DataFrame | None = None) -> DataFrame:
-    """Every entity's flags: a bit for each filter that it fails, with what the filters looked at."""
+def classify(rows: DataFrame, info: DataFrame, shifted: DataFrame | None = None, frozen: DataFrame | None = None) -> DataFrame:
+    """Every entity's flags: a bit for each filter that it fails, with what the filters looked at.
+
+    Median, mean and quantile are of all months; shares, range and volatility are of those that aren't frozen.
+    """
+    from .series import without_frozen
+
     v = "value"
-    base = rows.groupBy("entity").agg(F.count(v).alias("n_obs"), F.median(v).alias("median"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.8)).alias("q"), F.min(v).alias("least"), F.max(v).alias("largest"), F.stddev_samp(v).alias("sd"))
-    shares = value_stats(rows).select("entity", (F.col("most") / F.col("total")).alias("dominant_ratio"), "entropy")
-    metrics = base.join(shares, "entity", "left").withColumn("h_cv", F.col("entropy") * _cv())
+    base = rows.groupBy("entity").agg(F.median(v).alias("median"), F.avg(v).alias("mean_area"), F.percentile(v, F.lit(0.8)).alias("q"))
+    moving = rows if frozen is None else without_frozen(rows, frozen)
+    spread = moving.groupBy("entity").agg(F.count(v).alias("n_obs"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("largest"), F.stddev_samp(v).alias("sd"))
+    shares = value_stats(moving).select("entity", (F.col("most") / F.col("total")).alias("dominant_ratio"), "entropy")
+    metrics = base.join(spread, "entity", "left").join(shares, "entity", "left").withColumn("h_cv", F.col("entropy") * _cv())
     known = metrics.join(info.select("entity", F.col("area").alias("atlas")), "entity", "left")
     known = known.withColumn("degraded", F.lit(False)) if shifted is None else known.join(shifted.select("entity", (F.col("shift_label") == "degraded").alias("degraded")), "entity", "left")
     area_ratio = F.when(F.col("atlas") > 0, F.col("median") / F.nullif("atlas", F.lit(0.0)))
@@ -66,7 +73,7 @@ def classify(rows: DataFrame, info: DataFrame, shifted: DataFrame | None = None)
         SHIFT: F.col("degraded"),
     }
     mask: Column = sum((F.when(F.coalesce(test, F.lit(False)), F.lit(bit)).otherwise(F.lit(0)) for bit, test in bits.items()), F.lit(0))
-    return known.select("entity", F.col("mean").alias("mean_area"), F.col("median").alias("median_area"), F.coalesce("atlas", F.lit(0.0)).alias("atlas_area"), mask.cast("int").alias("flags"))
+    return known.select("entity", "mean_area", F.col("median").alias("median_area"), F.coalesce("atlas", F.lit(0.0)).alias("atlas_area"), mask.cast("int").alias("flags"))
 
 
 def route(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,6 +81,45 @@ def route(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classified.where("flags = 0").drop("flags"), classified.where("flags > 0")
 
 
+def recompute_bit(status: DataFrame, fresh: DataFrame, bit: int) -> DataFrame:
+    """status (entity, flags) with a filter's bit as fresh (entity, hit) has it, and where each entity moves, if anywhere.
+
+    Entities that fresh lacks stay as they are; flags 0 mean good quality.
+    """
+    joined = status.join(fresh.select("entity", F.col("hit").alias("_hit")), "entity", "left")
+    flags = F.when(F.col("_hit"), F.col("flags").bitwiseOR(F.lit(bit))).when(~F.col("_hit"), F.col("flags").bitwiseAND(F.lit(~bit))).otherwise(F.col("flags")).cast("int")
+    way = F.when((F.col("flags") == 0) & (F.col("_new") > 0), "to anomalies").when((F.col("flags") > 0) & (F.col("_new") == 0), "to quality").when(F.col("flags") != F.col("_new"), "flags").otherwise("unchanged")
+    return joined.withColumn("_new", flags).withColumn("route", way).select("entity", F.col("_new").alias("flags"), "route")
+
+
+def sync_shift(status: DataFrame, labels: DataFrame) -> DataFrame:
+    """status (entity, flags) brought in line with shift labels, and where each entity moves.
+
+    Degraded entities get the shift flag; others lose it only where it is their only flag.
+    """
+    joined = status.join(labels.select("entity", F.col("shift_label").alias("_label")), "entity", "left")
+    degraded = F.col("_label") == "degraded"
+    flags = F.when(degraded, F.col("flags").bitwiseOR(F.lit(SHIFT))).when(F.col("_label").isin("stable", "intermittent") & (F.col("flags") == SHIFT), F.lit(0)).otherwise(F.col("flags")).cast("int")
+    way = F.when(flags == F.col("flags"), "unchanged").when(F.col("flags") == 0, "to anomalies").when(flags == 0, "to quality").otherwise("flags")
+    return joined.select("entity", flags.alias("flags"), way.alias("route"))
+
+
+def outside_extremes(rows: DataFrame, info: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Whether each entity's reference area lies outside the least and largest value; never for an area of 0 or less."""
+    ends = rows.groupBy("entity").agg((F.min("value") / scale).alias("least"), (F.max("value") / scale).alias("largest"))
+    area = F.col("area")
+    outside = F.when(area <= 0, F.lit(False)).otherwise((area < F.col("least")) | (area > F.col("largest")))
+    return info.select("entity", "area").join(ends, "entity").select("entity", "least", "largest", outside.alias("is_outside"))
+
+
+def month_variance_ratio(rows: DataFrame) -> DataFrame:
+    """Largest over smallest deviation of the calendar months' logarithms, those above 0; 1 where fewer than two are."""
+    logs = rows.where("value > 0").groupBy("entity", "month").agg(F.stddev_pop(F.log("value")).alias("sd"))
+    spread = F.when(F.col("sd") > 1e-9, F.col("sd"))
+    ends = logs.groupBy("entity").agg(F.count(spread).alias("n"), F.max(spread).alias("high"), F.min(spread).alias("low"))
+    return ends.select("entity", F.when(F.col("n") > 1, F.col("high") / F.col("low")).otherwise(F.lit(1.0)).alias("variance_ratio"))
+
+
 def flag_sets(classified: DataFrame) -> DataFrame:
     """How many entities have each combination of flags."""
     return classified.groupBy("flags").agg(F.count("*").alias("n"), *[F.max(flag_is_set(F.col("flags"), b).cast("int")).alias(f"bit_{b}") for b in (1, 2, 4, 8, 16, 32)])

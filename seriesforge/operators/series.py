@@ -39,10 +39,11 @@ def of_entities(rows: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
     return rows.join(ids.select("entity").distinct(), "entity", "left_semi")
 
 
-def normalise(rows: DataFrame) -> DataFrame:
-    """Keeps months 1..12 with a value, the first of repeated months, and adds year_month and the ordinal."""
-    first = F.row_number().over(Window.partitionBy("entity", "year", "month").orderBy("value"))
-    kept = rows.where(F.col("month").between(1, 12) & F.col("value").isNotNull()).withColumn("rn", first).where("rn = 1").drop("rn")
+def normalise(rows: DataFrame, order: Column | None = None) -> DataFrame:
+    """Keeps months 1..12 with a value, the first of repeated months (by order, else by place in the source), and adds year_month and the ordinal."""
+    placed = rows.withColumn("_place", F.monotonically_increasing_id() if order is None else order)
+    first = F.row_number().over(Window.partitionBy("entity", "year", "month").orderBy("_place", "value"))
+    kept = placed.where(F.col("month").between(1, 12) & F.col("value").isNotNull()).withColumn("rn", first).where("rn = 1").drop("rn", "_place")
     return kept.withColumns({"year_month": F.col("year") * 100 + F.col("month"), "month_ordinal": F.col("year") * 12 + F.col("month") - 1})
 
 
@@ -225,11 +226,22 @@ def decluster_typed(events: DataFrame, run: int = 3) -> DataFrame:
     return best.where("rn = 1").select("entity", "cluster_id", "size", "event_type", "month_ordinal", "severity")
 
 
+#: Months of a block of decay_index: exp(0.8 * 400) is far from overflow, and what is older than a block is 0.
+DECAY_BLOCK = 400
+
+
 def decay_index(rows: DataFrame, phi: str = "phi", rate: float = 0.8) -> DataFrame:
-    """S_k = S_(k-1) exp(-rate gap) + phi_k, as a prefix sum: terms are scaled by exp(rate t) with t from the entity's first month."""
+    """S_k = S_(k-1) exp(-rate gap) + phi_k, as a prefix sum: terms are scaled by exp(rate u) with u from the block's first month.
+
+    The block before adds its sum; blocks further back would add less than exp(-rate DECAY_BLOCK) of theirs.
+    """
     t = F.col("month_ordinal") - F.min("month_ordinal").over(by_entity())
-    upto = in_time().rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("t", t).withColumn("decay_index", F.exp(-rate * F.col("t")) * F.sum(F.col(phi) * F.exp(rate * F.col("t"))).over(upto)).drop("t")
+    placed = rows.withColumn("t", t).withColumns({"block": F.floor(F.col("t") / DECAY_BLOCK), "u": F.col("t") % DECAY_BLOCK})
+    scaled = F.col(phi) * F.exp(rate * F.col("u"))
+    here = F.sum(scaled).over(Window.partitionBy("entity", "block").orderBy("month_ordinal").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum(scaled).over(by_entity().orderBy("block").rangeBetween(-1, -1))
+    index = F.exp(-rate * F.col("u")) * (here + F.coalesce(before, F.lit(0.0)) * F.exp(F.lit(-rate * DECAY_BLOCK)))
+    return placed.withColumn("decay_index", index).drop("t", "block", "u")
 
 
 def phi(rows: DataFrame, mapping: str = "identity") -> DataFrame:

@@ -236,14 +236,17 @@ def penalised_volatility(spark, d):
     return quality.volatility(A.series(spark, d), -3)
 
 
+_MOVING = "(select * from series anti join frozen using (entity, month_ordinal))"
 _CLASSIFIED = f"""select l.entity, mean as mean_area, median as median_area, coalesce(area, 0) as atlas_area, cast(case when q = 0 then 1 else 0 end + case when dr >= 0.8 then 2 else 0 end
-      + case when not coalesce(area > 0, false) or median / area < 0.1 or median / area > 10 then 4 else 0 end + case when area > 0 and (area < 0.5 * least or area > 1.5 * largest) then 8 else 0 end + case when h_cv <= 0.001 then 16 else 0 end as int) as flags
-    from ({_LEVELS}) l join (select entity, max(n) / sum(n) as dr from (select entity, value, count(*) as n from series group by 1, 2) group by entity) using (entity)
-    join (select entity, h_cv from ({_VOL.format("select entity, value, count(*) as n from series group by 1, 2")})) using (entity) left join (select entity, area * 100 as area from info) using (entity)"""
+      + case when not coalesce(area > 0, false) or median / area < 0.1 or median / area > 10 then 4 else 0 end + case when area > 0 and (area < 0.5 * r.least or area > 1.5 * r.largest) then 8 else 0 end + case when h_cv <= 0.001 then 16 else 0 end as int) as flags
+    from ({_LEVELS}) l left join (select entity, max(n) / sum(n) as dr from (select entity, value, count(*) as n from {_MOVING} group by 1, 2) group by entity) using (entity)
+    left join (select entity, min(value) as least, max(value) as largest from {_MOVING} group by 1) r using (entity)
+    left join (select entity, h_cv from ({_VOL.format(f"select entity, value, count(*) as n from {_MOVING} group by 1, 2").replace("from series group", f"from {_MOVING} group")})) using (entity) left join (select entity, area * 100 as area from info) using (entity)"""
 
 
 def _classified(spark, d):
-    return quality.classify(A.series(spark, d), A.info(spark, d).withColumn("area", F.col("area") * 100))
+    rows = A.series(spark, d)
+    return quality.classify(rows, A.info(spark, d).withColumn("area", F.col("area") * 100), frozen=A.frozen(rows))
 
 
 @query(_CLASSIFIED, "mean_area median_area atlas_area")
