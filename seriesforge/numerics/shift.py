@@ -1,57 +1,96 @@
-"""Structural shifts of a series: scans of mean breaks with autocorrelation-robust variance."""
+"""Structural shifts of a series: scans for breaks of the mean with autocorrelation-robust variance."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 from .special import f_tail
 
+# Results must agree on them.
+LEVEL = 0.05
+LAG = 12
+LEAST_SEGMENT = 24
+DOMINANCE = 0.3
+FIRST_CRITICAL = 8.88
+SECOND_CRITICAL = 9.91
+
+
+class Break(NamedTuple):
+    index: int | None
+    stat: float
+    p: float
+
+    def found(self, critical: float) -> bool:
+        return self.index is not None and (self.stat >= critical or self.p <= LEVEL)
 
-def long_run_variance(rest: np.ndarray) -> float:
-    """Bartlett-weighted variance of a mean's residuals."""
-    n = len(rest)
-    lags = int(4 * (n / 100) ** (2 / 9))
-    total = float(rest @ rest) / n
-    for k in range(1, lags + 1):
-        total += 2 * (1 - k / (lags + 1)) * float(rest[k:] @ rest[:-k]) / n
-    return max(total, 1e-300)
 
+NONE = Break(None, 0.0, 1.0)
 
-def break_scan(v: np.ndarray, trim: float = 0.15) -> tuple[float, float, int]:
-    """(largest F, its p, place of the break): means before and after each split, with sums from prefix sums."""
-    n, edge = len(v), max(2, int(len(v) * trim))
-    if n < 4 * edge or np.ptp(v) == 0:
-        return 0.0, 1.0, -1
-    k = np.arange(edge, n - edge + 1)
+
+def long_run_variance(rest: np.ndarray, lag: int) -> np.ndarray:
+    """Bartlett-weighted variance of each row of residuals."""
+    rest = rest - rest.mean(1, keepdims=True)
+    n = rest.shape[1]
+    total = (rest * rest).mean(1)
+    if lag <= 0:
+        return total
+    lag = min(lag, n - 1)
+    for k in range(1, lag + 1):
+        total = total + 2 * (1 - k / (lag + 1)) * (rest[:, k:] * rest[:, :-k]).mean(1)
+    return np.maximum(total, 1e-12)
+
+
+def break_scan(v: np.ndarray, segment: int, lag: int) -> Break:
+    """The split into two means, each of ``segment`` values at least, with the largest gain over the robust variance."""
+    n = len(v)
+    if n < 2 * segment + 1:
+        return NONE
+    split = np.arange(segment, n - segment + 1)
     sums = np.cumsum(v)
-    before, after = sums[k - 1] / k, (sums[-1] - sums[k - 1]) / (n - k)
-    best = int(np.argmax((before - after) ** 2 * k * (n - k) / n))
-    at = int(k[best])
-    rest = np.concatenate((v[:at] - before[best], v[at:] - after[best]))
-    f = (before[best] - after[best]) ** 2 / (long_run_variance(rest) * (1 / at + 1 / (n - at)))
-    return float(f), min(1.0, f_tail(float(f), 1, n - 2) * len(k) ** 0.5), at
-
-
-def episode_scan(v: np.ndarray, trim: float = 0.15) -> tuple[float, float, int, int]:
-    """(largest F, its p, start, end): a stretch in the middle whose mean differs from that of the rest."""
-    n, edge = len(v), max(2, int(len(v) * trim))
-    if n < 4 * edge or np.ptp(v) == 0:
-        return 0.0, 1.0, -1, -1
-    sums = np.concatenate(([0.0], np.cumsum(v)))
-    i, j = (x + edge for x in np.triu_indices(n - 2 * edge + 1, edge))
-    m = j - i
-    inside, outside = (sums[j] - sums[i]) / m, (sums[-1] - sums[j] + sums[i]) / (n - m)
-    best = int(np.argmax((inside - outside) ** 2 * m * (n - m) / n))
-    a, b = int(i[best]), int(j[best])
-    rest = v - np.where((np.arange(n) >= a) & (np.arange(n) < b), inside[best], outside[best])
-    f = float((inside[best] - outside[best]) ** 2 / (long_run_variance(rest) * (1 / m[best] + 1 / (n - m[best]))))
-    return f, min(1.0, f_tail(f, 1, n - 2) * len(i) ** 0.5), a, b
-
-
-def classify(v: np.ndarray, dominance: float, level: float = 0.01) -> dict:
-    """stable, degraded (a lasting break) or intermittent (an episode that explains more than any lasting break)."""
-    f, p, at = break_scan(v)
-    f2, p2, start, _ = episode_scan(v)
-    if p2 < level and f2 > f:
-        return {"f": f2, "p": p2, "index": start, "label": "intermittent", "dominance": dominance}
-    return {"f": f, "p": p, "index": at, "label": "degraded" if p < level else "stable", "dominance": dominance}
+    before, after = sums[split - 1] / split, (sums[-1] - sums[split - 1]) / (n - split)
+    gain = np.maximum((before - after) ** 2 * split * (n - split) / n, 0.0)
+    rest = v - np.where(np.arange(n) < split[:, None], before[:, None], after[:, None])
+    stats = gain / np.maximum(long_run_variance(rest, lag) * n, 1e-12)
+    best = int(np.argmax(stats))
+    if not stats[best] > 0:
+        return NONE
+    return Break(int(split[best]), float(stats[best]), f_tail(float(stats[best]), 1, max(n - 2 * segment - 1, 1)))
+
+
+def second_break(v: np.ndarray, at: int, segment: int, lag: int) -> Break:
+    """The stronger of the breaks on both sides of a first one; of equal ones that on the left."""
+    left, right = break_scan(v[:at], segment, lag), break_scan(v[at:], segment, lag)
+    if left.stat >= right.stat:
+        return left
+    return right._replace(index=right.index + at)
+
+
+def alternates(v: np.ndarray, segment: int) -> bool:
+    """Whether the series crosses its median twice or more, with enough values on both sides of it."""
+    if len(v) < 2 * segment + 1:
+        return False
+    high = v >= np.median(v)
+    return int((high[1:] != high[:-1]).sum()) >= 2 and min(int(high.sum()), int((~high).sum())) >= segment
+
+
+def seasonal_part(v: np.ndarray, months: np.ndarray) -> tuple[np.ndarray, float]:
+    """(means of the calendar months less the mean of all, their share of the variance: 0 where a month is there once)."""
+    which, counts = np.unique(months, return_inverse=True, return_counts=True)[1:]
+    part = (np.bincount(which, v) / counts)[which] - v.mean()
+    return part, float(part.var() / v.var()) if counts.min() >= 2 and v.var() > 0 else 0.0
+
+
+def classify(v: np.ndarray, months: np.ndarray) -> dict:
+    """stable, degraded (one break) or intermittent (a second one beside it, or a series that keeps crossing its median)."""
+    part, dominance = seasonal_part(v, months)
+    working = v - part if dominance > DOMINANCE else v
+    lag, segment = max(0, min(LAG, len(v) // 4)), max(1, min(LEAST_SEGMENT, len(v) // 2))
+    first, second, label = break_scan(working, segment, lag), NONE, "stable"
+    if first.found(FIRST_CRITICAL):
+        second = second_break(working, first.index, segment, lag)
+        label = "intermittent" if second.stat >= SECOND_CRITICAL or second.p <= LEVEL else "degraded"
+    elif alternates(working, segment):
+        label = "intermittent"
+    return {"label": label, "first": first, "second": second, "dominance": dominance}

@@ -104,7 +104,13 @@ def cross_entropy_fit(b: np.ndarray, epsilon: float, bound: float = 100.0, round
                 break
         elif (damp := damp * 4) > 1e10:
             break
-    return lam, value, bool(np.isfinite(value) and value < 1e-2)
+    slope = -(powers * x) @ powers.T @ r * 2 + 2e-6 * lam
+    return lam, value, bool(np.isfinite(value) and np.abs(slope).max() < 1e-4)
+
+
+def cross_entropy_moments(lam: np.ndarray, epsilon: float, k: int) -> np.ndarray:
+    """The first k moments, integrals of u**j x(u), that a fit holds."""
+    return (_U[None] ** np.arange(k)[:, None]) @ (cross_entropy_quantile(_U, epsilon, lam) * _W)
 
 
 # -- seasonal point process of exceedances -------------------------------------------------

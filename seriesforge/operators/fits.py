@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import return_level
@@ -65,19 +65,52 @@ def weighted_moments(rows: DataFrame, column: str = "value", orders: int = 4) ->
     return ranked.groupBy("entity").agg(*sums)
 
 
-def cross_entropy_thresholds(rows: DataFrame, quantiles: tuple[float, ...] = (0.95, 0.99), epsilon: float = 0.0) -> DataFrame:
-    """High and low thresholds of each entity from the quantile function closest to the prior with the sample's moments."""
+def cross_entropy_thresholds(rows: DataFrame, column: str = "index_value", high: float = 0.05, low: float = 0.05) -> DataFrame:
+    """Pooled thresholds of each entity's index, from the quantile function closest to the prior with the sample's moments.
+
+    The prior starts at the least of the values over their mean.  One row an entity; the thresholds hold for all months.
+    """
 
     def compute(frame: pd.DataFrame) -> pd.DataFrame:
-        v = frame["value"].to_numpy()
-        if len(v) < 12 or not v.mean() > 0:
-            raise ValueError("too few values or no positive mean")
-        b = tails.moments(v / v.mean())
+        v = frame[column].dropna().to_numpy(dtype=float)
+        if len(v) < 12:
+            raise ValueError("fewer than twelve values")
+        if not v.mean() > 0:
+            raise ValueError("the mean isn't positive")
+        z = v / v.mean()
+        b, epsilon = tails.moments(z), float(z.min())
         lam, objective, fine = tails.cross_entropy_fit(b, epsilon)
         level = lambda u: float(tails.cross_entropy_quantile(np.array([u]), epsilon, lam)[0] * v.mean())
-        return pd.DataFrame([{"threshold_quantile": q, "threshold_high": level(q), "threshold_low": level(1 - q), "lambdas": list(lam), "moments": list(b), "objective": objective, "converged": fine} for q in quantiles])
+        held = tails.cross_entropy_moments(lam, epsilon, len(b))
+        return pd.DataFrame([{"threshold_quantile": 1 - high, "threshold_high": level(1 - high), "threshold_low": level(low), "mean": float(v.mean()), "epsilon": epsilon, "lambdas": list(lam), "moments": list(b), "residuals": list(held - b), "objective": objective, "converged": fine}])
+
+    return per_entity(rows, compute, "threshold_quantile double, threshold_high double, threshold_low double, mean double, epsilon double, lambdas array<double>, moments array<double>, residuals array<double>, objective double, converged boolean")
+
+
+def with_pooled_thresholds(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """The rows of entities with a fit, with its thresholds: what labels, extremes and transitions are taken from."""
+    known = fits.where("error is null").select("entity", "threshold_quantile", "threshold_high", "threshold_low")
+    return rows.join(known, "entity")
 
-    return per_entity(rows, compute, "threshold_quantile double, threshold_high double, threshold_low double, lambdas array<double>, moments array<double>, objective double, converged boolean")
+
+def monthly_thresholds(fits: DataFrame) -> DataFrame:
+    """A fit's thresholds once for each calendar month."""
+    return fits.where("error is null").select("entity", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"), "threshold_quantile", "threshold_high", "threshold_low", "epsilon", "lambdas", "converged", "objective")
+
+
+def cross_entropy_level(u: Column, epsilon: Column, lambdas: Column) -> Column:
+    """The fitted quantile function as an expression: the prior's quantile times exp of a polynomial in u."""
+    u = F.least(F.greatest(u, F.lit(0.0)), F.lit(1 - 1e-12))
+    power = F.aggregate(F.reverse(lambdas), F.lit(0.0), lambda acc, x: acc * u + x)
+    return (epsilon - (1 - epsilon) * F.ln(1 - u)) * F.exp(-power)
+
+
+def quantile_curve(fits: DataFrame, points: int = 200) -> DataFrame:
+    """(entity, u, prior, fitted) of each fit on an even grid."""
+    grid = fits.where("lambdas is not null").select("entity", "epsilon", "lambdas", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
+    u = F.col("k") * F.lit((1 - 1e-8) / (points - 1))
+    rows = grid.withColumn("u", u)
+    return rows.select("entity", "u", (F.col("epsilon") - (1 - F.col("epsilon")) * F.ln(1 - F.col("u"))).alias("prior"), cross_entropy_level(F.col("u"), F.col("epsilon"), F.col("lambdas")).alias("fitted"))
 
 
 def tail_levels(rows: DataFrame, q: float = 0.9, periods: tuple[float, ...] = (10.0, 25.0, 50.0, 100.0)) -> DataFrame:
@@ -187,17 +220,17 @@ def short_memory(models: DataFrame, least: float = 0.2, memory: float = 0.25) ->
     return way("dry_to_wet", "wd").unionByName(way("wet_to_dry", "dw"))
 
 
-def shift_labels(rows: DataFrame) -> DataFrame:
-    """stable, degraded or intermittent, from breaks of the series without its months' means where these dominate."""
+def shift_labels(rows: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
+    """stable, degraded or intermittent, from breaks of the months that aren't frozen, without the months' means where these dominate."""
+    from .series import without_frozen
 
     def compute(frame: pd.DataFrame) -> pd.DataFrame:
-        v = frame["value"].to_numpy()
-        if len(v) < 12:
-            raise ValueError("fewer than twelve months")
-        seasonal = frame.groupby("month")["value"].transform("mean").to_numpy() - v.mean()
-        dominance = float(seasonal.var() / v.var()) if v.var() > 0 else 0.0
-        out = shift.classify(v - seasonal if dominance > 0.3 else v, dominance)
-        return pd.DataFrame([{"shift_label": out["label"], "statistic": out["f"], "p_value": out["p"], "break_index": out["index"], "used_deseasoned": dominance > 0.3, "dominance": dominance}])
-
-    out = per_entity(rows, compute, "shift_label string, statistic double, p_value double, break_index int, used_deseasoned boolean, dominance double")
-    return out.withColumn("shift_label", F.coalesce("shift_label", F.lit("stable")))
+        frame = frame[frame["value"].notna()]
+        out = shift.classify(frame["value"].to_numpy(dtype=float), frame["month"].to_numpy())
+        first, second = out["first"], out["second"]
+        return pd.DataFrame([{"shift_label": out["label"], "statistic": first.stat, "p_value": first.p, "break_index": first.index, "second_statistic": second.stat, "second_p_value": second.p, "second_index": second.index, "used_deseasoned": out["dominance"] > shift.DOMINANCE, "dominance": out["dominance"]}])
+
+    moving = rows if frozen is None else without_frozen(rows, frozen)
+    out = per_entity(moving.where("value is not null"), compute, "shift_label string, statistic double, p_value double, break_index int, second_statistic double, second_p_value double, second_index int, used_deseasoned boolean, dominance double")
+    known = rows.select("entity").distinct().join(out, "entity", "left")
+    return known.withColumn("shift_label", F.coalesce("shift_label", F.lit("stable")))

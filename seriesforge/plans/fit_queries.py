@@ -42,9 +42,14 @@ def weighted_moments(spark, d):
     return fits.weighted_moments(A.series(spark, d))
 
 
+def _percentiles(spark, d):
+    rows = S.percentile_rank(A.series(spark, d))
+    return rows.withColumn("index_value", F.col("percentile")).where("index_value is not null")
+
+
 @query()
 def cross_entropy_thresholds(spark, d):
-    return fits.cross_entropy_thresholds(A.series(spark, d))
+    return fits.cross_entropy_thresholds(_percentiles(spark, d))
 
 
 @query()
@@ -102,10 +107,11 @@ def short_memory_transitions(spark, d):
 
 @query()
 def shift_labels(spark, d):
-    return fits.shift_labels(A.series(spark, d))
+    rows = A.series(spark, d)
+    return fits.shift_labels(rows, A.frozen(rows))
 
 
 @query()
 def quality_flags_with_shift(spark, d):
     rows = A.series(spark, d)
-    return quality.classify(rows, A.info(spark, d).withColumn("area", F.col("area") * 100), fits.shift_labels(rows))
+    return quality.classify(rows, A.info(spark, d).withColumn("area", F.col("area") * 100), fits.shift_labels(rows, A.frozen(rows)), A.frozen(rows))
