@@ -28,7 +28,12 @@ def loss(mu: np.ndarray, alpha: np.ndarray, beta: np.ndarray, t: np.ndarray, kin
     excited = (a * b * np.exp(-b * np.where(earlier, since, 0)) * earlier).sum(1)
     left = end - t
     integral = mu.sum() * (end - start) + float((alpha[:, kind] * (1 - np.exp(-beta[:, kind] * left))).sum())
-    return float(integral - np.log(np.maximum(mu[kind] + excited, 1e-12)).sum() + 1e3 * max(0.0, radius(alpha) - 0.98) ** 2)
+    return float(integral - np.log(np.maximum(mu[kind] + excited, 1e-12)).sum())
+
+
+def instability(alpha: np.ndarray) -> float:
+    """What the search pays for excitation that feeds itself; no part of the likelihood."""
+    return 1e3 * max(0.0, radius(alpha) - 0.98) ** 2
 
 
 def fit(t: np.ndarray, kind: np.ndarray, start: float, end: float, closed: tuple[int, int] | None = None) -> dict:
@@ -39,10 +44,14 @@ def fit(t: np.ndarray, kind: np.ndarray, start: float, end: float, closed: tuple
     rates = np.array([(kind == k).sum() for k in (0, 1)]) / max(end - start, 1e-9)
     inverse = lambda x: np.log(np.expm1(np.maximum(x, 1e-3)))
     p = np.concatenate((inverse(rates * 0.7), np.full(int(free.sum()), inverse(0.1)), np.full(4, inverse(2.0))))
-    fun = lambda p: loss(*unpack(p, free), t, kind, start, end)
-    p, value, fine = minimise(fun, p, 60)
+
+    def fun(p: np.ndarray) -> float:
+        mu, alpha, beta = unpack(p, free)
+        return loss(mu, alpha, beta, t, kind, start, end) + instability(alpha)
+
+    p, _, fine = minimise(fun, p, 60)
     mu, alpha, beta = unpack(p, free)
-    return {"mu": mu, "alpha": alpha, "beta": beta, "loss": value, "converged": fine, "radius": radius(alpha)}
+    return {"mu": mu, "alpha": alpha, "beta": beta, "loss": loss(mu, alpha, beta, t, kind, start, end), "converged": fine, "radius": radius(alpha)}
 
 
 def likelihood_ratio(full: dict, restricted: dict) -> tuple[float, float]:

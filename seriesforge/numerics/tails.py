@@ -155,7 +155,7 @@ def process_loss(p: np.ndarray, grid: np.ndarray, width: np.ndarray, u_grid: np.
             return 1e10
         rate = np.where(a > 0, np.maximum(a, 1e-12) ** (-1 / shape), 0)
         log_density = -(1 + 1 / shape) * np.log(b) - math.log(sigma)
-    value = float(width @ rate) - float(log_density.sum()) + 50 * max(0.0, abs(shape) - 0.8) ** 2
+    value = float(width @ rate) - float(log_density.sum())
     return value if np.isfinite(value) else 1e10
 
 
@@ -168,6 +168,8 @@ def process_fit(t: np.ndarray, v: np.ndarray, event_t: np.ndarray, event_v: np.n
     spread, best = max(float(np.std(v)), 1e-9), None
 
     def loss(p):
+        if abs(p[-1]) > 1:  # the likelihood has no maximum beyond
+            return 1e10
         return process_loss(p, grid, width, u_grid, x_events, event_v)
 
     for shape in (0.05, -0.1, 0.2):

@@ -133,31 +133,40 @@ def stored_return_levels(fits: DataFrame, periods: tuple[float, ...] = (10.0, 10
     return rows.select("entity", "tail", "threshold_quantile", "period", level.alias("level"))
 
 
-def exceedance_processes(rows: DataFrame, quantiles: tuple[float, ...] = (0.9,), run: int = 1, periods: tuple[float, ...] = (10.0, 50.0)) -> DataFrame:
-    """Both tails: seasonal threshold, declustered exceedances, process fit and return levels."""
+def exceedance_processes(rows: DataFrame, quantiles: tuple[float, ...] = (0.95, 0.98), run: int = 1, periods: tuple[float, ...] = (10.0, 25.0, 50.0, 100.0)) -> DataFrame:
+    """Both tails at each quantile: seasonal threshold, declustered exceedances, process fit and return levels; a row for each that fails."""
+
+    def combination(t: np.ndarray, values: np.ndarray, tail: str, q: float) -> dict:
+        v = values * (1 if tail == "high" else -1)
+        u = tails.quantile_line(t, v, q)
+        over = np.flatnonzero(v > tails.design(t) @ u)
+        groups = np.split(over, np.flatnonzero(np.diff(over) - 1 >= run) + 1) if len(over) else []
+        peaks = np.array([g[np.argmax(v[g])] for g in groups], dtype=int)
+        if len(peaks) < 5:
+            raise ValueError("fewer than five clusters")
+        fit = tails.process_fit(t, v, t[peaks], v[peaks], u)
+        beta = fit["beta"]
+        levels = [tails.process_level(fit, p, 0.0) * (1 if tail == "high" else -1) for p in periods]
+        return {"converged": fit["converged"], "log_likelihood": -fit["loss"], "n_extremes": len(peaks), "n_observations": len(v), "beta0": beta[0], "beta1": beta[1], "sin_1": beta[2], "cos_1": beta[3], "sigma": fit["sigma"], "xi": fit["shape"], "harmonics": tails.choose_harmonics(t, v), "levels": levels}
+
+    fields = "converged boolean, log_likelihood double, n_extremes long, n_observations long, beta0 double, beta1 double, sin_1 double, cos_1 double, sigma double, xi double, harmonics int, levels array<double>"
+    names = [c.split()[0] for c in fields.split(", ")]
 
     def compute(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) < 20:
             raise ValueError("fewer than 20 observations")
         year = frame["month_ordinal"].to_numpy() // 12
-        t = year - year.min() + frame["month_ordinal"].to_numpy() % 12 / 12
-        out = []
+        t, out = year - year.min() + frame["month_ordinal"].to_numpy() % 12 / 12, []
         for tail in ("high", "low"):
-            v = frame["value"].to_numpy() * (1 if tail == "high" else -1)
             for q in quantiles:
-                u = tails.quantile_line(t, v, q)
-                over = np.flatnonzero(v > tails.design(t) @ u)
-                groups = np.split(over, np.flatnonzero(np.diff(over) - 1 >= run) + 1) if len(over) else []
-                peaks = np.array([g[np.argmax(v[g])] for g in groups], dtype=int)
-                if len(peaks) < 5:
-                    raise ValueError("fewer than five clusters")
-                fit = tails.process_fit(t, v, t[peaks], v[peaks], u)
-                beta = fit["beta"]
-                levels = [tails.process_level(fit, p, 0.0) * (1 if tail == "high" else -1) for p in periods]
-                out.append({"tail": tail, "threshold_quantile": q, "converged": fit["converged"], "log_likelihood": -fit["loss"], "n_extremes": len(peaks), "n_observations": len(v), "beta0": beta[0], "beta1": beta[1], "sin_1": beta[2], "cos_1": beta[3], "sigma": fit["sigma"], "xi": fit["shape"], "levels": levels})
+                try:  # one combination that fails leaves the others
+                    found = combination(t, frame["value"].to_numpy(), tail, q) | {"message": None}
+                except (ValueError, FloatingPointError, np.linalg.LinAlgError) as error:
+                    found = dict.fromkeys(names) | {"message": str(error)[:MESSAGE]}
+                out.append({"tail": tail, "threshold_quantile": q, **found})
         return pd.DataFrame(out)
 
-    return per_entity(rows, compute, "tail string, threshold_quantile double, converged boolean, log_likelihood double, n_extremes long, n_observations long, beta0 double, beta1 double, sin_1 double, cos_1 double, sigma double, xi double, levels array<double>")
+    return per_entity(rows, compute, f"tail string, threshold_quantile double, {fields}, message string")
 
 
 def residual_life(rows: DataFrame, candidates: tuple[float, ...], least: int = 8) -> DataFrame:
@@ -177,8 +186,8 @@ def excitation(events: DataFrame, months: DataFrame) -> DataFrame:
     def compute(frame: pd.DataFrame) -> pd.DataFrame:
         t = frame["month_ordinal"].to_numpy() / 12
         kind = frame["event_kind"].to_numpy()
-        if len(t) < 10 or len(set(kind)) < 2:
-            raise ValueError("fewer than ten events, or of one kind only")
+        if len(t) < 4 or len(set(kind)) < 2:
+            raise ValueError("fewer than four events, or of one kind only")
         start, end = frame["first"].iloc[0] / 12, (frame["last"].iloc[0] + 1) / 12
         full = hawkes.fit(t, kind, start, end)
         tests = {name: hawkes.likelihood_ratio(full, hawkes.fit(t, kind, start, end, closed)) for name, closed in (("dry_to_wet", (1, 0)), ("wet_to_dry", (0, 1)))}

@@ -30,4 +30,4 @@ def query(body: str | None = None, doubles: str = "") -> Callable[[Query], Query
     return register
 
 
-from . import fit_queries, grid_queries, ledger_queries, lookup_queries, series_queries, summary_queries  # noqa: E402, F401
+from . import calculator_queries, fit_queries, grid_queries, ledger_queries, lookup_queries, series_queries, summary_queries  # noqa: E402, F401
