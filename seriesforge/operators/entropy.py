@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import plogp, ratio
+from ..functions.ranks import with_place
 
 
 def overall_entropy(rows: DataFrame) -> DataFrame:
@@ -46,27 +47,14 @@ def trend(years: DataFrame, value: str, least_years: int = 20) -> DataFrame:
     return out.select("entity", "n", "s", "z", "slope", label.alias("trend"), (ratio(F.col("slope"), F.col("mean")) * 1000).alias("change_per_decade_pct"))
 
 
-#: Ranges in which values are sorted to rank them.
-RANGES = 64
-
-
 def regression(rows: DataFrame, x: str, y: str) -> DataFrame:
     """One row: Pearson and Spearman correlation and the least-squares line of y on x."""
     known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def average_rank(c: str, name: str) -> DataFrame:
-        """Ranks of distinct values from counts: values are sorted within ranges, and the ranges' totals come before them.
-
-        Where the ranges' bounds lie doesn't change a rank, so approximate ones serve.
-        """
-        counts = known.groupBy(c).agg(F.count("*").alias("n"))
-        bounds = counts.agg(F.percentile_approx(c, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), 1000).alias("bounds"))
-        placed = counts.join(F.broadcast(bounds), F.lit(True)).withColumn("part", F.size(F.filter("bounds", lambda b: b < F.col(c)))).drop("bounds")  # one row
-        totals = placed.groupBy("part").agg(F.sum("n").alias("total"))  # RANGES rows
-        offsets = totals.select(F.col("part").alias("of_part"), (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
-        upto = F.sum("n").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = placed.withColumn("upto", upto).join(F.broadcast(offsets), F.col("part") == F.col("of_part"))
-        return ranks.select(F.col(c).alias(f"of_{c}"), (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2.0).alias(name))
+        """Ranks of distinct values from their counts: only the values, not the rows, are sorted."""
+        counts = with_place(known.groupBy(c).agg(F.count("*").alias("n")), c, "n")
+        return counts.select(F.col(c).alias(f"of_{c}"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(name))
 
     ranked = known.join(average_rank(x, "rank_x"), F.col(x) == F.col(f"of_{x}")).join(average_rank(y, "rank_y"), F.col(y) == F.col(f"of_{y}"))
     return ranked.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("rank_x", "rank_y").alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))

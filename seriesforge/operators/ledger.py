@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import with_place
+
 #: Primary keys of the result tables, by what they hold.
 KEYS = {
     "quality": ["entity"], "anomalies": ["entity"], "status": ["entity"], "entropy": ["entity"], "interpolation": ["entity"], "shift_labels": ["entity"],
@@ -156,9 +158,9 @@ def resolve(all_ids: DataFrame, finished: DataFrame, quality: DataFrame | None =
 
 def shares_of_workers(ids: DataFrame, workers: int, size: int) -> DataFrame:
     """Each id with its worker (even split in order) and its batch of ``size`` ids."""
-    place = F.row_number().over(Window.partitionBy("_all").orderBy("entity"))
-    n = F.count("*").over(Window.partitionBy("_all"))
-    spread = ids.select("entity").distinct().withColumn("_all", F.lit(0)).withColumns({"_p": place - 1, "_n": n})
+    known = ids.select("entity").distinct()
+    n = known.agg(F.count("*").alias("_n"))
+    spread = with_place(known, "entity").join(F.broadcast(n), F.lit(True)).withColumn("_p", F.col("upto") - 1)  # one row
     least, more = F.floor(F.col("_n") / workers), F.col("_n") % workers
     worker = F.when(F.col("_p") < more * (least + 1), F.floor(F.col("_p") / (least + 1))).otherwise(more + F.floor((F.col("_p") - more * (least + 1)) / F.greatest(least, F.lit(1))))
     return spread.select("entity", worker.cast("int").alias("worker"), F.floor(F.col("_p") / size).cast("int").alias("batch"))
