@@ -26,13 +26,13 @@ from .vocabulary import WordBpe, load_word_bpe, uncollected
 
 #: What a worker keeps of what it has encoded: chunks, their letters and their tokens; beyond any of these
 #: only chunks of the text at hand stay.
-KEPT, KEPT_LETTERS, KEPT_TOKENS = 150_000, 3_000_000, 1_500_000
+KEPT, KEPT_LETTERS, KEPT_TOKENS = 300_000, 6_000_000, 3_000_000
 #: Pieces kept; beyond it the older half goes.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 200_000
 #: Longer pieces aren't kept.
 PIECE_LETTERS = 64
 #: Characters of text that are encoded together, unless one text has more.
-TOGETHER = 1_000_000
+TOGETHER = 2_000_000
 
 
 def walk_trie(words: Iterable[str], bpe: WordBpe) -> Iterator[tuple[str, list[int]]]:
