@@ -4,11 +4,15 @@ quantiles, seasonal point processes of exceedances, and their return levels."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
 from .special import minimise, root, simplex
 
+#: Largest shape of a process, either way.
+WIDEST = 0.95
+
 # -- generalised Pareto --------------------------------------------------------------------
 
 
@@ -122,14 +126,31 @@ def design(t: np.ndarray, harmonics: int = 1) -> np.ndarray:
     return np.stack([np.ones_like(t), t, *waves], axis=1)
 
 
-def choose_harmonics(t: np.ndarray, v: np.ndarray, most: int = 3) -> int:
-    """The number of harmonics of least Bayesian information."""
-    scores = []
+def choose_harmonics(t: np.ndarray, v: np.ndarray, criterion: str = "aic", most: int = 3) -> tuple[int, float]:
+    """(harmonics of the seasonal line with the least information criterion, its error over the values' deviation)."""
+    n, found = len(v), []
+    if n < 3:
+        raise ValueError("too few observations to choose a seasonal line")
     for h in range(1, most + 1):
         x = design(t, h)
+        if n <= x.shape[1]:
+            break
         rest = v - x @ np.linalg.lstsq(x, v, rcond=None)[0]
-        scores.append(len(v) * math.log(max(float(rest @ rest) / len(v), 1e-300)) + x.shape[1] * math.log(len(v)))
-    return 1 + int(np.argmin(scores))
+        error = max(float(rest @ rest) / n, np.finfo(float).tiny)
+        found.append((n * math.log(error) + x.shape[1] * {"aic": 2.0, "bic": math.log(n)}[criterion], h, math.sqrt(error)))
+    if not found:
+        raise ValueError("too few observations for one harmonic")
+    _, h, error = min(found)
+    return h, error / (float(np.std(v, ddof=1)) or 1.0)
+
+
+def held(t: np.ndarray, runs: Sequence[tuple[float, float]]) -> np.ndarray:
+    """Times inside a run (start, end) moved to its start: a line evaluated there is constant over the run."""
+    t = np.asarray(t, dtype=float)
+    out = t.copy()
+    for start, end in runs:
+        out[(t >= start - 1e-10) & (t < end - 1e-10)] = start
+    return out
 
 
 def quantile_line(t: np.ndarray, v: np.ndarray, q: float, harmonics: int = 1, rounds: int = 60) -> np.ndarray:
@@ -145,63 +166,139 @@ def quantile_line(t: np.ndarray, v: np.ndarray, q: float, harmonics: int = 1, ro
 
 def process_loss(p: np.ndarray, grid: np.ndarray, width: np.ndarray, u_grid: np.ndarray, x_events: np.ndarray, v: np.ndarray) -> float:
     """Negative log-likelihood of exceedances v of u(t), with location design @ beta, scale exp, shape; width: trapezoid weights."""
-    beta, sigma, shape = p[:-2], math.exp(min(p[-2], 50)), p[-1]
+    beta, sigma, shape = p[:-2], math.exp(min(max(p[-2], -50), 50)), p[-1]
     z_grid, z = (u_grid - grid @ beta) / sigma, (v - x_events @ beta) / sigma
     if abs(shape) < 1e-6:
-        rate, log_density = np.exp(np.clip(-z_grid, -50, 50)), -z - math.log(sigma)
+        rate, log_density = np.exp(np.clip(-z_grid, -700, 700)), -z - math.log(sigma)
     else:
         a, b = 1 + shape * z_grid, 1 + shape * z
-        if b.min(initial=1.0) <= 0 or (shape > 0 and a.min() <= 0):
+        if b.min(initial=1.0) <= 0 or a.min() <= 0:
             return 1e10
-        rate = np.where(a > 0, np.maximum(a, 1e-12) ** (-1 / shape), 0)
+        rate = a ** (-1 / shape)
         log_density = -(1 + 1 / shape) * np.log(b) - math.log(sigma)
     value = float(width @ rate) - float(log_density.sum())
     return value if np.isfinite(value) else 1e10
 
 
-def process_fit(t: np.ndarray, v: np.ndarray, event_t: np.ndarray, event_v: np.ndarray, u_beta: np.ndarray, points: int = 256) -> dict:
-    """Location (constant, trend, sine, cosine), scale and shape of the likeliest process, from several starts."""
-    at = np.linspace(t.min(), t.max(), points)
-    width = np.full(points, (t.max() - t.min()) / (points - 1))
-    width[[0, -1]] /= 2
-    grid, x_events, u_grid = design(at), design(event_t), design(at) @ u_beta
-    spread, best = max(float(np.std(v)), 1e-9), None
+def process_fit(t: np.ndarray, v: np.ndarray, event_t: np.ndarray, event_v: np.ndarray, u_beta: np.ndarray, points: int = 256, harmonics: int = 1, runs: Sequence[tuple[float, float]] = ()) -> dict:
+    """Location line, scale and shape of the likeliest process; t is in years from the January of the first year.
 
-    def loss(p):
-        if abs(p[-1]) > 1:  # the likelihood has no maximum beyond
-            return 1e10
-        return process_loss(p, grid, width, u_grid, x_events, event_v)
-
-    for shape in (0.05, -0.1, 0.2):
-        start = np.concatenate((u_beta, [math.log(spread / 2), shape]))
-        point, value, fine = minimise(loss, start, 80)
-        if not fine:
-            point, value = simplex(loss, point, 300)
-        if best is None or value < best[1]:
-            best = point, value, fine or value < 1e9
-        if fine:
+    The fit of shape 0 comes first, which has no ends of its range; fits of a free shape start from it.  With few
+    events these may have no maximum (a line through the events with their range's end just below it has any
+    likelihood); then the fit of shape 0 stands.  Location and threshold are constant over each of the runs.
+    The covariance is the inverse of the loss's curvature, None where that isn't positive definite; a shape of 0 is
+    held there.
+    """
+    duration = float(t.max() - t.min()) + 1 / 12
+    at = np.linspace(0, duration, points)
+    width = np.full(points, duration / (points - 1))
+    width[[0, -1]] /= 2
+    grid, x_events = design(held(at, runs), harmonics), design(held(event_t, runs), harmonics)
+    # in units of the values' deviation, and on uncorrelated columns: one step size fits all parameters
+    mean, unit = float(np.mean(v)), float(np.std(v)) or 1.0
+    mixed = np.linalg.inv(np.linalg.qr(grid)[1]) * math.sqrt(points)
+    grid, x_events, event_v = grid @ mixed, x_events @ mixed, (event_v - mean) / unit
+    line = np.linalg.solve(mixed, (u_beta - mean * np.eye(len(u_beta))[0]) / unit)
+    u_grid = grid @ line
+
+    def at_shape(p: np.ndarray, shape: float) -> float:
+        return process_loss(np.append(p, shape), grid, width, u_grid, x_events, event_v)
+
+    def free(p: np.ndarray) -> float:  # the shape as a hyperbolic tangent stays within its bounds
+        return at_shape(p[:-1], WIDEST * math.tanh(p[-1]))
+
+    shape, scale, known = pareto_fit(np.maximum(event_v - x_events @ line, 0.0))
+    start = np.append(line, math.log(scale if known and scale > 0 else 0.5))
+    flat, value, fine = minimise(lambda p: at_shape(p, 0.0), start, 80)
+    if not fine:
+        flat, value, fine = minimise(lambda p: at_shape(p, 0.0), simplex(lambda p: at_shape(p, 0.0), flat, 300)[0], 80)
+    if not value < 1e9:
+        raise ValueError("no start has a likelihood")
+    point = np.append(flat, 0.0)
+    for begin in (min(max(shape, -0.5), 0.5) if known else 0.1, -0.1, 0.1):
+        found, lower, done = minimise(free, np.append(flat, math.atanh(begin / WIDEST)), 80)
+        if done and lower < 1e9 and (lower < value or not fine):
+            point, value, fine = found, lower, True
+        if done and abs(lower - value) < 1e-5 * (1 + abs(value)):
             break
-    point, value, fine = best
-    return {"beta": point[:-2], "sigma": math.exp(min(point[-2], 50)), "shape": float(point[-1]), "loss": value, "converged": bool(fine and value < 1e9)}
-
-
-def process_level(fit: dict, period: float, t0: float) -> float:
-    """The level that the process passes once in ``period`` years from t0 on, on average."""
-    at = np.linspace(t0, t0 + 1, 49)
-    location = design(at) @ fit["beta"]
-
-    def rate(level: float) -> float:
-        z = (level - location) / fit["sigma"]
-        a = 1 + fit["shape"] * z
-        per = np.exp(np.clip(-z, -50, 50)) if abs(fit["shape"]) < 1e-6 else np.where(a > 0, np.maximum(a, 1e-12) ** (-1 / fit["shape"]), 0 if fit["shape"] < 0 else 1e6)
-        return float(per.mean()) - 1 / period
-
+    natural = np.concatenate((point[:-2], [math.exp(min(max(point[-2], -50), 50)), WIDEST * math.tanh(point[-1])]))
+    curved = lambda p: at_shape(np.append(p[: len(line)], math.log(max(p[len(line)], 1e-20))), p[-1] if len(p) > len(flat) else 0.0)
+    spread = covariance(curved, natural if natural[-1] else natural[:-1])
+    if spread is not None and not natural[-1]:
+        spread = np.pad(spread, (0, 1))
+    back = np.zeros((len(natural), len(natural)))
+    back[:-2, :-2], back[-2, -2], back[-1, -1] = mixed * unit, unit, 1.0
+    theta = back @ natural
+    theta[0] += mean
+    return {"beta": theta[:-2], "sigma": float(theta[-2]), "shape": float(theta[-1]), "loss": value + len(event_v) * math.log(unit), "converged": bool(fine), "duration": duration, "harmonics": harmonics, "covariance": None if spread is None else back @ spread @ back.T}
+
+
+def covariance(loss: Callable[[np.ndarray], float], point: np.ndarray) -> np.ndarray | None:
+    """The inverse of the loss's second differences, if these are positive definite."""
+    n, steps = len(point), np.diag(1e-4 * np.maximum(np.abs(point), 1e-2))
+    curve = np.empty((n, n))
+    for i in range(n):
+        for j in range(i + 1):
+            a, b = steps[i], steps[j]
+            corners = [loss(point + a + b), loss(point + a - b), loss(point - a + b), loss(point - a - b)]
+            if max(corners) > 1e9:
+                return None
+            curve[i, j] = curve[j, i] = (corners[0] - corners[1] - corners[2] + corners[3]) / (4 * a[i] * b[j])
+    try:
+        np.linalg.cholesky(curve)
+        return np.linalg.inv(curve)
+    except np.linalg.LinAlgError:
+        return None
+
+
+def yearly_rate(theta: np.ndarray, level: float, x: np.ndarray) -> float:
+    """How often a year the process passes a level, on average over the rows of an even grid's design."""
+    beta, sigma, shape = theta[:-2], theta[-2], theta[-1]
+    z = (level - x @ beta) / sigma
+    a = 1 + shape * z
+    per = np.exp(np.clip(-z, -700, 700)) if abs(shape) < 1e-6 else np.where(a > 0, np.maximum(a, 1e-12) ** (-1 / shape), 0 if shape < 0 else 1e6)
+    return float((per.sum() - (per[0] + per[-1]) / 2) / (len(per) - 1))
+
+
+def process_level(fit: dict, period: float, points: int = 512) -> tuple[float, float | None]:
+    """(the level that is passed once in ``period`` years, on average over the observed time; its standard error by the delta method)."""
+    x = design(np.linspace(0, fit["duration"], points), fit["harmonics"])
+    theta = np.concatenate((fit["beta"], [fit["sigma"], fit["shape"]]))
+    location = x @ fit["beta"]
     low, high = location.min() - 10 * fit["sigma"], location.max() + fit["sigma"]
+    over = lambda level: yearly_rate(theta, level, x) - 1 / period
     for _ in range(60):
-        if rate(high) <= 0:
+        if over(high) <= 0:
             break
         high += (high - low) * 0.5
-    return root(rate, low, high)
+    if not over(low) > 0 >= over(high):
+        raise ValueError("no level has this period")
+    level = root(over, low, high)
+    if fit["covariance"] is None:
+        return level, None
+    h = 1e-5 * max(abs(level), fit["sigma"])
+    slope = (yearly_rate(theta, level + h, x) - yearly_rate(theta, level - h, x)) / (2 * h)
+    if not slope < 0:
+        return level, None
+    steps = np.diag(1e-5 * np.maximum(np.abs(theta), 1e-2))
+    moved = np.array([(yearly_rate(theta + s, level, x) - yearly_rate(theta - s, level, x)) / (2 * s.max()) for s in steps]) / -slope
+    variance = float(moved @ fit["covariance"] @ moved)
+    return level, math.sqrt(variance) if variance >= 0 else None
+
+
+def threshold_stability(v: np.ndarray, lower: float = 0.70, upper: float = 0.98, steps: int = 25, least: int = 8) -> list[dict]:
+    """At evenly spaced quantiles: mean excess, Pareto shape and scale, and the scale that doesn't change with a right threshold; None below ``least``."""
+    out = []
+    for u in np.unique(np.quantile(v, np.linspace(lower, upper, steps))):
+        excess = v[v > u] - u
+        row = {"threshold": float(u), "n_exceedances": len(excess), "mean_excess": None, "shape": None, "scale": None, "modified_scale": None}
+        if len(excess) >= least:
+            row["mean_excess"] = float(excess.mean())
+            shape, scale, fine = pareto_fit(excess)
+            if fine:
+                row |= {"shape": shape, "scale": scale, "modified_scale": scale - shape * float(u)}
+        out.append(row)
+    return out
 
 
 def mean_residual_life(v: np.ndarray, candidates: np.ndarray, least: int = 8) -> list[tuple[float, float, int]]:

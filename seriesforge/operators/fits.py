@@ -133,40 +133,102 @@ def stored_return_levels(fits: DataFrame, periods: tuple[float, ...] = (10.0, 10
     return rows.select("entity", "tail", "threshold_quantile", "period", level.alias("level"))
 
 
-def exceedance_processes(rows: DataFrame, quantiles: tuple[float, ...] = (0.95, 0.98), run: int = 1, periods: tuple[float, ...] = (10.0, 25.0, 50.0, 100.0)) -> DataFrame:
-    """Both tails at each quantile: seasonal threshold, declustered exceedances, process fit and return levels; a row for each that fails."""
-
-    def combination(t: np.ndarray, values: np.ndarray, tail: str, q: float) -> dict:
-        v = values * (1 if tail == "high" else -1)
-        u = tails.quantile_line(t, v, q)
-        over = np.flatnonzero(v > tails.design(t) @ u)
-        groups = np.split(over, np.flatnonzero(np.diff(over) - 1 >= run) + 1) if len(over) else []
-        peaks = np.array([g[np.argmax(v[g])] for g in groups], dtype=int)
-        if len(peaks) < 5:
-            raise ValueError("fewer than five clusters")
-        fit = tails.process_fit(t, v, t[peaks], v[peaks], u)
-        beta = fit["beta"]
-        levels = [tails.process_level(fit, p, 0.0) * (1 if tail == "high" else -1) for p in periods]
-        return {"converged": fit["converged"], "log_likelihood": -fit["loss"], "n_extremes": len(peaks), "n_observations": len(v), "beta0": beta[0], "beta1": beta[1], "sin_1": beta[2], "cos_1": beta[3], "sigma": fit["sigma"], "xi": fit["shape"], "harmonics": tails.choose_harmonics(t, v), "levels": levels}
+def exceedance_processes(rows: DataFrame, quantiles: tuple[float, ...] = (0.95, 0.98), run: int = 1, periods: tuple[float, ...] = (10.0, 25.0, 50.0, 100.0), frozen: DataFrame | None = None, harmonics: int | str = 1) -> DataFrame:
+    """Both tails at each quantile: seasonal threshold, declustered exceedances, process fit, return levels with 95 % intervals; a row for each that fails.
+
+    frozen (entity, month_ordinal): threshold and location stay constant over each run of these months.
+    harmonics: how many the lines have, or "aic" or "bic" to choose one to three for each entity and tail.
+    """
 
-    fields = "converged boolean, log_likelihood double, n_extremes long, n_observations long, beta0 double, beta1 double, sin_1 double, cos_1 double, sigma double, xi double, harmonics int, levels array<double>"
-    names = [c.split()[0] for c in fields.split(", ")]
+    def combination(t: np.ndarray, months: np.ndarray, values: np.ndarray, runs: list, tail: str, q: float) -> dict:
+        sign = 1 if tail == "high" else -1
+        v = values * sign
+        waves = harmonics if isinstance(harmonics, int) else tails.choose_harmonics(t, v, harmonics)[0]
+        line = tails.quantile_line(t, v, q, waves)
+        u = tails.design(t, waves) @ line
+        over = np.flatnonzero(v > u)
+        if not len(over):
+            raise ValueError("no exceedances")
+        groups = np.split(over, np.flatnonzero(np.diff(over) - 1 >= run) + 1)
+        peaks = np.array([g[np.argmax(v[g])] for g in groups], dtype=int)
+        fit = tails.process_fit(t, v, t[peaks], v[peaks], line, harmonics=waves, runs=runs)
+        beta, levels, errors = fit["beta"], [], []
+        for period in periods:
+            try:
+                level, error = tails.process_level(fit, period)
+            except ValueError:
+                level, error = None, None
+            levels.append(None if level is None else level * sign)
+            errors.append(error)
+        ends = [[None if e is None else x + k * 1.96 * e for x, e in zip(levels, errors)] for k in (-1, 1)]
+        location = tails.design(tails.held(t[peaks], runs), waves) @ beta
+        clusters = [{"month_ordinal": int(months[p]), "cluster_size": len(g), "value": float(v[p]), "threshold": float(u[p]), "location": float(m)} for p, g, m in zip(peaks, groups, location)]
+        return {"converged": fit["converged"], "log_likelihood": -fit["loss"], "threshold": float(np.median(u)), "n_extremes": len(peaks), "n_observations": len(v), "n_frozen_months": sum(round((b - a) * 12) for a, b in runs), "beta0": beta[0], "beta1": beta[1], "sin_1": beta[2], "cos_1": beta[3], "betas": list(beta), "sigma": fit["sigma"], "xi": fit["shape"], "harmonics": waves, "levels": levels, "levels_low": ends[0], "levels_high": ends[1], "peaks": clusters}
+
+    doubles = "beta0 double, beta1 double, sin_1 double, cos_1 double, betas array<double>, sigma double, xi double"
+    fields = f"converged boolean, log_likelihood double, threshold double, n_extremes long, n_observations long, n_frozen_months long, {doubles}, harmonics int, levels array<double>, levels_low array<double>, levels_high array<double>"
+    names = [*[c.split()[0] for c in fields.split(", ")], "peaks"]
+    peak = "peaks array<struct<month_ordinal:int,cluster_size:int,value:double,threshold:double,location:double>>"
 
     def compute(frame: pd.DataFrame) -> pd.DataFrame:
+        still = np.unique(frame.loc[frame["frozen"], "month_ordinal"].to_numpy())
+        frame = frame[~frame["frozen"] & frame["value"].notna()]
         if len(frame) < 20:
             raise ValueError("fewer than 20 observations")
-        year = frame["month_ordinal"].to_numpy() // 12
-        t, out = year - year.min() + frame["month_ordinal"].to_numpy() % 12 / 12, []
+        months = frame["month_ordinal"].to_numpy()
+        first = months.min() // 12 * 12
+        t, out = (months - first) / 12, []
+        runs = [((g[0] - first) / 12, (g[-1] + 1 - first) / 12) for g in np.split(still, np.flatnonzero(np.diff(still) > 1) + 1) if len(g)]
         for tail in ("high", "low"):
             for q in quantiles:
                 try:  # one combination that fails leaves the others
-                    found = combination(t, frame["value"].to_numpy(), tail, q) | {"message": None}
+                    found = combination(t, months, frame["value"].to_numpy(dtype=float), runs, tail, q) | {"message": None}
                 except (ValueError, FloatingPointError, np.linalg.LinAlgError) as error:
-                    found = dict.fromkeys(names) | {"message": str(error)[:MESSAGE]}
+                    found = dict.fromkeys(names) | {"converged": False, "message": str(error)[:MESSAGE]}
                 out.append({"tail": tail, "threshold_quantile": q, **found})
         return pd.DataFrame(out)
 
-    return per_entity(rows, compute, f"tail string, threshold_quantile double, {fields}, message string")
+    series = rows.select("entity", "month_ordinal", F.col("value").cast("double").alias("value"), F.lit(False).alias("frozen"))
+    if frozen is not None:
+        known = frozen.join(rows.select("entity").distinct(), "entity", "left_semi")
+        series = series.unionByName(known.select("entity", "month_ordinal", F.lit(None).cast("double").alias("value"), F.lit(True).alias("frozen")))
+    return per_entity(series, compute, f"tail string, threshold_quantile double, {fields}, {peak}, message string")
+
+
+def process_peaks(fits: DataFrame) -> DataFrame:
+    """The clusters' peaks that each process was fitted to, on its tail's scale, with their number in time order."""
+    return fits.select("entity", "tail", "threshold_quantile", F.posexplode("peaks").alias("k", "p")).select("entity", "tail", "threshold_quantile", (F.col("k") + 1).alias("cluster_id"), "p.*")
+
+
+def process_residuals(fits: DataFrame) -> DataFrame:
+    """Peaks as residuals that are exponential if the process holds, with the probabilities and quantiles both plots compare.
+
+    A fit under which one of its peaks is impossible has no rows.
+    """
+    each = Window.partitionBy("entity", "tail", "threshold_quantile")
+    peaks = fits.where("converged").select("entity", "tail", "threshold_quantile", "sigma", "xi", F.explode("peaks").alias("p"))
+    excess = F.col("p.value") - F.col("p.threshold")
+    scale = F.col("sigma") + F.col("xi") * (F.col("p.threshold") - F.col("p.location"))
+    support = 1 + F.col("xi") * excess / F.nullif(scale, F.lit(0.0))
+    flat = F.abs("xi") < 1e-6
+    value = F.when(flat, excess / F.col("sigma")).when((scale > 0) & (support > 0), F.ln(support) / F.nullif("xi", F.lit(0.0)))
+    rows = peaks.select("entity", "tail", "threshold_quantile", value.alias("residual"), F.col("p.month_ordinal").alias("month_ordinal"))
+    n = F.count("*").over(each)
+    ranked = rows.select("*", n.alias("n"), F.count("residual").over(each).alias("valid"), F.row_number().over(each.orderBy("residual", "month_ordinal")).alias("k")).where("n = valid")
+    share = F.col("k") / (F.col("n") + 1.0)
+    return ranked.select("entity", "tail", "threshold_quantile", "k", "residual", share.alias("empirical_probability"), (1 - F.exp(-F.col("residual"))).alias("model_probability"), (-F.ln(1 - share)).alias("theoretical_quantile"))
+
+
+def threshold_stability(rows: DataFrame) -> DataFrame:
+    """Pareto fits of each entity beyond 25 quantiles from 0.70 to 0.98: a good threshold is where shape and modified scale stop changing."""
+
+    def compute(frame: pd.DataFrame) -> pd.DataFrame:
+        v = frame["value"].dropna().to_numpy(dtype=float)
+        if len(v) < 20:
+            raise ValueError("fewer than 20 observations")
+        return pd.DataFrame(tails.threshold_stability(v))
+
+    return per_entity(rows, compute, "threshold double, n_exceedances long, mean_excess double, shape double, scale double, modified_scale double")
 
 
 def residual_life(rows: DataFrame, candidates: tuple[float, ...], least: int = 8) -> DataFrame:

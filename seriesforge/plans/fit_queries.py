@@ -65,7 +65,25 @@ def stored_return_levels(spark, d):
 
 @query()
 def exceedance_processes(spark, d):
-    return fits.exceedance_processes(A.series(spark, d))
+    rows = A.series(spark, d)
+    return fits.exceedance_processes(rows, frozen=A.frozen(rows)).drop("peaks")
+
+
+@query()
+def process_peaks(spark, d):
+    rows = A.series(spark, d)
+    return fits.process_peaks(fits.exceedance_processes(rows, frozen=A.frozen(rows)))
+
+
+@query()
+def process_residuals(spark, d):
+    rows = A.series(spark, d)
+    return fits.process_residuals(fits.exceedance_processes(rows, frozen=A.frozen(rows)))
+
+
+@query()
+def threshold_stability(spark, d):
+    return fits.threshold_stability(A.series(spark, d))
 
 
 @query("""with u as (select entity, round(quantile_cont(value, 0.7), 6) as u0, round(quantile_cont(value, 0.8), 6) as u1, round(quantile_cont(value, 0.9), 6) as u2 from series group by 1),

@@ -91,11 +91,72 @@ def test_process_levels_are_passed_once_in_their_period():
     u = tails.quantile_line(t, values, 0.9)
     over = np.flatnonzero(values > tails.design(t) @ u)
     fit = tails.process_fit(t, values, t[over], values[over], u)
-    levels = [tails.process_level(fit, p, 0.0) for p in (2.0, 10.0, 50.0)]
+    found = [tails.process_level(fit, p) for p in (2.0, 10.0, 50.0)]
+    levels = [level for level, _ in found]
     assert fit["converged"] and levels == sorted(levels)
-    at = np.linspace(0, 1, 49)
-    z = 1 + fit["shape"] * (levels[1] - tails.design(at) @ fit["beta"]) / fit["sigma"]
-    assert np.mean(np.maximum(z, 1e-12) ** (-1 / fit["shape"])) == pytest.approx(0.1, rel=1e-3)
+    x = tails.design(np.linspace(0, fit["duration"], 512))
+    z = 1 + fit["shape"] * (levels[1] - x @ fit["beta"]) / fit["sigma"]
+    assert np.mean(np.maximum(z, 1e-12) ** (-1 / fit["shape"])) == pytest.approx(0.1, rel=1e-2)
+    theta, errors = np.concatenate((fit["beta"], [fit["sigma"], fit["shape"]])), []
+    for p in (2.0, 10.0, 50.0):  # the level's slopes by solving again for moved parameters
+
+        def again(moved):
+            return tails.process_level(fit | {"beta": moved[:-2], "sigma": moved[-2], "shape": moved[-1], "covariance": None}, p)[0]
+
+        slopes = np.array([(again(theta + s) - again(theta - s)) / (2 * s.max()) for s in np.diag(1e-4 * np.maximum(np.abs(theta), 1e-2))])
+        errors.append(np.sqrt(slopes @ fit["covariance"] @ slopes))
+    assert [e for _, e in found] == pytest.approx(errors, rel=1e-2)
+
+
+def test_level_errors_are_those_of_repeated_samples():
+    """Of peaks drawn again and again from one process, levels scatter as the delta method says."""
+    rng, levels, errors = np.random.default_rng(42), [], []
+    t = np.arange(480) / 12
+    for _ in range(60):
+        n = rng.poisson(80)
+        when, size = np.sort(rng.choice(480, n, replace=False)), rng.exponential(2.0, n)
+        v = np.full(480, 9.0)
+        v[when] = 10 + size
+        fit = tails.process_fit(t, v, t[when], v[when], np.array([10.0, 0, 0, 0]))
+        level, error = tails.process_level(fit, 20.0)
+        levels.append(level)
+        errors.append(np.nan if error is None else error)
+    assert np.isfinite(errors).mean() > 0.8
+    assert np.median(levels) == pytest.approx(10 + 2 * np.log(40), rel=0.1)
+    spread = np.subtract(*np.quantile(levels, [0.84, 0.16])) / 2
+    assert 0.5 < np.nanmedian(errors) / spread < 2
+
+
+def test_frozen_runs_hold_location_and_threshold():
+    t = np.arange(36) / 12
+    moved = tails.held(t, [(3 / 12, 6 / 12), (30 / 12, 31 / 12)])
+    assert np.allclose(moved[[2, 3, 4, 5, 6, 30, 31]] * 12, [2, 3, 3, 3, 6, 30, 31])
+    values, _ = seasonal()
+    t = np.arange(len(values)) / 12
+    u = tails.quantile_line(t, values, 0.9)
+    over = np.flatnonzero(values > tails.design(t) @ u)
+    plain = tails.process_fit(t, values, t[over], values[over], u)
+    still = tails.process_fit(t, values, t[over], values[over], u, runs=[(k + 0.0, k + 4 / 12) for k in range(int(t.max()))])
+    assert plain["loss"] != pytest.approx(still["loss"], rel=1e-6)
+
+
+def test_harmonics_are_those_of_the_series():
+    rng, t = np.random.default_rng(42), np.arange(360) / 12
+    for count in (1, 2, 3):
+        v = sum(np.sin(2 * np.pi * h * t) for h in range(1, count + 1)) + rng.normal(0, 0.1, 360)
+        found, error = tails.choose_harmonics(t, v, "bic")
+        assert found == count and error < 0.3
+    with pytest.raises(ValueError):
+        tails.choose_harmonics(t[:4], t[:4])
+
+
+def test_stable_thresholds_of_a_pareto_tail():
+    rng = np.random.default_rng(42)
+    v = 2.0 / 0.2 * (rng.uniform(size=20000) ** -0.2 - 1)  # shape 0.2, scale 2
+    rows = tails.threshold_stability(v)
+    assert len(rows) == 25 and all(abs(r["shape"] - 0.2) < 0.15 and abs(r["modified_scale"] - 2) < 1.2 for r in rows)
+    few = tails.threshold_stability(np.arange(40.0))
+    assert few[-1]["n_exceedances"] < 8 and few[-1]["mean_excess"] is None and few[0]["mean_excess"] is not None
 
 
 def test_seasonal_decomposition_adds_up():
@@ -138,6 +199,24 @@ def test_one_poor_combination_leaves_the_others(spark):
     assert {r.tail for r in found} == {"high", "low"} and any(r.message is None and r.converged for r in found if r.tail == "high")
 
 
+def test_processes_with_frozen_months_and_chosen_harmonics(spark):
+    values, months = seasonal()
+    rows = spark.createDataFrame([(1, int(k // 12), int(m), int(k), float(v)) for k, (v, m) in enumerate(zip(values, months))], "entity long, year int, month int, month_ordinal int, value double")
+    frozen = spark.createDataFrame([(e, k) for e in (1, 2) for y in range(5) for k in (12 * y + 11, 12 * y + 12)], "entity long, month_ordinal int")
+    out = fits.exceedance_processes(rows, (0.9,), frozen=frozen, harmonics="aic").cache()
+    found = out.collect()
+    assert {(r.entity, r.tail, r.n_frozen_months) for r in found} == {(1, "high", 10), (1, "low", 10)}
+    for r in found:
+        assert r.message is None and len(r.betas) == 2 + 2 * r.harmonics and r.n_extremes == len(r.peaks)
+        assert all(a is None or a <= x <= b for a, x, b in zip(r.levels_low, r.levels, r.levels_high))
+    peaks = fits.process_peaks(out).where("tail = 'high'").collect()
+    assert all(p.value > p.threshold and p.value == values[p.month_ordinal] for p in peaks)
+    residuals = fits.process_residuals(out).collect()
+    assert len(residuals) == sum(r.n_extremes for r in found if r.converged)
+    assert all(r.residual > 0 and abs(r.model_probability - (1 - np.exp(-r.residual))) < 1e-12 for r in residuals)
+    out.unpersist()
+
+
 def test_decay_index_of_a_long_series(spark):
     rows = spark.range(2000).select(F.lit(1).alias("entity"), F.col("id").alias("month_ordinal"), (F.col("id") % 3 == 0).cast("double").alias("phi"))
     got = [r.decay_index for r in S.decay_index(rows).orderBy("month_ordinal").collect()]
