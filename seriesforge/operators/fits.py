@@ -281,14 +281,31 @@ def significant_transitions(rates: DataFrame, q: float = 0.95) -> DataFrame:
     return share.join(level, ["entity", "target"]).withColumn("significant", (F.round("score", 9) >= F.col("level")) & (F.col("score") > 0)).select("entity", "month_ordinal", "target", "score", "level", "significant")
 
 
-def short_memory(models: DataFrame, least: float = 0.2, memory: float = 0.25) -> DataFrame:
-    """Entities with cross-excitation of which most is spent within a quarter of a year, by direction."""
-
-    def way(name: str, a: str) -> DataFrame:
-        mass = F.col(f"alpha_{a}") * (1 - F.exp(-memory * F.col(f"beta_{a}")))
-        return models.select("entity", F.lit(name).alias("direction"), mass.alias("mass")).where(F.col("mass") >= least)
-
-    return way("dry_to_wet", "wd").unionByName(way("wet_to_dry", "dw"))
+def short_memory(models: DataFrame, p_value: float = 0.05, least_alpha: float = 1e-3, least_events: int = 12, memory: float = 0.25, least: float = 0.5) -> DataFrame:
+    """Fits with a significant cross-excitation of which at least half is spent within a quarter of a year, one row for each direction."""
+    fine = models.where(F.col("converged") & F.col("error").isNull() & (F.col("n_events") >= least_events))
+    ways = [F.struct(F.lit(name).alias("direction"), F.col(f"p_{name}").alias("p"), F.col(f"alpha_{a}").alias("alpha"), (1 - F.exp(-memory * F.col(f"beta_{a}"))).alias("mass")) for name, a in (("dry_to_wet", "wd"), ("wet_to_dry", "dw"))]
+    rows = fine.select("entity", F.explode(F.array(*ways)).alias("w")).select("entity", "w.*")
+    return rows.where((F.col("p") < p_value) & (F.col("alpha") >= least_alpha) & (F.col("mass") >= least))
+
+
+def spectral_radius(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Of the matrix [[a, b], [c, d]] without negative entries."""
+    half = (a - d) / 2
+    return (a + d) / 2 + F.sqrt(half * half + b * c)
+
+
+def overall_quality(models: DataFrame) -> DataFrame:
+    """One row over all fits: how many converged or failed, and of the good ones events, likelihood an event and how many are stable."""
+    failed, fine = F.col("error").isNotNull(), F.coalesce("converged", F.lit(False))
+    good = lambda c: F.when(fine & ~failed, c)
+    n, count = F.count("*"), lambda c: F.sum(c.cast("long"))
+    quartiles = F.percentile(good(F.col("n_events")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    each = good(F.col("log_likelihood") / F.nullif("n_events", F.lit(0)))
+    out = models.agg(n.alias("n_rows"), count(fine).alias("n_converged"), count(failed).alias("n_failed"), quartiles.alias("q"), F.percentile(each, F.lit(0.5)).alias("median_likelihood_per_event"), F.percentile(good(F.col("spectral_radius")), F.lit(0.5)).alias("median_spectral_radius"), F.avg(good((F.col("spectral_radius") < 1).cast("double"))).alias("stable_ratio"))
+    share = lambda c: F.col(c) / F.nullif("n_rows", F.lit(0))
+    events = [F.col("q")[k].alias(f"{name}_events") for k, name in enumerate(("q1", "median", "q3"))]
+    return out.select("n_rows", "n_converged", "n_failed", share("n_converged").alias("convergence_rate"), share("n_failed").alias("failure_rate"), *events, "median_likelihood_per_event", "median_spectral_radius", "stable_ratio")
 
 
 def shift_labels(rows: DataFrame, frozen: DataFrame | None = None) -> DataFrame:

@@ -50,10 +50,10 @@ def rates(fits: DataFrame, info: DataFrame, size: float = 0.5) -> DataFrame:
     return with_edges(joined.agg(F.count("*").alias("n"), F.avg(F.col("converged").cast("double")).alias("convergence_rate")), size)
 
 
-def medians(fits: DataFrame, info: DataFrame, columns: list[str], keys: list[str] | None = None, size: float = 0.5) -> DataFrame:
-    """Medians of a cell's converged fits."""
+def medians(fits: DataFrame, info: DataFrame, columns: list[str], keys: list[str] | None = None, size: float = 0.5, means: tuple[str, ...] = ()) -> DataFrame:
+    """Medians, and means of some columns, of a cell's converged fits."""
     joined = fits.where("converged").join(with_cell(info, size), "entity").groupBy(*CELL, *(keys or []))
-    return with_edges(joined.agg(F.count("*").alias("n"), *[F.median(c).alias(f"median_{c}") for c in columns]), size)
+    return with_edges(joined.agg(F.count("*").alias("n"), *[F.median(c).alias(f"median_{c}") for c in columns], *[F.avg(c).alias(f"mean_{c}") for c in means]), size)
 
 
 def frequencies(fits: DataFrame, info: DataFrame, size: float = 0.5) -> DataFrame:
@@ -122,6 +122,27 @@ def merge_grids(grids: list[DataFrame], names: list[str], measure: str = "event_
     return out.select("cell_lat", "cell_lon", *names, F.coalesce("entity_count", F.lit(0)).alias("entity_count"))
 
 
+def side_by_side(grids: list[tuple[DataFrame, dict[str, str]]], count: str = "entity_count") -> DataFrame:
+    """Columns of several grids, each {column: name in the result}, cell by cell in one aggregate; 0 where a grid lacks the cell."""
+    names = [n for _, columns in grids for n in columns.values()]
+    rows = []
+    for grid, columns in grids:
+        own = {n: F.col(c).cast("double") for c, n in columns.items()}
+        rows.append(grid.select("cell_lat", "cell_lon", F.col(count).alias("entity_count"), *[own.get(n, F.lit(None).cast("double")).alias(n) for n in names]))
+    whole = [F.round(F.col(c) * 1_000_000).cast("long").alias(f"_{c}") for c in ("cell_lat", "cell_lon")]
+    out = reduce(lambda a, b: a.unionByName(b), rows).groupBy(*whole)
+    sums = out.agg(F.min("cell_lat").alias("cell_lat"), F.min("cell_lon").alias("cell_lon"), F.max("entity_count").alias("entity_count"), *[F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in names])
+    return sums.select("cell_lat", "cell_lon", "entity_count", *names)
+
+
+def zonal_profile(cells: DataFrame, values: list[str], least: int = 1, band: int = 5, weight: str = "entity_count") -> DataFrame:
+    """Weighted means of several columns over bands of latitude, of cells with enough entities."""
+    zone = (F.floor(F.col("cell_lat") / band) * band).cast("int").alias("band")
+    known = lambda v: F.when(F.col(v).isNotNull(), F.col(weight))
+    means = [ratio(F.sum(F.col(weight) * F.col(v)), F.sum(known(v)).cast("double")).alias(v) for v in values]
+    return cells.where(F.col(weight) >= least).groupBy(zone).agg(*means, F.sum(weight).alias("weight"))
+
+
 def busy_cells(cells: DataFrame, least: int) -> DataFrame:
     """Cells with enough entities, and their events per entity."""
     return cells.where(F.col("entity_count") >= least).withColumn("mean_per_entity", F.col("event_count") / F.col("entity_count"))

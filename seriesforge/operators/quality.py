@@ -48,6 +48,23 @@ def volatility(rows: DataFrame, digits: int | None = None) -> DataFrame:
     return out.select("entity", "n_obs", "cv", F.when(F.col("cv").isNotNull(), F.col("entropy")).alias("entropy"), (F.col("entropy") * F.col("cv")).alias("h_cv"))
 
 
+def penalised_changes(rows: DataFrame, frozen: DataFrame) -> DataFrame:
+    """Relative changes between successive months that aren't frozen; their deviation counts less the more months repeat the one before."""
+    from .series import in_time, without_frozen
+
+    moving = without_frozen(rows, frozen)
+    before = F.lag("value").over(in_time())
+    steps = moving.withColumn("before", before).withColumn("place", F.row_number().over(in_time())).where("place > 1")
+    change = (F.col("value") - F.col("before")) / F.nullif("before", F.lit(0.0))
+    moves = steps.groupBy("entity").agg(F.coalesce(F.stddev_samp(change), F.lit(0.0)).alias("std_change"), F.sum(F.coalesce(F.col("value") == F.col("before"), F.lit(False)).cast("long")).alias("n_zero_delta"), F.count("*").alias("n_transitions"))
+    per_value = moving.groupBy("entity", "value").agg(F.count("*").alias("n"))
+    values = per_value.groupBy("entity").agg(F.sum("n").alias("n_obs"), F.count("*").alias("n_distinct"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), (F.max("n") / F.sum("n")).alias("dominant_ratio"))
+    held = rows.join(frozen, ["entity", "month_ordinal"], "left_semi").groupBy("entity").agg(F.count("*").alias("n_frozen"))
+    out = values.join(moves, "entity").join(held, "entity", "left")
+    penalised = F.when(F.col("n_zero_delta") > 0, F.col("std_change") / F.sqrt(F.col("n_zero_delta").cast("double"))).otherwise(F.col("std_change"))
+    return out.select("entity", "n_obs", "n_distinct", F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")).alias("cv"), "dominant_ratio", "std_change", "n_zero_delta", "n_transitions", penalised.alias("penalised_volatility"), F.coalesce("n_frozen", F.lit(0)).alias("n_frozen"))
+
+
 def classify(rows: DataFrame, info: DataFrame, shifted: DataFrame | None = None, frozen: DataFrame | None = None) -> DataFrame:
     """Every entity's flags: a bit for each filter that it fails, with what the filters looked at.
 

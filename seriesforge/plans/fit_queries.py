@@ -118,9 +118,35 @@ def significant_transitions(spark, d):
     return fits.significant_transitions(fits.monthly_excitation(_events(spark, d), _models(spark, d), A.series(spark, d)))
 
 
-@query(f"""with m as (select entity, {_PARTS} from info) select * from (select entity, 'dry_to_wet' as direction, alpha_wd * (1 - exp(-0.25::double * beta_wd)) as mass from m union all select entity, 'wet_to_dry', alpha_dw * (1 - exp(-0.25::double * beta_dw)) from m) where mass >= 0.2""", "mass")
+def _judged(spark, d):
+    """The stand-ins with what a fit says about itself."""
+    e = F.col("entity")
+    radius = fits.spectral_radius(F.col("alpha_dd"), F.col("alpha_dw"), F.col("alpha_wd"), F.col("alpha_ww")) * (1 + e % 3)
+    return _models(spark, d).withColumns({"converged": e % 5 != 0, "error": F.when(e % 13 == 0, F.lit("failed")), "n_events": e % 30, "log_likelihood": -(e % 11).cast("double"), "p_dry_to_wet": (e % 9).cast("double") / 100, "p_wet_to_dry": (e % 8).cast("double") / 100, "spectral_radius": radius})
+
+
+_JUDGED = f"""select *, entity % 5 <> 0 as converged, entity % 13 = 0 as failed, entity % 30 as n_events, -cast(entity % 11 as double) as log_likelihood, cast(entity % 9 as double) / 100 as p_d, cast(entity % 8 as double) / 100 as p_w,
+    ((alpha_dd + alpha_ww) / 2 + sqrt(pow((alpha_dd - alpha_ww) / 2, 2) + alpha_dw * alpha_wd)) * (1 + entity % 3) as radius from (select entity, {_PARTS} from info)"""
+
+
+@query(f"""with j as (select * from ({_JUDGED}) where converged and not failed and n_events >= 12)
+    select * from (select entity, 'dry_to_wet' as direction, p_d as p, alpha_wd as alpha, 1 - exp(-0.25::double * beta_wd) as mass from j union all select entity, 'wet_to_dry', p_w, alpha_dw, 1 - exp(-0.25::double * beta_dw) from j) where p < 0.05 and alpha >= 1e-3 and mass >= 0.5""", "p alpha mass")
 def short_memory_transitions(spark, d):
-    return fits.short_memory(_models(spark, d))
+    return fits.short_memory(_judged(spark, d))
+
+
+@query(f"""with j as ({_JUDGED}), g as (select * from j where converged and not failed)
+    select n_rows, n_converged, n_failed, n_converged / n_rows as convergence_rate, n_failed / n_rows as failure_rate, q1_events, median_events, q3_events, median_likelihood_per_event, median_spectral_radius, stable_ratio
+    from (select count(*) as n_rows, count(*) filter (converged) as n_converged, count(*) filter (failed) as n_failed from j),
+      (select quantile_cont(n_events, 0.25) as q1_events, quantile_cont(n_events, 0.5) as median_events, quantile_cont(n_events, 0.75) as q3_events, quantile_cont(log_likelihood / nullif(n_events, 0), 0.5) as median_likelihood_per_event, quantile_cont(radius, 0.5) as median_spectral_radius, avg(case when radius < 1 then 1.0 else 0.0 end) as stable_ratio from g)""", "convergence_rate failure_rate q1_events median_events q3_events median_likelihood_per_event median_spectral_radius stable_ratio")
+def overall_fit_quality(spark, d):
+    return fits.overall_quality(_judged(spark, d))
+
+
+@query()
+def fitted_months(spark, d):
+    events = _events(spark, d)
+    return fits.monthly_excitation(events, fits.excitation(events, _span(spark, d)).where("error is null"), A.series(spark, d))
 
 
 @query()

@@ -67,13 +67,33 @@ def grid_convergence(spark, d):
     return G.rates(_fits(spark, d), A.info(spark, d))
 
 
-_MEDIANS = ", ".join(f"median({c}) as median_{c}" for c in ("xi", "sigma", "threshold", "n_extremes", "n_observations"))
-_MEDIAN_NAMES = "median_xi median_sigma median_threshold median_n_extremes median_n_observations"
+_MEASURES = ("xi", "sigma", "threshold", "n_extremes", "n_observations", "frequency")
+_MEDIANS = ", ".join([f"median({c}) as median_{c}" for c in _MEASURES] + [f"avg({c}) as mean_{c}" for c in _MEASURES[3:]])
+_MEDIAN_NAMES = " ".join([f"median_{c}" for c in _MEASURES] + [f"mean_{c}" for c in _MEASURES[3:]])
+_WIDE_EDGES = "cell_y * 30.0::double as cell_lat, cell_x * 30.0::double as cell_lon"
 
 
-@query(f"select cell_y * 30.0::double as cell_lat, cell_x * 30.0::double as cell_lon, tail, count(*) as n, {_MEDIANS} from fits join wide_cells using (entity) where converged group by cell_y, cell_x, tail", _MEDIAN_NAMES)
+def _tails(spark, d):
+    return _fits(spark, d).withColumn("frequency", F.col("n_extremes") / F.col("n_observations"))
+
+
+@query(f"select {_WIDE_EDGES}, tail, threshold_quantile, count(*) as n, {_MEDIANS} from (select *, n_extremes / n_observations as frequency from fits) join wide_cells using (entity) where converged group by cell_y, cell_x, tail, threshold_quantile", f"threshold_quantile {_MEDIAN_NAMES}")
 def grid_converged(spark, d):
-    return G.medians(_fits(spark, d), A.info(spark, d), ["xi", "sigma", "threshold", "n_extremes", "n_observations"], ["tail"], 30.0)
+    return G.medians(_tails(spark, d), A.info(spark, d), list(_MEASURES), ["tail", "threshold_quantile"], 30.0, _MEASURES[3:])
+
+
+_TAIL = "select {0}, count(*) as entity_count, avg(n_extremes / n_observations) as f from fits join wide_cells using (entity) where converged and tail = '{1}' and threshold_quantile = 0.95 group by cell_y, cell_x"
+
+
+@query(f"""with a as (select {_WIDE_EDGES}, count(*) as entity_count, {_STATS} from (select entity, {_SIDES} from labelled group by 1) join wide_cells using (entity) group by cell_y, cell_x),
+    h as ({_TAIL.format(_WIDE_EDGES, "high")}), l as ({_TAIL.format(_WIDE_EDGES, "low")})
+    select cell_lat, cell_lon, greatest(coalesce(a.entity_count, 0), coalesce(h.entity_count, 0), coalesce(l.entity_count, 0)) as entity_count, coalesce(mean_high, 0) as left_high, coalesce(mean_low, 0) as left_low, coalesce(h.f, 0) as right_high, coalesce(l.f, 0) as right_low
+    from a full join h using (cell_lat, cell_lon) full join l using (cell_lat, cell_lon)""", "left_high left_low right_high right_low")
+def grids_of_two_methods(spark, d):
+    info, fits = A.info(spark, d), _tails(spark, d).where("threshold_quantile = 0.95")
+    left = G.per_entity_stats(labelled(spark, d), info, _sides(), size=30.0)
+    side = lambda tail: G.medians(fits.where(F.col("tail") == tail), info, [], size=30.0, means=("frequency",)).withColumnRenamed("n", "entity_count")
+    return G.side_by_side([(left, {"mean_high": "left_high", "mean_low": "left_low"}), (side("high"), {"mean_frequency": "right_high"}), (side("low"), {"mean_frequency": "right_low"})])
 
 
 @query("""select cell_y * 30.0::double as cell_lat, cell_x * 30.0::double as cell_lon, month, count(*) as n, median(threshold_high) as median_threshold_high, median(threshold_low) as median_threshold_low
@@ -121,6 +141,12 @@ def zonal_mean(spark, d):
     return G.zonal_mean(G.counts(S.extremes(labelled(spark, d)), A.info(spark, d)), "event_count")
 
 
+@query(f"""select cast(floor(cell_lat / 5) * 5 as int) as band, sum(entity_count * mean_high) / sum(entity_count) as mean_high, sum(entity_count * mean_low) / sum(entity_count) as mean_low, cast(sum(entity_count) as bigint) as weight
+    from (select {_EDGES}, count(*) as entity_count, {_STATS} from (select entity, {_SIDES} from labelled group by 1) join cells using (entity) group by cell_y, cell_x) where entity_count >= 1 group by 1""", "mean_high mean_low")
+def zonal_profile(spark, d):
+    return G.zonal_profile(G.per_entity_stats(labelled(spark, d), A.info(spark, d), _sides()), ["mean_high", "mean_low"])
+
+
 @query(f"""select r as row, c as "column", event_count from (select unnest(range(6)) as r) cross join (select unnest(range(12)) as c) left join ({_CLIPPED}) g on g.row = r and g."column" = c""")
 def grid_dense(spark, d):
     return G.dense(G.clipped_counts(S.extremes(labelled(spark, d)), A.info(spark, d), 30.0), "event_count", 6, 12)

@@ -237,6 +237,18 @@ def penalised_volatility(spark, d):
 
 
 _MOVING = "(select * from series anti join frozen using (entity, month_ordinal))"
+
+
+@query(f"""with m as (select entity, month_ordinal, round(value, -5) as value from {_MOVING}), o as (select *, lag(value) over w as before, row_number() over w as rn from m window w as (partition by entity order by month_ordinal)),
+    c as (select entity, coalesce(stddev_samp((value - before) / nullif(before, 0)), 0) as std_change, cast(sum(case when value = before then 1 else 0 end) as bigint) as n_zero_delta, count(*) as n_transitions from o where rn > 1 group by 1),
+    v as (select entity, cast(sum(n) as bigint) as n_obs, count(*) as n_distinct, avg(value) as mean, stddev_samp(value) as sd, max(n) / sum(n) as dominant_ratio from (select entity, value, count(*) as n from m group by 1, 2) group by 1)
+    select entity, n_obs, n_distinct, case when mean > 0 then sd / mean end as cv, dominant_ratio, std_change, n_zero_delta, n_transitions, case when n_zero_delta > 0 then std_change / sqrt(n_zero_delta) else std_change end as penalised_volatility, coalesce(n_frozen, 0) as n_frozen
+    from v join c using (entity) left join (select entity, count(*) as n_frozen from frozen group by 1) f using (entity)""", "cv dominant_ratio std_change penalised_volatility")
+def penalised_changes(spark, d):
+    rows = A.series(spark, d)
+    return quality.penalised_changes(rows.withColumn("value", F.round("value", -5)), A.frozen(rows))
+
+
 _CLASSIFIED = f"""select l.entity, mean as mean_area, median as median_area, coalesce(area, 0) as atlas_area, cast(case when q = 0 then 1 else 0 end + case when dr >= 0.8 then 2 else 0 end
       + case when not coalesce(area > 0, false) or median / area < 0.1 or median / area > 10 then 4 else 0 end + case when area > 0 and (area < 0.5 * r.least or area > 1.5 * r.largest) then 8 else 0 end + case when h_cv <= 0.001 then 16 else 0 end as int) as flags
     from ({_LEVELS}) l left join (select entity, max(n) / sum(n) as dr from (select entity, value, count(*) as n from {_MOVING} group by 1, 2) group by entity) using (entity)
