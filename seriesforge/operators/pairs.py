@@ -97,9 +97,9 @@ def pair_events(pairs: DataFrame, rows: DataFrame, limit: float = 3.0) -> DataFr
 
 
 def event_share(rows: DataFrame, limit: float = 3.0) -> DataFrame:
-    """Outlying months of each entity and their share of all its months."""
+    """Months more than ``limit`` sample standard deviations from each entity's mean, and their share of all its months."""
     n = rows.groupBy("entity").agg(F.count("*").alias("n_obs"))
-    events = zscore_events(rows, limit).groupBy("entity").agg(F.count("*").alias("n_events"))
+    events = zscore_events(rows, limit, F.stddev_samp).groupBy("entity").agg(F.count("*").alias("n_events"))
     out = n.join(events, "entity", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
     return out.select("entity", "n_events", "n_obs", (F.col("n_events") / F.col("n_obs")).alias("anomaly_ratio"))
 

@@ -6,6 +6,8 @@ window over one entity's rows or a join on its keys, so one shuffle by entity se
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -143,9 +145,9 @@ def abrupt_transitions(labelled: DataFrame) -> DataFrame:
     )
 
 
-def zscore_events(rows: DataFrame, limit: float = 3.0) -> DataFrame:
-    """Months more than ``limit`` population standard deviations from the entity's mean."""
-    z = ratio(F.col("value") - F.avg("value").over(by_entity()), F.stddev_pop("value").over(by_entity()))
+def zscore_events(rows: DataFrame, limit: float = 3.0, spread: Callable[[str], Column] = F.stddev_pop) -> DataFrame:
+    """Months more than ``limit`` standard deviations, of the population unless told otherwise, from the entity's mean."""
+    z = ratio(F.col("value") - F.avg("value").over(by_entity()), spread("value").over(by_entity()))
     return rows.withColumn("z", z).where(F.abs("z") > limit).withColumn("z", F.round("z", 3)).withColumn("event_type", F.when(F.col("z") > 0, "high").otherwise("low"))
 
 

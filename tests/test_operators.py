@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seriesforge.operators import entropy, ledger, quality
+from seriesforge.operators import entropy, ledger, pairs, quality
 from seriesforge.operators import series as S
 from seriesforge.sources.catalog import Catalog, read_csv
 
@@ -73,6 +73,13 @@ def test_even_entropy_of_one_month(spark):
     assert rows.ae == 0.0
 
 
+def test_event_share_uses_the_sample_deviation(spark):
+    """One outlier of 11 values is at 3.16 population deviations, and at 3.02 of the sample; of 10 at 3.0 and 2.85."""
+    rows = frame(spark, [0.0] * 10 + [1.0]).unionByName(frame(spark, [0.0] * 9 + [1.0], 2)).unionByName(frame(spark, [-1.0, 1.0] * 5 + [4.0], 3))
+    assert {r.entity: r.n_events for r in pairs.event_share(rows, 3.1).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {r.entity: r.n_events for r in pairs.event_share(rows).collect()} == {1: 1, 2: 0, 3: 0}
+
+
 def test_catalog(spark, tmp_path):
     frame(spark, [1.0, 2.0]).write.parquet(f"{tmp_path}/areas")
     catalog = Catalog(spark, str(tmp_path), {"series_view": "areas"})
