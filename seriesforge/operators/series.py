@@ -96,8 +96,12 @@ def enough_months(rows: DataFrame, per_month: int = 20, total: int = 240) -> Dat
 
 
 def climatology_anomaly(rows: DataFrame) -> DataFrame:
-    """Adds the month's mean over all years and the anomaly from it."""
-    mean = F.avg("value").over(by_month())
+    """Adds the month's mean over all years and the anomaly from it.
+
+    Values are added up in their own order: the same rows give the same mean in every plan, to the last bit, so that
+    thresholds taken from anomalies in one branch of a query hold for those of another.
+    """
+    mean = F.avg("value").over(by_month().orderBy("value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return rows.withColumn("climatology", mean).withColumn("index_value", F.round(F.col("value") - F.col("climatology"), 9))
 
 

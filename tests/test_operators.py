@@ -20,6 +20,13 @@ def test_ramp_thresholds(spark):
     assert [tuple(x) for x in r] == [(-20.0, 20.0)]
 
 
+def test_anomalies_do_not_depend_on_the_order_of_rows(spark):
+    values = [float(x) for x in (1e9, 0.1, -1e9, 0.3, 7e8, 0.7, -7e8, 1.1)]
+    rows = [(e, 2000 + y, 1, (2000 + y) * 12, v) for e in range(8) for y, v in enumerate(values[e:] + values[:e])]
+    df = spark.createDataFrame(rows, "entity long, year int, month int, month_ordinal int, value double").coalesce(1)
+    assert len({r.climatology for r in S.climatology_anomaly(df).collect()}) == 1
+
+
 def test_frozen_runs(spark):
     frozen = spark.createDataFrame([(1, m) for m in (5, 6, 7, 9)] + [(2, 1)], "entity long, month_ordinal int")
     assert sorted(tuple(r) for r in S.frozen_runs(frozen).collect()) == [(1, 5, 7, 3), (1, 9, 9, 1), (2, 1, 1, 1)]
