@@ -78,6 +78,49 @@ def minimise(fun: Callable[[np.ndarray], float], start: np.ndarray, rounds: int
     return x, float(value), bool(np.isfinite(value) and np.abs(g).max() < 1e-3 * max(1, abs(value)))
 
 
+def minimise_many(fun: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], starts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same steps for many functions at once: (points, values, whether each gradient got small).
+
+    fun takes points, a row each, and which functions they are for, and gives values and gradients.
+    """
+    m, n = starts.shape
+    x, every = np.array(starts, dtype=float), np.arange(m)
+    value, g = fun(x, every)
+    inverse = np.tile(np.eye(n), (m, 1, 1))
+    going = every
+    for _ in range(rounds):
+        going = going[np.isfinite(value[going]) & ~(np.abs(g[going]).max(1) < 1e-5 * np.maximum(1, np.abs(value[going])))]
+        if not len(going):
+            break
+        step = -(inverse[going] @ g[going][..., None])[..., 0]
+        slope = (step * g[going]).sum(1)
+        if (up := ~(slope < 0)).any():
+            inverse[going[up]], step[up] = np.eye(n), -g[going[up]]
+            slope[up] = (step[up] * g[going[up]]).sum(1)
+        t, left = np.ones(len(going)), np.arange(len(going))
+        new_value, new_g = np.full(len(going), np.nan), np.empty((len(going), n))
+        while len(left):
+            got, slopes = fun(x[going[left]] + t[left, None] * step[left], going[left])
+            fine = got <= value[going[left]] + 1e-4 * t[left] * slope[left]
+            new_value[left[fine]], new_g[left[fine]] = got[fine], slopes[fine]
+            left = left[~fine]
+            t[left] /= 2
+            left = left[t[left] > 1e-10]
+        moved = np.isfinite(new_value)
+        going, step = going[moved], t[moved, None] * step[moved]
+        change = new_g[moved] - g[going]
+        x[going] += step
+        value[going], g[going] = new_value[moved], new_g[moved]
+        scale = (step * change).sum(1)
+        if (curved := scale > 1e-12).any():
+            at, s, c, k = going[curved], step[curved], change[curved], scale[curved][:, None]
+            old = inverse[at]
+            h = (old @ c[..., None])[..., 0]
+            both = s[:, :, None] * h[:, None]
+            inverse[at] = old - (both + both.transpose(0, 2, 1)) / k[..., None] + (1 + (c * h).sum(1)[:, None, None] / k[..., None]) * (s[:, :, None] * s[:, None]) / k[..., None]
+    return x, value, np.isfinite(value) & (np.abs(g).max(1) < 1e-3 * np.maximum(1, np.abs(value)))
+
+
 def simplex(fun: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Nelder and Mead's search, for where gradients fail."""
     points = [np.asarray(start, dtype=float)] + [start + (0.1 * max(1, abs(start[k]))) * e for k, e in enumerate(np.eye(len(start)))]

@@ -1,4 +1,4 @@
-"""Numerical fits of one entity's series each, as grouped maps; a fit that fails is a row that says why.
+"""Numerical fits of one entity's series each; a fit that fails is a row that says why.
 
 A series has a row a month, so a group is small whatever the table's size; the frames are
 shuffled once by entity.
@@ -6,18 +6,24 @@ shuffled once by entity.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.exprs import return_level
 from ..numerics import hawkes, shift, stl, tails
 from .series import by_entity
 
 MESSAGE = 500
+#: Rows of the entities that are fitted together.
+TOGETHER = 20_000
 
 
 def per_entity(rows: DataFrame, compute: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -36,6 +42,42 @@ def per_entity(rows: DataFrame, compute: Callable[[pd.DataFrame], pd.DataFrame],
     return rows.groupBy("entity").applyInPandas(run, f"entity long, {schema}, error string")
 
 
+def per_entities(rows: DataFrame, compute: Callable[[list[dict]], list], schema: str) -> DataFrame:
+    """compute for many entities at once: it takes each one's columns as arrays in time order, and gives its rows or its error.
+
+    A task holds the rows of whole entities, of about ``TOGETHER`` rows together or of one entity.
+    """
+    spark = rows.sparkSession
+    names, out = rows.columns, StructType.fromDDL(f"entity long, {schema}, error string")
+    arrow, blank = to_arrow_schema(out), dict.fromkeys(out.names[1:])
+    real = lambda x: None if isinstance(x, float) and math.isnan(x) else x
+
+    def fitted(ids: list, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        held = pa.Table.from_batches(parts)
+        columns = {c: held.column(c).to_numpy() for c in names if c != "entity"}
+        starts = [k for k, e in enumerate(ids) if not k or e != ids[k - 1]]
+        found = compute([{c: v[x:y] for c, v in columns.items()} for x, y in zip(starts, [*starts[1:], len(ids)])])
+        each = zip((ids[k] for k in starts), ([blank | {"error": str(r)[:MESSAGE]}] if isinstance(r, Exception) else r for r in found))
+        return pa.RecordBatch.from_pylist([{"entity": e, **{c: real(x) for c, x in r.items()}} for e, rs in each for r in rs], arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts = [], []
+        for batch in batches:
+            mine = batch.column("entity").to_pylist()
+            if len(ids) >= TOGETHER:  # what is held goes with the rest of its last entity
+                end = next((k for k, e in enumerate(mine) if e != ids[-1]), None)
+                if end is not None:
+                    yield fitted(ids + mine[:end], [*parts, batch.slice(0, end)])
+                    ids, parts, mine, batch = [], [], mine[end:], batch.slice(end)
+            ids += mine
+            parts.append(batch)
+        if ids:
+            yield fitted(ids, parts)
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "entity").sortWithinPartitions("entity", "month_ordinal").mapInArrow(run, out)
+
+
 def stl_index(rows: DataFrame) -> DataFrame:
     """Seasonal, trend and residual of the logarithms, and the residual's percentile within its calendar month."""
 
@@ -245,20 +287,23 @@ def excitation(events: DataFrame, months: DataFrame) -> DataFrame:
     events: entity, month_ordinal, event_kind (0, 1); months: entity, first, last.
     """
 
-    def compute(frame: pd.DataFrame) -> pd.DataFrame:
-        t = frame["month_ordinal"].to_numpy() / 12
-        kind = frame["event_kind"].to_numpy()
-        if len(t) < 4 or len(set(kind)) < 2:
-            raise ValueError("fewer than four events, or of one kind only")
-        start, end = frame["first"].iloc[0] / 12, (frame["last"].iloc[0] + 1) / 12
-        full = hawkes.fit(t, kind, start, end)
-        tests = {name: hawkes.likelihood_ratio(full, hawkes.fit(t, kind, start, end, closed)) for name, closed in (("dry_to_wet", (1, 0)), ("wet_to_dry", (0, 1)))}
+    def fitted(full: dict, *less: dict) -> dict:
+        tests = [hawkes.likelihood_ratio(full, one) for one in less]
         flat = {f"{name}_{a}{b}": m[i, j] for name, m in (("alpha", full["alpha"]), ("beta", full["beta"])) for i, a in enumerate("dw") for j, b in enumerate("dw")}
-        return pd.DataFrame([{"mu_d": full["mu"][0], "mu_w": full["mu"][1], **flat, "spectral_radius": full["radius"], "log_likelihood": -full["loss"], "converged": full["converged"], "lr_dry_to_wet": tests["dry_to_wet"][0], "p_dry_to_wet": tests["dry_to_wet"][1], "lr_wet_to_dry": tests["wet_to_dry"][0], "p_wet_to_dry": tests["wet_to_dry"][1]}])
+        return {"mu_d": full["mu"][0], "mu_w": full["mu"][1], **flat, "spectral_radius": full["radius"], "log_likelihood": -full["loss"], "converged": full["converged"], "lr_dry_to_wet": tests[0][0], "p_dry_to_wet": tests[0][1], "lr_wet_to_dry": tests[1][0], "p_wet_to_dry": tests[1][1]}
+
+    def compute(entities: list[dict]) -> list:
+        out: list = [ValueError("fewer than four events, or of one kind only")] * len(entities)
+        known = [k for k, e in enumerate(entities) if len(e["event_kind"]) >= 4 and len(set(e["event_kind"])) == 2]
+        some = [entities[k] for k in known]
+        found = hawkes.fit_many([e["month_ordinal"] / 12 for e in some], [e["event_kind"] for e in some], [e["first"][0] / 12 for e in some], [(e["last"][0] + 1) / 12 for e in some])
+        for k, fits in zip(known, found):
+            out[k] = [fitted(*fits)] if np.isfinite(fits[0]["loss"]) else ValueError("no start has a likelihood")
+        return out
 
     names = ["mu_d", "mu_w", *[f"{m}_{a}{b}" for m in ("alpha", "beta") for a in "dw" for b in "dw"], "spectral_radius", "log_likelihood"]
     schema = ", ".join(f"{n} double" for n in names) + ", converged boolean, lr_dry_to_wet double, p_dry_to_wet double, lr_wet_to_dry double, p_wet_to_dry double"
-    return per_entity(events.join(months, "entity"), compute, schema)
+    return per_entities(events.join(months, "entity"), compute, schema)
 
 
 def monthly_excitation(events: DataFrame, models: DataFrame, months: DataFrame, window: int = 36) -> DataFrame:

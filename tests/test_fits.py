@@ -1,5 +1,7 @@
 """Numerical fits against known parameters and invariants, and the catalog's upkeep."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +193,47 @@ def test_a_closed_way_is_never_likelier():
     assert full["radius"] < 1.0 and full["loss"] <= hawkes.loss(np.array([1.0, 1.0]), np.zeros((2, 2)), np.ones((2, 2)), t, kind, 0.0, 20.0) + 1e-6
 
 
+def test_many_processes_are_searched_at_once():
+    """Losses and slopes equal the definition's, with events at one time and of other entities beside them; 300 entities take seconds."""
+    rng = np.random.default_rng(7)
+    times = [np.sort(rng.integers(0, 84, n)) / 12 for n in rng.integers(4, 40, 300)]
+    kinds = [np.concatenate(([0, 1], rng.integers(0, 2, len(t) - 2))) for t in times]
+    events, p, free = hawkes.Events(times[:5], kinds[:5], [0.0] * 5, [7.0] * 5), rng.normal(0, 1, (5, 10)), np.ones((2, 2, 5))
+    free[1, 0, 2] = 0.0
+    value, *slopes = events.loss(p, np.arange(5), free)
+    mu, alpha, beta = hawkes.unpack_many(p, free)
+    for k in range(5):
+        own = [mu[:, k], alpha[:, :, k], beta[:, :, k]]
+        assert hawkes.loss(*own, times[k], kinds[k], 0.0, 7.0) == pytest.approx(value[k])
+        for part, slope in zip(own, slopes):
+            for at in np.ndindex(part.shape):
+                ends = []
+                for h in (1e-6, -1e-6):
+                    part[at] += h
+                    ends.append(hawkes.loss(*own, times[k], kinds[k], 0.0, 7.0))
+                    part[at] -= h
+                assert slope[(*at, k)] == pytest.approx((ends[0] - ends[1]) / 2e-6, rel=1e-4, abs=1e-5)
+    start = time.process_time()
+    found = hawkes.fit_many(times, kinds, [0.0] * 300, [7.0] * 300)
+    assert time.process_time() - start < 15
+    assert len(found) == 300 and all(f["loss"] <= less["loss"] + 0.2 for f, *others in found for less in others if f["converged"] and less["converged"])
+    alone = hawkes.fit(times[8], kinds[8], 0.0, 7.0)
+    assert alone["loss"] == pytest.approx(found[8][0]["loss"], abs=1e-6)
+
+
+def test_entities_of_many_batches_are_fitted_whole(spark, monkeypatch):
+    monkeypatch.setattr(fits, "TOGETHER", 7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = spark.range(400).selectExpr("id % 37 as entity", "cast(id div 37 as int) as month_ordinal")
+        sizes = fits.per_entities(rows, lambda es: [[{"n": len(e["month_ordinal"]), "fine": bool((np.diff(e["month_ordinal"]) > 0).all())}] if len(e["month_ordinal"]) > 10 else ValueError("few") for e in es], "n long, fine boolean").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.entity, r.n, r.fine, r.error) for r in sizes if r.error is None) == [(k, 11, True, None) for k in range(30)]
+    assert {(r.entity, r.n, r.error) for r in sizes if r.error} == {(k, None, "few") for k in range(30, 37)}
+
+
 def test_one_poor_combination_leaves_the_others(spark):
     values, months = seasonal()
     values[values < np.quantile(values, 0.5)] = 90.0  # a flat low side has no clusters
