@@ -234,6 +234,19 @@ def test_entities_of_many_batches_are_fitted_whole(spark, monkeypatch):
     assert {(r.entity, r.n, r.error) for r in sizes if r.error} == {(k, None, "few") for k in range(30, 37)}
 
 
+def test_both_methods_of_many_entities_are_compared(spark):
+    """240 entities, two of them without events of both kinds, have a row with both results or errors within a minute."""
+    rng = np.random.default_rng(5)
+    rows = [(e, 2000 + k // 12, k % 12 + 1, 24000 + k, float(v)) for e in range(240) for k, v in enumerate(np.full(84, 3.0) if e < 2 else rng.gamma(2.0, 1.0, 84))]
+    df = spark.createDataFrame(rows, "entity long, year int, month int, month_ordinal int, value double").repartition(1).cache()
+    events = S.extremes(S.label(S.thresholds(S.climatology_anomaly(df)))).select("entity", "month_ordinal", (F.col("event_type") == "high").cast("int").alias("event_kind"))
+    start = time.monotonic()
+    found = calculators.compared(calculators.processes(df, events), calculators.processes(df, calculators.tail_process_events(df, 0.9)), ("pooled", "tail"), "spectral_radius").collect()
+    assert time.monotonic() - start < 60
+    assert len(found) == 240 and sum(r.difference is not None for r in found) > 200
+    assert all((r.pooled_error is None) == (r.pooled_spectral_radius is not None) and (r.tail_error is None) == (r.tail_spectral_radius is not None) for r in found)
+
+
 def test_one_poor_combination_leaves_the_others(spark):
     values, months = seasonal()
     values[values < np.quantile(values, 0.5)] = 90.0  # a flat low side has no clusters
