@@ -48,113 +48,81 @@ def f_tail(f: float, n: float, m: float) -> float:
     return incomplete_beta(m / 2, n / 2, m / (m + n * f)) if f > 0 else 1.0
 
 
-def gradient(fun: Callable[[np.ndarray], float], x: np.ndarray) -> np.ndarray:
-    h = 1e-6 * np.maximum(1, np.abs(x))
-    return np.array([(fun(x + e) - fun(x - e)) / (2 * e.max()) for e in np.diag(h)])
-
-
-def minimise(fun: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, bool]:
-    """(point, value, whether the gradient got small) by quasi-Newton steps with backtracking."""
-    x, value = np.asarray(start, dtype=float), fun(np.asarray(start, dtype=float))
-    g, inverse = gradient(fun, x), np.eye(len(x))
-    for _ in range(rounds):
-        if not np.isfinite(value) or np.abs(g).max() < 1e-5 * max(1, abs(value)):
-            break
-        step = -inverse @ g
-        if step @ g >= 0:
-            inverse, step = np.eye(len(x)), -g
-        t = 1.0
-        while t > 1e-10 and not (new := fun(x + t * step)) <= value + 1e-4 * t * (step @ g):
-            t /= 2
-        if t <= 1e-10:
-            break
-        moved, old = t * step, g
-        x, value = x + moved, new
-        g = gradient(fun, x)
-        change = g - old
-        if (scale := moved @ change) > 1e-12:
-            left = np.eye(len(x)) - np.outer(moved, change) / scale
-            inverse = left @ inverse @ left.T + np.outer(moved, moved) / scale
-    return x, float(value), bool(np.isfinite(value) and np.abs(g).max() < 1e-3 * max(1, abs(value)))
-
-
 def minimise_many(fun: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], starts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same steps for many functions at once: (points, values, whether each gradient got small).
+    """(points, values, whether each gradient got small) of many functions at once, by quasi-Newton steps with backtracking.
 
     fun takes points, a row each, and which functions they are for, and gives values and gradients.
     """
     m, n = starts.shape
-    x, every = np.array(starts, dtype=float), np.arange(m)
-    value, g = fun(x, every)
-    inverse = np.tile(np.eye(n), (m, 1, 1))
-    going = every
-    for _ in range(rounds):
-        going = going[np.isfinite(value[going]) & ~(np.abs(g[going]).max(1) < 1e-5 * np.maximum(1, np.abs(value[going])))]
-        if not len(going):
-            break
-        step = -(inverse[going] @ g[going][..., None])[..., 0]
-        slope = (step * g[going]).sum(1)
-        if (up := ~(slope < 0)).any():
-            inverse[going[up]], step[up] = np.eye(n), -g[going[up]]
-            slope[up] = (step[up] * g[going[up]]).sum(1)
-        t, left = np.ones(len(going)), np.arange(len(going))
-        new_value, new_g = np.full(len(going), np.nan), np.empty((len(going), n))
-        while len(left):
-            got, slopes = fun(x[going[left]] + t[left, None] * step[left], going[left])
-            fine = got <= value[going[left]] + 1e-4 * t[left] * slope[left]
-            new_value[left[fine]], new_g[left[fine]] = got[fine], slopes[fine]
-            left = left[~fine]
-            t[left] /= 2
-            left = left[t[left] > 1e-10]
-        moved = np.isfinite(new_value)
-        going, step = going[moved], t[moved, None] * step[moved]
-        change = new_g[moved] - g[going]
-        x[going] += step
-        value[going], g[going] = new_value[moved], new_g[moved]
-        scale = (step * change).sum(1)
+    x, going = np.array(starts, dtype=float), np.arange(m)
+    value, g = fun(x, going)
+    inverse, step, slope, t, done = np.tile(np.eye(n), (m, 1, 1)), np.zeros((m, n)), np.zeros(m), np.ones(m), np.zeros(m, dtype=int)
+
+    def aimed(at: np.ndarray) -> np.ndarray:
+        """Of these functions those that go on, each with its next step; its own step is halved while others go on."""
+        at = at[np.isfinite(value[at]) & ~(np.abs(g[at]).max(1) < 1e-5 * np.maximum(1, np.abs(value[at]))) & (done[at] < rounds)]
+        way = -(inverse[at] @ g[at][..., None])[..., 0]
+        along = (way * g[at]).sum(1)
+        if (up := ~(along < 0)).any():
+            inverse[at[up]], way[up] = np.eye(n), -g[at[up]]
+            along[up] = (way[up] * g[at[up]]).sum(1)
+        step[at], slope[at], t[at] = way, along, 1.0
+        return at
+
+    going = aimed(going)
+    while len(going):
+        move = t[going, None] * step[going]
+        got, slopes = fun(x[going] + move, going)
+        fine = got <= value[going] + 1e-4 * t[going] * slope[going]
+        short, at = going[~fine], going[fine]
+        t[short] /= 2
+        s, c = move[fine], slopes[fine] - g[at]
+        x[at] += s
+        value[at], g[at], done[at] = got[fine], slopes[fine], done[at] + 1
+        scale = (s * c).sum(1)
         if (curved := scale > 1e-12).any():
-            at, s, c, k = going[curved], step[curved], change[curved], scale[curved][:, None]
-            old = inverse[at]
+            s, c, k, old = s[curved], c[curved], scale[curved][:, None, None], inverse[at[curved]]
             h = (old @ c[..., None])[..., 0]
             both = s[:, :, None] * h[:, None]
-            inverse[at] = old - (both + both.transpose(0, 2, 1)) / k[..., None] + (1 + (c * h).sum(1)[:, None, None] / k[..., None]) * (s[:, :, None] * s[:, None]) / k[..., None]
+            inverse[at[curved]] = old - (both + both.transpose(0, 2, 1)) / k + (1 + (c * h).sum(1)[:, None, None] / k) * (s[:, :, None] * s[:, None]) / k
+        going = np.sort(np.concatenate((short[t[short] > 1e-10], aimed(at))))
     return x, value, np.isfinite(value) & (np.abs(g).max(1) < 1e-3 * np.maximum(1, np.abs(value)))
 
 
-def simplex(fun: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Nelder and Mead's search, for where gradients fail."""
-    points = [np.asarray(start, dtype=float)] + [start + (0.1 * max(1, abs(start[k]))) * e for k, e in enumerate(np.eye(len(start)))]
-    values = [fun(p) for p in points]
+def simplex_many(fun: Callable[[np.ndarray, np.ndarray], np.ndarray], starts: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Nelder and Mead's search, for where gradients fail, on many functions at once; fun as in minimise_many, without gradients."""
+    m, n = starts.shape
+    points = np.repeat(starts[:, None], n + 1, axis=1)
+    points[:, 1:] += 0.1 * np.maximum(1, np.abs(starts))[:, :, None] * np.eye(n)
+    values = np.stack([fun(points[:, k], np.arange(m)) for k in range(n + 1)], axis=1)
+    going = np.arange(m)
     for _ in range(rounds):
-        order = np.argsort(values)
-        points, values = [points[k] for k in order], [values[k] for k in order]
-        if values[-1] - values[0] < 1e-10 * (1 + abs(values[0])):
-            break
-        centre = np.mean(points[:-1], axis=0)
-        at = {k: centre + k * (points[-1] - centre) for k in (-1.0, -2.0, 0.5)}
-        mirrored = fun(at[-1.0])
-        if mirrored < values[0]:
-            further = fun(at[-2.0])
-            points[-1], values[-1] = (at[-2.0], further) if further < mirrored else (at[-1.0], mirrored)
-        elif mirrored < values[-2]:
-            points[-1], values[-1] = at[-1.0], mirrored
-        elif (inner := fun(at[0.5])) < values[-1]:
-            points[-1], values[-1] = at[0.5], inner
-        else:
-            points = [points[0]] + [(p + points[0]) / 2 for p in points[1:]]
-            values = [values[0]] + [fun(p) for p in points[1:]]
-    return points[0], float(values[0])
-
-
-def root(fun: Callable[[float], float], low: float, high: float) -> float:
-    """A root in a bracket, by bisection."""
-    side = fun(low) > 0
-    for _ in range(200):
-        middle = (low + high) / 2
-        if (fun(middle) > 0) == side:
-            low = middle
-        else:
-            high = middle
-        if high - low < 1e-12 * max(1, abs(high)):
+        order = np.argsort(values[going], axis=1, kind="stable")
+        points[going], values[going] = np.take_along_axis(points[going], order[..., None], 1), np.take_along_axis(values[going], order, 1)
+        going = going[~(values[going, -1] - values[going, 0] < 1e-10 * (1 + np.abs(values[going, 0])))]
+        if not len(going):
             break
-    return (low + high) / 2
+        centre, worst = points[going, :-1].mean(1), points[going, -1]
+        at = 2 * centre - worst
+        got = fun(at, going)
+        best, poor = got < values[going, 0], ~(got < values[going, -2])
+        if best.any():
+            further = 3 * centre[best] - 2 * worst[best]
+            more = fun(further, going[best])
+            better = more < got[best]
+            at[np.flatnonzero(best)[better]], got[np.flatnonzero(best)[better]] = further[better], more[better]
+        shrunk = np.zeros(len(going), dtype=bool)
+        if poor.any():
+            inner = (centre[poor] + worst[poor]) / 2
+            less = fun(inner, going[poor])
+            fine = less < values[going[poor], -1]
+            at[poor], got[poor], shrunk[poor] = inner, less, ~fine
+        kept = going[~shrunk]
+        points[kept, -1], values[kept, -1] = at[~shrunk], got[~shrunk]
+        if shrunk.any():
+            small = going[shrunk]
+            points[small, 1:] = (points[small, 1:] + points[small, :1]) / 2
+            for k in range(1, n + 1):
+                values[small, k] = fun(points[small, k], small)
+    least = values.argmin(1)
+    return points[np.arange(m), least], values[np.arange(m), least]

@@ -4,12 +4,14 @@ quantiles, seasonal point processes of exceedances, and their return levels."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 
-from .special import minimise, root, simplex
+from .special import minimise_many, simplex_many
 
+#: Processes whose grids are worked on at a time: their intermediate results stay in a core's cache.
+BLOCK = 48
 #: Largest shape of a process, either way.
 WIDEST = 0.95
 
@@ -153,137 +155,273 @@ def held(t: np.ndarray, runs: Sequence[tuple[float, float]]) -> np.ndarray:
     return out
 
 
-def quantile_line(t: np.ndarray, v: np.ndarray, q: float, harmonics: int = 1, rounds: int = 60) -> np.ndarray:
-    """Coefficients of the seasonal line with a share q below it: least pinball loss by reweighted squares."""
-    x, scale = design(t, harmonics), max(float(np.std(v)), 1e-12)
-    beta = np.linalg.lstsq(x, v, rcond=None)[0]
+def quantile_lines(x: np.ndarray, v: np.ndarray, known: np.ndarray, q: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Coefficients of the lines with shares q of the known values below them: least pinball loss by reweighted squares.
+
+    x: [series, value, column]; v and known: [series, value].
+    """
+    # on uncorrelated columns, with one correction of each solution; what depends on other columns is left out
+    _, size, turn = np.linalg.svd(x * known[..., None], full_matrices=False)
+    dead = size <= size[:, :1] * np.finfo(float).eps * max(x.shape[1:])
+    mixed = turn.transpose(0, 2, 1) * np.where(dead, 0.0, 1 / np.where(dead, 1.0, size))[:, None]
+    x, n = (x * known[..., None]) @ mixed, known.sum(1)
+    v = np.where(known, v, 0.0)
+    mean = v.sum(1) / n
+    scale = np.maximum(np.sqrt((known * (v - mean[:, None]) ** 2).sum(1) / n), 1e-12)
+    q, beta = q[:, None], (x.transpose(0, 2, 1) @ v[..., None])[..., 0]
     for k in range(rounds):
-        rest = v - x @ beta
-        w = np.where(rest >= 0, q, 1 - q) / np.maximum(np.abs(rest), scale * 10 ** (-1 - 5 * k / rounds))
-        beta = np.linalg.lstsq(x * np.sqrt(w)[:, None], v * np.sqrt(w), rcond=None)[0]
-    return beta
-
-
-def process_loss(p: np.ndarray, grid: np.ndarray, width: np.ndarray, u_grid: np.ndarray, x_events: np.ndarray, v: np.ndarray) -> float:
-    """Negative log-likelihood of exceedances v of u(t), with location design @ beta, scale exp, shape; width: trapezoid weights."""
-    beta, sigma, shape = p[:-2], math.exp(min(max(p[-2], -50), 50)), p[-1]
-    z_grid, z = (u_grid - grid @ beta) / sigma, (v - x_events @ beta) / sigma
-    if abs(shape) < 1e-6:
-        rate, log_density = np.exp(np.clip(-z_grid, -700, 700)), -z - math.log(sigma)
-    else:
-        a, b = 1 + shape * z_grid, 1 + shape * z
-        if b.min(initial=1.0) <= 0 or a.min() <= 0:
-            return 1e10
-        rate = a ** (-1 / shape)
-        log_density = -(1 + 1 / shape) * np.log(b) - math.log(sigma)
-    value = float(width @ rate) - float(log_density.sum())
-    return value if np.isfinite(value) else 1e10
+        rest = v - (x @ beta[..., None])[..., 0]
+        w = known * np.where(rest >= 0, q, 1 - q) / np.maximum(np.abs(rest), scale[:, None] * 10 ** (-1 - 5 * k / rounds))
+        across = (x * w[..., None]).transpose(0, 2, 1)
+        square = np.linalg.inv(across @ x + dead[..., None] * np.eye(x.shape[2]))
+        for _ in range(2):
+            beta = beta + (square @ (across @ (v - (x @ beta[..., None])[..., 0])[..., None]))[..., 0]
+    return (mixed @ beta[..., None])[..., 0]
 
 
-def process_fit(t: np.ndarray, v: np.ndarray, event_t: np.ndarray, event_v: np.ndarray, u_beta: np.ndarray, points: int = 256, harmonics: int = 1, runs: Sequence[tuple[float, float]] = ()) -> dict:
-    """Location line, scale and shape of the likeliest process; t is in years from the January of the first year.
+def quantile_line(t: np.ndarray, v: np.ndarray, q: float, harmonics: int = 1, rounds: int = 60) -> np.ndarray:
+    """Coefficients of the seasonal line with a share q below it."""
+    return quantile_lines(design(t, harmonics)[None], v[None], np.ones((1, len(v))), np.array([q]), rounds)[0]
+
+
+class Processes:
+    """Negative log-likelihoods of many series' exceedances and their slopes; location design @ beta, scale exp, shape.
+
+    A point is a row beta..., logarithm of scale, shape.  grid, u_grid and width: an even grid's design, threshold and
+    trapezoid weights; events, v and there: the exceedances' design and values, and which of the padded ones there are.
+    Grids are one for each place, which series share.
+    """
+
+    def __init__(self, grid: np.ndarray, place: np.ndarray, u_grid: np.ndarray, width: np.ndarray, events: np.ndarray, v: np.ndarray, there: np.ndarray):
+        self.grid, self.place, self.u_grid, self.width, self.events, self.v, self.there = grid, place, u_grid, width, events, v, there
+
+    def loss(self, p: np.ndarray, which: np.ndarray, slopes: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 1e10 where an exceedance or a level is impossible, and slopes (0 there)."""
+        with np.errstate(all="ignore"):
+            parts = [self._loss(p[k : k + BLOCK], which[k : k + BLOCK], slopes) for k in range(0, len(p), BLOCK)]
+        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+    def _loss(self, p: np.ndarray, which: np.ndarray, slopes: bool) -> tuple[np.ndarray, np.ndarray]:
+        grid, events, width, there = self.grid[self.place[which]], self.events[which], self.width[which, None], self.there[which]
+        beta, sigma, shape = p[:, :-2], np.exp(np.clip(p[:, -2], -50, 50))[:, None], p[:, -1][:, None]
+        n = there.sum(1)
+        z_grid = (self.u_grid[which] - (grid @ beta[..., None])[..., 0]) / sigma
+        z = there * (self.v[which] - (events @ beta[..., None])[..., 0]) / sigma
+        if not p[:, -1].any():  # all of shape 0
+            weighted = np.exp(np.clip(-z_grid, -700, 700)) * width
+            weighted[:, [0, -1]] /= 2
+            value = weighted.sum(1) + z.sum(1) + n * np.log(sigma[:, 0])
+            possible = np.isfinite(value)
+            value = np.where(possible, value, 1e10)
+            if not slopes:
+                return value, value
+            to_beta = ((weighted[:, None] @ grid)[:, 0] - (there[:, None] @ events)[:, 0]) / sigma
+            rest = [(weighted * z_grid).sum(1) - z.sum(1) + n, (weighted * z_grid**2).sum(1) / 2 + (z - z**2 / 2).sum(1)]
+            slope = np.concatenate((to_beta, np.stack(rest, axis=1)), axis=1)
+            return value, np.where(possible[:, None] & np.isfinite(slope), slope, 0.0)
+        flat = np.abs(shape) < 1e-6
+        a, b, safe = np.where(flat, 1.0, 1 + shape * z_grid), np.where(flat, 1.0, 1 + shape * z), np.where(flat, 1.0, shape)
+        possible = (a.min(1) > 0) & (b.min(1) > 0)
+        log_a, log_b = np.log(a), np.log(b)
+        weighted = np.exp(np.where(flat, np.clip(-z_grid, -700, 700), -log_a / safe))
+        weighted *= width
+        weighted[:, [0, -1]] /= 2
+        value = weighted.sum(1) + np.where(flat, z, (1 + 1 / safe) * log_b).sum(1) + n * np.log(sigma[:, 0])
+        possible &= np.isfinite(value)
+        value = np.where(possible, value, 1e10)
+        if not slopes:
+            return value, value
+        by_z_grid, by_z = -weighted / a, there * np.where(flat, 1.0, (1 + shape) / b)
+        to_beta = -((by_z_grid[:, None] @ grid)[:, 0] + (by_z[:, None] @ events)[:, 0]) / sigma
+        to_log = -(by_z_grid * z_grid).sum(1) - (by_z * z).sum(1) + n
+        curved = np.where(flat, z_grid**2 / 2, log_a / safe**2 - z_grid / (safe * a))
+        bent = there * np.where(flat, z - z**2 / 2, (1 + 1 / safe) * z / b - log_b / safe**2)
+        to_shape = (weighted * curved).sum(1) + bent.sum(1)
+        slope = np.concatenate((to_beta, to_log[:, None], to_shape[:, None]), axis=1)
+        return value, np.where(possible[:, None] & np.isfinite(slope), slope, 0.0)
+
+
+def process_fits(times: Sequence[np.ndarray], values: Sequence[np.ndarray], event_times: Sequence[np.ndarray], event_values: Sequence[np.ndarray], lines: Sequence[np.ndarray], points: int = 256, harmonics: int = 1, runs: Sequence[Sequence[tuple[float, float]]] | None = None) -> list[dict | None]:
+    """Location line, scale and shape of each series' likeliest process, None where no start has a likelihood; t is in years from the January of the first year.
 
     The fit of shape 0 comes first, which has no ends of its range; fits of a free shape start from it.  With few
     events these may have no maximum (a line through the events with their range's end just below it has any
     likelihood); then the fit of shape 0 stands.  Location and threshold are constant over each of the runs.
     The covariance is the inverse of the loss's curvature, None where that isn't positive definite; a shape of 0 is
-    held there.
+    held there.  All series are searched at once.
     """
-    duration = float(t.max() - t.min()) + 1 / 12
-    at = np.linspace(0, duration, points)
-    width = np.full(points, duration / (points - 1))
-    width[[0, -1]] /= 2
-    grid, x_events = design(held(at, runs), harmonics), design(held(event_t, runs), harmonics)
+    m, d = len(times), 2 + 2 * harmonics
+    runs = runs or [()] * m
+    kinds: dict[tuple, int] = {}  # series with the same months share a grid
+    duration = np.array([float(t.max() - t.min()) + 1 / 12 for t in times])
+    place = np.array([kinds.setdefault((x, tuple(r)), len(kinds)) for x, r in zip(duration.tolist(), runs)])
+    grids = np.stack([design(held(np.linspace(0, x, points), r), harmonics) for x, r in kinds])
     # in units of the values' deviation, and on uncorrelated columns: one step size fits all parameters
-    mean, unit = float(np.mean(v)), float(np.std(v)) or 1.0
-    mixed = np.linalg.inv(np.linalg.qr(grid)[1]) * math.sqrt(points)
-    grid, x_events, event_v = grid @ mixed, x_events @ mixed, (event_v - mean) / unit
-    line = np.linalg.solve(mixed, (u_beta - mean * np.eye(len(u_beta))[0]) / unit)
-    u_grid = grid @ line
-
-    def at_shape(p: np.ndarray, shape: float) -> float:
-        return process_loss(np.append(p, shape), grid, width, u_grid, x_events, event_v)
-
-    def free(p: np.ndarray) -> float:  # the shape as a hyperbolic tangent stays within its bounds
-        return at_shape(p[:-1], WIDEST * math.tanh(p[-1]))
-
-    shape, scale, known = pareto_fit(np.maximum(event_v - x_events @ line, 0.0))
-    start = np.append(line, math.log(scale if known and scale > 0 else 0.5))
-    flat, value, fine = minimise(lambda p: at_shape(p, 0.0), start, 80)
-    if not fine:
-        flat, value, fine = minimise(lambda p: at_shape(p, 0.0), simplex(lambda p: at_shape(p, 0.0), flat, 300)[0], 80)
-    if not value < 1e9:
-        raise ValueError("no start has a likelihood")
-    point = np.append(flat, 0.0)
-    for begin in (min(max(shape, -0.5), 0.5) if known else 0.1, -0.1, 0.1):
-        found, lower, done = minimise(free, np.append(flat, math.atanh(begin / WIDEST)), 80)
-        if done and lower < 1e9 and (lower < value or not fine):
-            point, value, fine = found, lower, True
-        if done and abs(lower - value) < 1e-5 * (1 + abs(value)):
+    mean, unit = np.array([float(np.mean(v)) for v in values]), np.array([float(np.std(v)) or 1.0 for v in values])
+    mixes = np.linalg.inv(np.linalg.qr(grids, mode="r")) * math.sqrt(points)
+    grids, mixed = grids @ mixes, mixes[place]
+    most = max(len(t) for t in event_times)
+    there, x_events, v_events = np.zeros((m, most)), np.zeros((m, most, d)), np.zeros((m, most))
+    for k, (t, v, r) in enumerate(zip(event_times, event_values, runs)):
+        there[k, : len(t)], x_events[k, : len(t)], v_events[k, : len(t)] = 1.0, design(held(t, r), harmonics) @ mixed[k], (v - mean[k]) / unit[k]
+    first = np.eye(d)[0]
+    line = np.linalg.solve(mixed, ((np.stack(lines) - mean[:, None] * first) / unit[:, None])[..., None])[..., 0]
+    model = Processes(grids, place, (grids[place] @ line[..., None])[..., 0], duration / (points - 1), x_events, v_events, there)
+
+    def level(p: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # of shape 0
+        value, slope = model.loss(np.pad(p, ((0, 0), (0, 1))), which)
+        return value, slope[:, :-1]
+
+    def free(p: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # the shape as a hyperbolic tangent stays within its bounds
+        bent = np.tanh(p[:, -1:])
+        value, slope = model.loss(np.concatenate((p[:, :-1], WIDEST * bent), axis=1), which)
+        slope[:, -1:] *= WIDEST * (1 - bent**2)
+        return value, slope
+
+    tail = [pareto_fit(np.maximum(v_events[k, : len(t)] - x_events[k, : len(t)] @ line[k], 0.0)) for k, t in enumerate(event_times)]
+    start = np.array([math.log(scale if fine and scale > 0 else 0.5) for _, scale, fine in tail])
+    flat, value, fine = minimise_many(level, np.concatenate((line, start[:, None]), axis=1), 80)
+    if len(poor := np.flatnonzero(~fine)):
+        again = simplex_many(lambda p, which: model.loss(np.pad(p, ((0, 0), (0, 1))), poor[which], False)[0], flat[poor], 300)[0]
+        flat[poor], value[poor], fine[poor] = minimise_many(lambda p, which: level(p, poor[which]), again, 80)
+    able = value < 1e9
+    point, left = np.pad(flat, ((0, 0), (0, 1))), np.flatnonzero(able)
+    for begin in (np.array([min(max(shape, -0.5), 0.5) if known else 0.1 for shape, _, known in tail]), np.full(m, -0.1), np.full(m, 0.1)):
+        if not len(left):
             break
-    natural = np.concatenate((point[:-2], [math.exp(min(max(point[-2], -50), 50)), WIDEST * math.tanh(point[-1])]))
-    curved = lambda p: at_shape(np.append(p[: len(line)], math.log(max(p[len(line)], 1e-20))), p[-1] if len(p) > len(flat) else 0.0)
-    spread = covariance(curved, natural if natural[-1] else natural[:-1])
-    if spread is not None and not natural[-1]:
-        spread = np.pad(spread, (0, 1))
-    back = np.zeros((len(natural), len(natural)))
-    back[:-2, :-2], back[-2, -2], back[-1, -1] = mixed * unit, unit, 1.0
-    theta = back @ natural
-    theta[0] += mean
-    return {"beta": theta[:-2], "sigma": float(theta[-2]), "shape": float(theta[-1]), "loss": value + len(event_v) * math.log(unit), "converged": bool(fine), "duration": duration, "harmonics": harmonics, "covariance": None if spread is None else back @ spread @ back.T}
-
-
-def covariance(loss: Callable[[np.ndarray], float], point: np.ndarray) -> np.ndarray | None:
-    """The inverse of the loss's second differences, if these are positive definite."""
-    n, steps = len(point), np.diag(1e-4 * np.maximum(np.abs(point), 1e-2))
-    curve = np.empty((n, n))
-    for i in range(n):
-        for j in range(i + 1):
-            a, b = steps[i], steps[j]
-            corners = [loss(point + a + b), loss(point + a - b), loss(point - a + b), loss(point - a - b)]
-            if max(corners) > 1e9:
-                return None
-            curve[i, j] = curve[j, i] = (corners[0] - corners[1] - corners[2] + corners[3]) / (4 * a[i] * b[j])
-    try:
-        np.linalg.cholesky(curve)
-        return np.linalg.inv(curve)
-    except np.linalg.LinAlgError:
-        return None
-
-
-def yearly_rate(theta: np.ndarray, level: float, x: np.ndarray) -> float:
-    """How often a year the process passes a level, on average over the rows of an even grid's design."""
-    beta, sigma, shape = theta[:-2], theta[-2], theta[-1]
-    z = (level - x @ beta) / sigma
-    a = 1 + shape * z
-    per = np.exp(np.clip(-z, -700, 700)) if abs(shape) < 1e-6 else np.where(a > 0, np.maximum(a, 1e-12) ** (-1 / shape), 0 if shape < 0 else 1e6)
-    return float((per.sum() - (per[0] + per[-1]) / 2) / (len(per) - 1))
+        found, lower, done = minimise_many(lambda p, which: free(p, left[which]), np.concatenate((flat[left], np.arctanh(begin[left] / WIDEST)[:, None]), axis=1), 80)
+        better = done & (lower < 1e9) & ((lower < value[left]) | ~fine[left])
+        taken = left[better]
+        point[taken], value[taken], fine[taken] = found[better], lower[better], True
+        left = left[~(done & (np.abs(lower - value[left]) < 1e-5 * (1 + np.abs(value[left]))))]
+    natural = np.concatenate((point[:, :-2], np.exp(np.clip(point[:, -2:-1], -50, 50)), WIDEST * np.tanh(point[:, -1:])), axis=1)
+    spread = covariances(model, natural)
+    back = np.zeros((m, d + 2, d + 2))
+    back[:, :d, :d], back[:, d, d], back[:, -1, -1] = mixed * unit[:, None, None], unit, 1.0
+    theta = (back @ natural[..., None])[..., 0]
+    theta[:, 0] += mean
+    loss = value + there.sum(1) * np.log(unit)
+    return [{"beta": theta[k, :-2], "sigma": float(theta[k, -2]), "shape": float(theta[k, -1]), "loss": float(loss[k]), "converged": bool(fine[k]), "duration": float(duration[k]), "harmonics": harmonics, "covariance": None if spread[k] is None else back[k] @ spread[k] @ back[k].T} if able[k] else None for k in range(m)]
 
 
-def process_level(fit: dict, period: float, points: int = 512) -> tuple[float, float | None]:
-    """(the level that is passed once in ``period`` years, on average over the observed time; its standard error by the delta method)."""
-    x = design(np.linspace(0, fit["duration"], points), fit["harmonics"])
-    theta = np.concatenate((fit["beta"], [fit["sigma"], fit["shape"]]))
-    location = x @ fit["beta"]
-    low, high = location.min() - 10 * fit["sigma"], location.max() + fit["sigma"]
-    over = lambda level: yearly_rate(theta, level, x) - 1 / period
+def process_fit(t: np.ndarray, v: np.ndarray, event_t: np.ndarray, event_v: np.ndarray, u_beta: np.ndarray, points: int = 256, harmonics: int = 1, runs: Sequence[tuple[float, float]] = ()) -> dict:
+    """One series' process."""
+    found = process_fits([t], [v], [event_t], [event_v], [u_beta], points, harmonics, [runs])[0]
+    if found is None:
+        raise ValueError("no start has a likelihood")
+    return found
+
+
+def covariances(model: Processes, points: np.ndarray) -> list[np.ndarray | None]:
+    """The inverse of the loss's curvature in location, scale and shape, from differences of its slopes, where that is positive definite; a shape of 0 is held."""
+    m, n = points.shape
+    every, steps, curve, able = np.arange(m), 1e-4 * np.maximum(np.abs(points), 1e-2), np.empty((m, n, n)), np.ones(m, dtype=bool)
+
+    def slope(p: np.ndarray) -> np.ndarray:
+        scale = np.maximum(p[:, -2], 1e-20)
+        value, out = model.loss(np.concatenate((p[:, :-2], np.log(scale)[:, None], p[:, -1:]), axis=1), every)
+        able[value > 1e9] = False
+        with np.errstate(all="ignore"):
+            out[:, -2] /= scale
+        return out
+
+    bent = points[:, -1] != 0
+    for k in range(n):
+        move = np.zeros((m, n))
+        move[:, k] = steps[:, k] * (bent if k == n - 1 else 1)
+        curve[:, k] = (slope(points + move) - slope(points - move)) / (2 * steps[:, k, None])
+    curve = (curve + curve.transpose(0, 2, 1)) / 2
+    curve[~bent, -1], curve[~bent, :, -1], curve[~bent, -1, -1] = 0.0, 0.0, 1.0
+    able &= np.isfinite(curve).all((1, 2))
+    able[able] = np.linalg.eigvalsh(curve[able]).min(1) > 0
+    out: list = [None] * m
+    for k, spread in zip(np.flatnonzero(able), np.linalg.inv(curve[able])):
+        if not bent[k]:
+            spread[-1, -1] = 0.0
+        out[k] = spread if (np.diag(spread) >= 0).all() else None
+    return out
+
+
+def yearly_rates(theta: np.ndarray, level: np.ndarray, x: np.ndarray, slopes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often a year each process passes its level, on average over the rows of an even grid's design; its slopes in level and parameters."""
+    sigma, shape = theta[:, -2:-1], theta[:, -1:]
+    flat = np.abs(shape) < 1e-6
+    z = (level[:, None] - (x @ theta[:, :-2, None])[..., 0]) / sigma
+    a, safe = np.where(flat, 1.0, 1 + shape * z), np.where(flat, 1.0, shape)
+    inside = a > 0
+    log_a = np.log(np.where(inside, np.maximum(a, 1e-12), 1.0))
+    per = np.where(inside, np.exp(np.where(flat, np.clip(-z, -700, 700), -log_a / safe)), np.where(shape < 0, 0.0, 1e6)) / (x.shape[1] - 1)
+    per[:, [0, -1]] /= 2
+    by_z = np.where(inside, -per / np.where(inside, np.maximum(a, 1e-12), 1.0), 0.0)
+    to_level = by_z.sum(1) / sigma[:, 0]
+    if not slopes:
+        return per.sum(1), to_level, to_level
+    curved = np.where(inside, per * np.where(flat, z**2 / 2, log_a / safe**2 - z / (safe * np.where(inside, np.maximum(a, 1e-12), 1.0))), 0.0)
+    to_theta = np.concatenate((-(by_z[:, None] @ x)[:, 0] / sigma, -(by_z * z).sum(1)[:, None] / sigma, curved.sum(1)[:, None]), axis=1)
+    return per.sum(1), to_level, to_theta
+
+
+def process_levels(fits: Sequence[dict], period: float, points: int = 512) -> list[tuple[float | None, float | None]]:
+    """(the level that each process passes once in ``period`` years, on average over the observed time; its standard error by the delta method); None if none is found."""
+    if not fits:
+        return []
+    with np.errstate(all="ignore"):
+        return _levels(fits, period, points)
+
+
+def _levels(fits: Sequence[dict], period: float, points: int) -> list[tuple[float | None, float | None]]:
+    axes = {(f["duration"], f["harmonics"]): None for f in fits}
+    axes = {key: design(np.linspace(0, key[0], points), key[1]) for key in axes}
+    x = np.stack([axes[f["duration"], f["harmonics"]] for f in fits])
+    theta = np.stack([np.concatenate((f["beta"], [f["sigma"], f["shape"]])) for f in fits])
+    location, sigma = (x @ theta[:, :-2, None])[..., 0], theta[:, -2]
+    low, high = location.min(1) - 10 * sigma, location.max(1) + sigma
+
+    def over(level: np.ndarray, which: np.ndarray) -> list[np.ndarray]:
+        parts = [yearly_rates(theta[which[k : k + BLOCK]], level[k : k + BLOCK], x[which[k : k + BLOCK]]) for k in range(0, len(which), BLOCK)]
+        return [np.concatenate(part) for part in zip(*parts)]
+
+    left = np.arange(len(fits))
     for _ in range(60):
-        if over(high) <= 0:
+        left = left[over(high[left], left)[0] - 1 / period > 0]
+        if not len(left):
             break
-        high += (high - low) * 0.5
-    if not over(low) > 0 >= over(high):
+        high[left] += (high[left] - low[left]) * 0.5
+    every = np.arange(len(fits))
+    good = (over(low, every)[0] > 1 / period) & (over(high, every)[0] <= 1 / period)
+    level, left = (low + high) / 2, np.flatnonzero(good)
+    for k in range(200):  # Newton's steps on the rate's logarithm, halving where they leave the bracket, and for slow ones
+        if not len(left):
+            break
+        at = level[left]
+        rate, slope, _ = over(at, left)
+        above = rate > 1 / period
+        low[left], high[left] = np.where(above, at, low[left]), np.where(above, high[left], at)
+        new = at - np.log(rate * period) * rate / slope
+        inside = (new > low[left]) & (new < high[left]) & (k < 8 or k % 4 == 0)
+        level[left] = np.where(inside, new, (low[left] + high[left]) / 2)
+        tolerance = 1e-12 * np.maximum(1, np.abs(high[left]))
+        close = np.abs(new - at) < tolerance
+        level[left[close]] = at[close]
+        left = left[~(close | (high[left] - low[left] < tolerance))]
+    _, slope, moved = yearly_rates(theta, level, x, True)
+    out: list = [(None, None)] * len(fits)
+    for k in np.flatnonzero(good):
+        error = None
+        if fits[k]["covariance"] is not None and slope[k] < 0:
+            by = moved[k] / -slope[k]
+            variance = float(by @ fits[k]["covariance"] @ by)
+            error = math.sqrt(variance) if variance >= 0 else None
+        out[k] = float(level[k]), error
+    return out
+
+
+def process_level(fit: dict, period: float, points: int = 512) -> tuple[float, float | None]:
+    """One process's level and its standard error."""
+    level, error = process_levels([fit], period, points)[0]
+    if level is None:
         raise ValueError("no level has this period")
-    level = root(over, low, high)
-    if fit["covariance"] is None:
-        return level, None
-    h = 1e-5 * max(abs(level), fit["sigma"])
-    slope = (yearly_rate(theta, level + h, x) - yearly_rate(theta, level - h, x)) / (2 * h)
-    if not slope < 0:
-        return level, None
-    steps = np.diag(1e-5 * np.maximum(np.abs(theta), 1e-2))
-    moved = np.array([(yearly_rate(theta + s, level, x) - yearly_rate(theta - s, level, x)) / (2 * s.max()) for s in steps]) / -slope
-    variance = float(moved @ fit["covariance"] @ moved)
-    return level, math.sqrt(variance) if variance >= 0 else None
+    return level, error
 
 
 def threshold_stability(v: np.ndarray, lower: float = 0.70, upper: float = 0.98, steps: int = 25, least: int = 8) -> list[dict]:

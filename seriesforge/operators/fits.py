@@ -23,7 +23,9 @@ from .series import by_entity
 
 MESSAGE = 500
 #: Rows of the entities that are fitted together.
-TOGETHER = 20_000
+TOGETHER = 40_000
+#: Exceedance processes of them that are searched at once.
+FITS = 2048
 
 
 def per_entity(rows: DataFrame, compute: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -182,59 +184,90 @@ def exceedance_processes(rows: DataFrame, quantiles: tuple[float, ...] = (0.95,
     harmonics: how many the lines have, or "aic" or "bic" to choose one to three for each entity and tail.
     """
 
-    def combination(t: np.ndarray, months: np.ndarray, values: np.ndarray, runs: list, tail: str, q: float) -> dict:
-        sign = 1 if tail == "high" else -1
-        v = values * sign
-        waves = harmonics if isinstance(harmonics, int) else tails.choose_harmonics(t, v, harmonics)[0]
-        line = tails.quantile_line(t, v, q, waves)
-        u = tails.design(t, waves) @ line
-        over = np.flatnonzero(v > u)
-        if not len(over):
-            raise ValueError("no exceedances")
-        groups = np.split(over, np.flatnonzero(np.diff(over) - 1 >= run) + 1)
-        peaks = np.array([g[np.argmax(v[g])] for g in groups], dtype=int)
-        fit = tails.process_fit(t, v, t[peaks], v[peaks], line, harmonics=waves, runs=runs)
-        beta, levels, errors = fit["beta"], [], []
-        for period in periods:
-            try:
-                level, error = tails.process_level(fit, period)
-            except ValueError:
-                level, error = None, None
-            levels.append(None if level is None else level * sign)
-            errors.append(error)
+    def fitted(jobs: list[dict]) -> None:
+        """Puts the result or the error of each into it; all have lines of as many harmonics."""
+        try:
+            _fit_together(jobs)
+        except (ValueError, FloatingPointError, np.linalg.LinAlgError) as error:
+            if len(jobs) == 1:  # one combination that fails leaves the others
+                jobs[0]["found"] = error
+            else:
+                for half in (jobs[: len(jobs) // 2], jobs[len(jobs) // 2 :]):
+                    fitted(half)
+
+    def _fit_together(jobs: list[dict]) -> None:
+        waves, sizes = jobs[0]["waves"], [len(j["v"]) for j in jobs]
+        known = np.arange(max(sizes)) < np.array(sizes)[:, None]
+        x, v = np.zeros((*known.shape, 2 + 2 * waves)), np.zeros(known.shape)
+        x[known], v[known] = tails.design(np.concatenate([j["t"] for j in jobs]), waves), np.concatenate([j["v"] for j in jobs])
+        lines = tails.quantile_lines(x, v, known, np.array([j["q"] for j in jobs]))
+        levels_of = (x @ lines[..., None])[..., 0]
+        for job, line, u, n in zip(jobs, lines, levels_of, sizes):
+            over = np.flatnonzero(job["v"] > u[:n])
+            job |= {"line": line, "u": u[:n], "groups": np.split(over, np.flatnonzero(np.diff(over) - 1 >= run) + 1), "found": ValueError("no exceedances")}
+        jobs = [j for j in jobs if len(j["groups"][0])]
+        for job in jobs:
+            job["peaks"] = np.array([g[np.argmax(job["v"][g])] for g in job["groups"]], dtype=int)
+        if not jobs:
+            return
+        found = tails.process_fits([j["t"] for j in jobs], [j["v"] for j in jobs], [j["t"][j["peaks"]] for j in jobs], [j["v"][j["peaks"]] for j in jobs], [j["line"] for j in jobs], harmonics=waves, runs=[j["runs"] for j in jobs])
+        for job, fit in zip(jobs, found):
+            job["found"] = ValueError("no start has a likelihood")
+            job["fit"] = fit
+        jobs = [j for j in jobs if j["fit"] is not None]
+        by_period = [tails.process_levels([j["fit"] for j in jobs], period) for period in periods]
+        for job, levels in zip(jobs, zip(*by_period)):
+            job["found"] = result(job, levels)
+
+    def result(job: dict, found: tuple) -> dict:
+        fit, peaks, sign, runs, waves = job["fit"], job["peaks"], job["sign"], job["runs"], job["waves"]
+        beta = [float(b) for b in fit["beta"]]
+        levels, errors = [None if x is None else x * sign for x, _ in found], [e for _, e in found]
         ends = [[None if e is None else x + k * 1.96 * e for x, e in zip(levels, errors)] for k in (-1, 1)]
-        location = tails.design(tails.held(t[peaks], runs), waves) @ beta
-        clusters = [{"month_ordinal": int(months[p]), "cluster_size": len(g), "value": float(v[p]), "threshold": float(u[p]), "location": float(m)} for p, g, m in zip(peaks, groups, location)]
-        return {"converged": fit["converged"], "log_likelihood": -fit["loss"], "threshold": float(np.median(u)), "n_extremes": len(peaks), "n_observations": len(v), "n_frozen_months": sum(round((b - a) * 12) for a, b in runs), "beta0": beta[0], "beta1": beta[1], "sin_1": beta[2], "cos_1": beta[3], "betas": list(beta), "sigma": fit["sigma"], "xi": fit["shape"], "harmonics": waves, "levels": levels, "levels_low": ends[0], "levels_high": ends[1], "peaks": clusters}
+        location = tails.design(tails.held(job["t"][peaks], runs), waves) @ fit["beta"]
+        clusters = [{"month_ordinal": int(job["months"][p]), "cluster_size": len(g), "value": float(job["v"][p]), "threshold": float(job["u"][p]), "location": float(m)} for p, g, m in zip(peaks, job["groups"], location)]
+        return {"converged": fit["converged"], "log_likelihood": -fit["loss"], "threshold": float(np.median(job["u"])), "n_extremes": len(peaks), "n_observations": len(job["v"]), "n_frozen_months": sum(round((b - a) * 12) for a, b in runs), "beta0": beta[0], "beta1": beta[1], "sin_1": beta[2], "cos_1": beta[3], "betas": beta, "sigma": fit["sigma"], "xi": fit["shape"], "harmonics": waves, "levels": levels, "levels_low": ends[0], "levels_high": ends[1], "peaks": clusters}
 
     doubles = "beta0 double, beta1 double, sin_1 double, cos_1 double, betas array<double>, sigma double, xi double"
     fields = f"converged boolean, log_likelihood double, threshold double, n_extremes long, n_observations long, n_frozen_months long, {doubles}, harmonics int, levels array<double>, levels_low array<double>, levels_high array<double>"
-    names = [*[c.split()[0] for c in fields.split(", ")], "peaks"]
     peak = "peaks array<struct<month_ordinal:int,cluster_size:int,value:double,threshold:double,location:double>>"
 
-    def compute(frame: pd.DataFrame) -> pd.DataFrame:
-        still = np.unique(frame.loc[frame["frozen"], "month_ordinal"].to_numpy())
-        frame = frame[~frame["frozen"] & frame["value"].notna()]
-        if len(frame) < 20:
+    def jobs_of(entity: dict) -> list[dict]:
+        still, seen = np.unique(entity["month_ordinal"][entity["frozen"]]), ~entity["frozen"] & ~np.isnan(entity["value"])
+        months, values = entity["month_ordinal"][seen], entity["value"][seen]
+        if len(months) < 20:
             raise ValueError("fewer than 20 observations")
-        months = frame["month_ordinal"].to_numpy()
+        if not np.isfinite(values).all():
+            raise ValueError("a value isn't finite")
         first = months.min() // 12 * 12
         t, out = (months - first) / 12, []
-        runs = [((g[0] - first) / 12, (g[-1] + 1 - first) / 12) for g in np.split(still, np.flatnonzero(np.diff(still) > 1) + 1) if len(g)]
-        for tail in ("high", "low"):
-            for q in quantiles:
-                try:  # one combination that fails leaves the others
-                    found = combination(t, months, frame["value"].to_numpy(dtype=float), runs, tail, q) | {"message": None}
-                except (ValueError, FloatingPointError, np.linalg.LinAlgError) as error:
-                    found = dict.fromkeys(names) | {"converged": False, "message": str(error)[:MESSAGE]}
-                out.append({"tail": tail, "threshold_quantile": q, **found})
-        return pd.DataFrame(out)
+        runs = [(float(g[0] - first) / 12, float(g[-1] + 1 - first) / 12) for g in np.split(still, np.flatnonzero(np.diff(still) > 1) + 1) if len(g)]
+        for tail, sign in (("high", 1), ("low", -1)):
+            waves = harmonics if isinstance(harmonics, int) else tails.choose_harmonics(t, values * sign, harmonics)[0]
+            out += [{"tail": tail, "sign": sign, "q": q, "t": t, "months": months, "v": values * sign, "runs": runs, "waves": waves} for q in quantiles]
+        return out
+
+    def compute(entities: list[dict]) -> list:
+        out, alike = [], {}
+        for entity in entities:
+            try:
+                out.append(jobs_of(entity))
+            except ValueError as error:
+                out.append(error)
+                continue
+            for job in out[-1]:  # together: as many harmonics, about as many months
+                alike.setdefault((job["waves"], len(job["t"]).bit_length()), []).append(job)
+        for jobs in alike.values():
+            for k in range(0, len(jobs), FITS):
+                fitted(jobs[k : k + FITS])
+        rows = lambda job: job["found"] | {"message": None} if isinstance(job["found"], dict) else {"converged": False, "message": str(job["found"])[:MESSAGE]}
+        return [jobs if isinstance(jobs, Exception) else [{"tail": j["tail"], "threshold_quantile": j["q"], **rows(j)} for j in jobs] for jobs in out]
 
     series = rows.select("entity", "month_ordinal", F.col("value").cast("double").alias("value"), F.lit(False).alias("frozen"))
     if frozen is not None:
         known = frozen.join(rows.select("entity").distinct(), "entity", "left_semi")
         series = series.unionByName(known.select("entity", "month_ordinal", F.lit(None).cast("double").alias("value"), F.lit(True).alias("frozen")))
-    return per_entity(series, compute, f"tail string, threshold_quantile double, {fields}, {peak}, message string")
+    return per_entities(series, compute, f"tail string, threshold_quantile double, {fields}, {peak}, message string")
 
 
 def process_peaks(fits: DataFrame) -> DataFrame:

@@ -247,6 +247,47 @@ def test_both_methods_of_many_entities_are_compared(spark):
     assert all((r.pooled_error is None) == (r.pooled_spectral_radius is not None) and (r.tail_error is None) == (r.tail_spectral_radius is not None) for r in found)
 
 
+def test_many_exceedance_processes_are_searched_at_once():
+    """Slopes equal differences of the losses; series beside others get the fit that they get alone, and 60 take seconds."""
+    rng = np.random.default_rng(3)
+    t, found = np.arange(23 * 12) / 12, []
+    values = [100 + 20 * np.sin(2 * np.pi * t) + rng.gumbel(0, 5, len(t)) for _ in range(60)]
+    lines = tails.quantile_lines(np.tile(tails.design(t), (60, 1, 1)), np.stack(values), np.ones((60, len(t))), np.full(60, 0.9))
+    over = [np.flatnonzero(v > tails.design(t) @ line) for v, line in zip(values, lines)]
+    start = time.process_time()
+    found = tails.process_fits([t] * 60, values, [t[o] for o in over], [v[o] for v, o in zip(values, over)], list(lines))
+    levels = tails.process_levels(found, 10.0)
+    assert time.process_time() - start < 15
+    assert sum(f["converged"] for f in found) > 50 and all(level is not None for level, _ in levels)
+    for k in (0, 7):
+        alone = tails.process_fit(t, values[k], t[over[k]], values[k][over[k]], lines[k])
+        assert alone["loss"] == pytest.approx(found[k]["loss"], abs=1e-6) and tails.process_level(alone, 10.0)[0] == pytest.approx(levels[k][0], rel=1e-4)
+    grid, events = tails.design(np.linspace(0, 23, 64))[None], tails.design(t[over[0]])[None]
+    model = tails.Processes(grid, np.zeros(3, dtype=int), np.tile(grid[0] @ lines[0], (3, 1)), np.full(3, 23 / 63), np.tile(events, (3, 1, 1)), np.tile(values[0][over[0]], (3, 1)), np.ones((3, len(over[0]))))
+    p = np.array([[*lines[0], 2.0, shape] for shape in (0.1, -0.05, 0.2)])
+    _, slopes = model.loss(p, np.arange(3))
+    for k, step in enumerate(1e-5 * np.eye(6)):
+        ends = [model.loss(p + sign * step, np.arange(3), False)[0] for sign in (1, -1)]
+        assert np.allclose(slopes[:, k], (ends[0] - ends[1]) / 2e-5, rtol=1e-4, atol=1e-4)
+
+
+def test_peaks_and_residuals_do_not_depend_on_entities_beside(spark):
+    """Entities fitted together with others, of which one has too few months and one fails, have the peaks and residuals they have alone."""
+    def rows(e):
+        values, months = seasonal(seed=e)
+        return [(e, int(k // 12), int(m), int(k), float(v)) for k, (v, m) in enumerate(zip(values, months))][: 12 if e == 2 else None]
+
+    schema = "entity long, year int, month int, month_ordinal int, value double"
+    together = fits.exceedance_processes(spark.createDataFrame([r for e in range(1, 6) for r in rows(e)] + [(9, k // 12, k % 12 + 1, k, 5.0) for k in range(60)], schema).repartition(1), (0.9,)).cache()
+    alone = fits.exceedance_processes(spark.createDataFrame(rows(3), schema), (0.9,)).cache()
+    assert [r.error is None for r in together.where("entity = 2").collect()] == [False] and together.where("entity = 9").count() == 2
+    for of in (fits.process_peaks, fits.process_residuals):
+        a, b = (sorted(map(tuple, of(x).where("entity = 3").collect()), key=str) for x in (together, alone))
+        assert len(a) > 10 and len(a) == len(b)
+        for x, y in zip(a, b):
+            assert x[:4] == y[:4] and x[4:] == pytest.approx(y[4:], rel=1e-3)
+
+
 def test_one_poor_combination_leaves_the_others(spark):
     values, months = seasonal()
     values[values < np.quantile(values, 0.5)] = 90.0  # a flat low side has no clusters
