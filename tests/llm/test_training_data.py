@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -226,6 +227,26 @@ def test_region_recursion_is_exact(monkeypatch, edits):
     assert sorted(jaccard_join.join_sets(list(range(len(sets))), sets)) == want
 
 
+def test_shingles_of_many_texts():
+    """Together as alone, whatever stands beside them, and in about the time that new words take to be split."""
+    pa = pytest.importorskip("pyarrow")
+    texts = [*ODD_TEXTS, *random_texts(500), "a\0", "abcdefg", "abcdefg\x07", *("x" * n for n in (7, 8, 9, 15, 16, 17, 60)), "W" * 20]
+    keys, ends = shingles.shingle_sets(pa.array(texts)[3:])
+    for k, text in enumerate(texts[3:]):
+        assert (keys[ends[k] : ends[k + 1]] == shingles.shingle_set(text)).all()
+        w = (text or "").encode().lower().split()
+        assert ends[k + 1] - ends[k] == (len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0)
+    rows = [" ".join(f"{rng:x}w" for rng in np.random.default_rng(k).integers(1 << 40, size=1000).tolist()) for k in range(300)]
+    array, seconds = pa.array(rows), lambda run: min(_process_seconds(run) for _ in range(3))
+    assert seconds(lambda: shingles.shingle_sets(array)) < 10 * seconds(lambda: [r.encode().lower().split() for r in rows])
+
+
+def _process_seconds(run):
+    begin = time.process_time()
+    run()
+    return time.process_time() - begin
+
+
 def test_shingle_sizes():
     for text in random_texts(200, 9):
         w = text.encode().lower().split()
