@@ -11,39 +11,60 @@ import numpy as np
 from .special import minimise_many, simplex_many
 
 #: Processes whose grids are worked on at a time: their intermediate results stay in a core's cache.
-BLOCK = 48
+BLOCK = 128
+#: Processes of a grid from which on they are worked on as one matrix.
+SHARED = 32
 #: Largest shape of a process, either way.
 WIDEST = 0.95
 
 # -- generalised Pareto --------------------------------------------------------------------
 
 
-def pareto_fit(excess: np.ndarray) -> tuple[float, float, bool]:
-    """(shape, scale, converged) of the likeliest Pareto tail: Grimshaw's profile over one parameter."""
-    x = np.asarray(excess, dtype=float)
-    x = x[np.isfinite(x)]
-    if len(x) < 3 or x.min() < 0 or x.max() <= 0:
-        return math.nan, math.nan, False
+def pareto_fits(excesses: Sequence[np.ndarray]) -> list[tuple[float, float, bool]]:
+    """(shape, scale, converged) of the likeliest Pareto tail of each: Grimshaw's profile over one parameter."""
+    samples = [np.asarray(x, dtype=float) for x in excesses]
+    samples = [x[np.isfinite(x)] for x in samples]
+    out: list = [(math.nan, math.nan, False)] * len(samples)
+    alike: dict[int, list[int]] = {}
+    for k, x in enumerate(samples):
+        if not (len(x) < 3 or x.min() < 0 or x.max() <= 0):
+            alike.setdefault(len(x), []).append(k)
+    for size, members in alike.items():
+        together = max(1, 8192 // size)
+        for k in range(0, len(members), together):
+            some = members[k : k + together]
+            for j, fit in zip(some, _pareto_fits(np.stack([samples[j] for j in some]))):
+                out[j] = fit
+    return out
+
+
+def _pareto_fits(x: np.ndarray) -> list[tuple[float, float, bool]]:
+    n, every = x.shape[1], np.arange(len(x))
 
     def profile(theta: np.ndarray) -> np.ndarray:
-        inside = 1 + theta[:, None] * x
-        shape = np.log(np.maximum(inside, 1e-300)).mean(1)
-        value = -len(x) * (np.log(np.maximum(shape / theta, 1e-300)) + shape + 1)
-        return np.where((inside.min(1) > 0) & (shape / theta > 0), value, -np.inf)
+        inside = 1 + theta[..., None] * x[:, None]
+        shape = np.log(np.maximum(inside, 1e-300)).mean(2)
+        with np.errstate(all="ignore"):
+            value = -n * (np.log(np.maximum(shape / theta, 1e-300)) + shape + 1)
+            return np.where((inside.min(2) > 0) & (shape / theta > 0) & (np.abs(theta) > 1e-12), value, -np.inf)
 
-    low = -1 / x.max()
-    grid = np.concatenate((low + np.geomspace(1e-6, 0.99, 200) * -low, np.geomspace(1e-6, 50, 200) / x.mean()))
+    low, mean = -1 / x.max(1)[:, None], x.mean(1)
+    grid = np.concatenate((low + np.geomspace(1e-6, 0.99, 200) * -low, np.geomspace(1e-6, 50, 200) / mean[:, None]), axis=1)
     for _ in range(4):
-        values = profile(grid)
-        best = int(np.argmax(values))
-        grid = np.linspace(grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)], 201)
-        grid = grid[np.abs(grid) > 1e-12]
-    theta = grid[int(np.argmax(profile(grid)))]
-    exponential = -len(x) * (math.log(x.mean()) + 1)
-    if not profile(np.array([theta]))[0] > exponential:
-        return 0.0, float(x.mean()), True
-    shape = float(np.log1p(theta * x).mean())
-    return shape, shape / theta, True
+        best = profile(grid).argmax(1)
+        grid = np.linspace(grid[every, np.maximum(0, best - 1)], grid[every, np.minimum(grid.shape[1] - 1, best + 1)], 201, axis=1)
+    values = profile(grid)
+    best = values.argmax(1)
+    theta = grid[every, best]
+    better = values[every, best] > -n * (np.log(mean) + 1)
+    shape = np.where(better, np.log1p(np.where(better, theta, 0.0)[:, None] * x).mean(1), 0.0)
+    scale = np.where(better, shape / np.where(better, theta, 1.0), mean)
+    return [(float(a), float(b), True) for a, b in zip(shape, scale)]
+
+
+def pareto_fit(excess: np.ndarray) -> tuple[float, float, bool]:
+    """One sample's tail."""
+    return pareto_fits([excess])[0]
 
 
 def return_level(u: float, scale: float, shape: float, period: float, exceedances: int, n: int) -> float:
@@ -197,64 +218,98 @@ class Processes:
 
     def loss(self, p: np.ndarray, which: np.ndarray, slopes: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Values, 1e10 where an exceedance or a level is impossible, and slopes (0 there)."""
+        place = self.place[which]
+        cuts = np.flatnonzero(np.diff(place)) + 1
+        if SHARED * len(cuts) >= len(p):  # few of them share a grid
+            cuts = np.empty(0, dtype=int)
+        ends = [0, *cuts.tolist(), len(p)]
+        value, slope = np.empty(len(p)), np.empty(p.shape if slopes else len(p))
         with np.errstate(all="ignore"):
-            parts = [self._loss(p[k : k + BLOCK], which[k : k + BLOCK], slopes) for k in range(0, len(p), BLOCK)]
-        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
-
-    def _loss(self, p: np.ndarray, which: np.ndarray, slopes: bool) -> tuple[np.ndarray, np.ndarray]:
-        grid, events, width, there = self.grid[self.place[which]], self.events[which], self.width[which, None], self.there[which]
-        beta, sigma, shape = p[:, :-2], np.exp(np.clip(p[:, -2], -50, 50))[:, None], p[:, -1][:, None]
-        n = there.sum(1)
-        z_grid = (self.u_grid[which] - (grid @ beta[..., None])[..., 0]) / sigma
-        z = there * (self.v[which] - (events @ beta[..., None])[..., 0]) / sigma
-        if not p[:, -1].any():  # all of shape 0
-            weighted = np.exp(np.clip(-z_grid, -700, 700)) * width
-            weighted[:, [0, -1]] /= 2
-            value = weighted.sum(1) + z.sum(1) + n * np.log(sigma[:, 0])
-            possible = np.isfinite(value)
-            value = np.where(possible, value, 1e10)
-            if not slopes:
-                return value, value
-            to_beta = ((weighted[:, None] @ grid)[:, 0] - (there[:, None] @ events)[:, 0]) / sigma
-            rest = [(weighted * z_grid).sum(1) - z.sum(1) + n, (weighted * z_grid**2).sum(1) / 2 + (z - z**2 / 2).sum(1)]
-            slope = np.concatenate((to_beta, np.stack(rest, axis=1)), axis=1)
-            return value, np.where(possible[:, None] & np.isfinite(slope), slope, 0.0)
-        flat = np.abs(shape) < 1e-6
-        a, b, safe = np.where(flat, 1.0, 1 + shape * z_grid), np.where(flat, 1.0, 1 + shape * z), np.where(flat, 1.0, shape)
-        possible = (a.min(1) > 0) & (b.min(1) > 0)
-        log_a, log_b = np.log(a), np.log(b)
-        weighted = np.exp(np.where(flat, np.clip(-z_grid, -700, 700), -log_a / safe))
-        weighted *= width
-        weighted[:, [0, -1]] /= 2
-        value = weighted.sum(1) + np.where(flat, z, (1 + 1 / safe) * log_b).sum(1) + n * np.log(sigma[:, 0])
-        possible &= np.isfinite(value)
-        value = np.where(possible, value, 1e10)
-        if not slopes:
-            return value, value
-        by_z_grid, by_z = -weighted / a, there * np.where(flat, 1.0, (1 + shape) / b)
-        to_beta = -((by_z_grid[:, None] @ grid)[:, 0] + (by_z[:, None] @ events)[:, 0]) / sigma
-        to_log = -(by_z_grid * z_grid).sum(1) - (by_z * z).sum(1) + n
-        curved = np.where(flat, z_grid**2 / 2, log_a / safe**2 - z_grid / (safe * a))
-        bent = there * np.where(flat, z - z**2 / 2, (1 + 1 / safe) * z / b - log_b / safe**2)
-        to_shape = (weighted * curved).sum(1) + bent.sum(1)
-        slope = np.concatenate((to_beta, to_log[:, None], to_shape[:, None]), axis=1)
-        return value, np.where(possible[:, None] & np.isfinite(slope), slope, 0.0)
-
-
-def process_fits(times: Sequence[np.ndarray], values: Sequence[np.ndarray], event_times: Sequence[np.ndarray], event_values: Sequence[np.ndarray], lines: Sequence[np.ndarray], points: int = 256, harmonics: int = 1, runs: Sequence[Sequence[tuple[float, float]]] | None = None) -> list[dict | None]:
+            for begin, end in zip(ends, ends[1:]):
+                for k in range(begin, end, BLOCK):
+                    block = slice(k, min(k + BLOCK, end))
+                    grid = self.grid[place[block]] if not len(cuts) and len(ends) == 2 and place[0] != place[-1] else self.grid[place[k]]
+                    self._loss(p[block], which[block], grid, value[block], slope[block] if slopes else None)
+        return value, slope if slopes else value
+
+    def _loss(self, p: np.ndarray, which: np.ndarray, grid: np.ndarray, value: np.ndarray, slope: np.ndarray | None) -> None:
+        """Puts both in; grid: of each, or of all.  Sums over a grid are of powers w of a = 1 + shape z; w z / a is (w - w / a) / shape."""
+        level = np.abs(p[:, -1]) < 1e-6
+        if level.any() and not level.all():
+            for some in (np.flatnonzero(level), np.flatnonzero(~level)):
+                v, g = np.empty(len(some)), None if slope is None else np.empty((len(some), p.shape[1]))
+                self._loss(p[some], which[some], grid[some] if grid.ndim == 3 else grid, v, g)
+                value[some] = v
+                if slope is not None:
+                    slope[some] = g
+            return
+        level, events, width, there = level.all(), self.events[which], self.width[which], self.there[which]
+        beta, log, shape = p[:, :-2], np.clip(p[:, -2], -50, 50), p[:, -1]
+        sigma, n = np.exp(log), there.sum(1)
+        across = (lambda w: w @ grid) if grid.ndim == 2 else (lambda w: (w[:, None] @ grid)[:, 0])
+        z = there * (self.v[which] - (events @ beta[..., None])[..., 0]) / sigma[:, None]
+        w = beta @ grid.T if grid.ndim == 2 else (grid @ beta[..., None])[..., 0]
+        np.subtract(self.u_grid[which], w, out=w)
+        possible = None
+        if level:
+            w *= (-1 / sigma)[:, None]
+            np.clip(w, -700, 700, out=w)
+            power = np.exp(w)
+        else:
+            w *= (shape / sigma)[:, None]
+            w += 1
+            b = 1 + shape[:, None] * z
+            possible = (w.min(1) > 0) & (b.min(1) > 0)
+            lines = np.log(w)
+            power = lines * (-1 / shape)[:, None]
+            np.exp(power, out=power)
+        power[:, [0, -1]] /= 2
+        total = power.sum(1) * width
+        if level:
+            out = total + z.sum(1) + n * log
+        else:
+            log_b = np.log(b)
+            out = total + (1 + 1 / shape) * log_b.sum(1) + n * log
+        possible = np.isfinite(out) if possible is None else possible & np.isfinite(out)
+        value[:] = np.where(possible, out, 1e10)
+        if slope is None:
+            return
+        if level:
+            by_z = there
+            slope[:, :-2] = across(power) * width[:, None]
+            power *= w
+            slope[:, -2] = -power.sum(1) * width - z.sum(1) + n
+            slope[:, -1] = (power * w).sum(1) * width / 2 + (z - z**2 / 2).sum(1)
+        else:
+            bent = np.einsum("ij,ij->i", power, lines) * width
+            power /= w
+            less = (total - power.sum(1) * width) / shape
+            by_z = there * (1 + shape[:, None]) / b
+            slope[:, :-2] = across(power) * width[:, None]
+            slope[:, -2] = less - (by_z * z).sum(1) + n
+            slope[:, -1] = bent / shape**2 - less / shape + ((1 + 1 / shape)[:, None] * z / b - log_b / (shape**2)[:, None]).sum(1)
+        slope[:, :-2] -= (by_z[:, None] @ events)[:, 0]
+        slope[:, :-2] /= sigma[:, None]
+        slope[~(possible[:, None] & np.isfinite(slope))] = 0.0
+
+
+def process_fits(times: Sequence[np.ndarray], values: Sequence[np.ndarray], event_times: Sequence[np.ndarray], event_values: Sequence[np.ndarray], lines: Sequence[np.ndarray], points: int = 256, harmonics: int = 1, runs: Sequence[Sequence[tuple[float, float]]] | None = None, spreads: bool = True) -> list[dict | None]:
     """Location line, scale and shape of each series' likeliest process, None where no start has a likelihood; t is in years from the January of the first year.
 
     The fit of shape 0 comes first, which has no ends of its range; fits of a free shape start from it.  With few
     events these may have no maximum (a line through the events with their range's end just below it has any
     likelihood); then the fit of shape 0 stands.  Location and threshold are constant over each of the runs.
-    The covariance is the inverse of the loss's curvature, None where that isn't positive definite; a shape of 0 is
+    Unless spreads is false, the covariance is the inverse of the loss's curvature, None where that isn't positive definite; a shape of 0 is
     held there.  All series are searched at once.
     """
     m, d = len(times), 2 + 2 * harmonics
     runs = runs or [()] * m
-    kinds: dict[tuple, int] = {}  # series with the same months share a grid
+    kinds: dict[tuple, int] = {}  # series with the same months share a grid, and stand together
     duration = np.array([float(t.max() - t.min()) + 1 / 12 for t in times])
     place = np.array([kinds.setdefault((x, tuple(r)), len(kinds)) for x, r in zip(duration.tolist(), runs)])
+    order = np.argsort(place, kind="stable")
+    place, duration = place[order], duration[order]
+    times, values, event_times, event_values, lines, runs = ([x[k] for k in order] for x in (times, values, event_times, event_values, lines, runs))
     grids = np.stack([design(held(np.linspace(0, x, points), r), harmonics) for x, r in kinds])
     # in units of the values' deviation, and on uncorrelated columns: one step size fits all parameters
     mean, unit = np.array([float(np.mean(v)) for v in values]), np.array([float(np.std(v)) or 1.0 for v in values])
@@ -278,7 +333,7 @@ def process_fits(times: Sequence[np.ndarray], values: Sequence[np.ndarray], even
         slope[:, -1:] *= WIDEST * (1 - bent**2)
         return value, slope
 
-    tail = [pareto_fit(np.maximum(v_events[k, : len(t)] - x_events[k, : len(t)] @ line[k], 0.0)) for k, t in enumerate(event_times)]
+    tail = pareto_fits([np.maximum(v_events[k, : len(t)] - x_events[k, : len(t)] @ line[k], 0.0) for k, t in enumerate(event_times)])
     start = np.array([math.log(scale if fine and scale > 0 else 0.5) for _, scale, fine in tail])
     flat, value, fine = minimise_many(level, np.concatenate((line, start[:, None]), axis=1), 80)
     if len(poor := np.flatnonzero(~fine)):
@@ -295,13 +350,14 @@ def process_fits(times: Sequence[np.ndarray], values: Sequence[np.ndarray], even
         point[taken], value[taken], fine[taken] = found[better], lower[better], True
         left = left[~(done & (np.abs(lower - value[left]) < 1e-5 * (1 + np.abs(value[left]))))]
     natural = np.concatenate((point[:, :-2], np.exp(np.clip(point[:, -2:-1], -50, 50)), WIDEST * np.tanh(point[:, -1:])), axis=1)
-    spread = covariances(model, natural)
+    spread = covariances(model, natural) if spreads else [None] * m
     back = np.zeros((m, d + 2, d + 2))
     back[:, :d, :d], back[:, d, d], back[:, -1, -1] = mixed * unit[:, None, None], unit, 1.0
     theta = (back @ natural[..., None])[..., 0]
     theta[:, 0] += mean
     loss = value + there.sum(1) * np.log(unit)
-    return [{"beta": theta[k, :-2], "sigma": float(theta[k, -2]), "shape": float(theta[k, -1]), "loss": float(loss[k]), "converged": bool(fine[k]), "duration": float(duration[k]), "harmonics": harmonics, "covariance": None if spread[k] is None else back[k] @ spread[k] @ back[k].T} if able[k] else None for k in range(m)]
+    found = [{"beta": theta[k, :-2], "sigma": float(theta[k, -2]), "shape": float(theta[k, -1]), "loss": float(loss[k]), "converged": bool(fine[k]), "duration": float(duration[k]), "harmonics": harmonics, "covariance": None if spread[k] is None else back[k] @ spread[k] @ back[k].T} if able[k] else None for k in range(m)]
+    return [found[k] for k in np.argsort(order)]
 
 
 def process_fit(t: np.ndarray, v: np.ndarray, event_t: np.ndarray, event_v: np.ndarray, u_beta: np.ndarray, points: int = 256, harmonics: int = 1, runs: Sequence[tuple[float, float]] = ()) -> dict:
@@ -329,7 +385,8 @@ def covariances(model: Processes, points: np.ndarray) -> list[np.ndarray | None]
     for k in range(n):
         move = np.zeros((m, n))
         move[:, k] = steps[:, k] * (bent if k == n - 1 else 1)
-        curve[:, k] = (slope(points + move) - slope(points - move)) / (2 * steps[:, k, None])
+        with np.errstate(all="ignore"):
+            curve[:, k] = (slope(points + move) - slope(points - move)) / (2 * steps[:, k, None])
     curve = (curve + curve.transpose(0, 2, 1)) / 2
     curve[~bent, -1], curve[~bent, :, -1], curve[~bent, -1, -1] = 0.0, 0.0, 1.0
     able &= np.isfinite(curve).all((1, 2))

@@ -181,6 +181,7 @@ def exceedance_processes(rows: DataFrame, quantiles: tuple[float, ...] = (0.95,
     """Both tails at each quantile: seasonal threshold, declustered exceedances, process fit, return levels with 95 % intervals; a row for each that fails.
 
     frozen (entity, month_ordinal): threshold and location stay constant over each run of these months.
+    periods: of the levels; without any, no covariances are worked out either.
     harmonics: how many the lines have, or "aic" or "bic" to choose one to three for each entity and tail.
     """
 
@@ -210,13 +211,13 @@ def exceedance_processes(rows: DataFrame, quantiles: tuple[float, ...] = (0.95,
             job["peaks"] = np.array([g[np.argmax(job["v"][g])] for g in job["groups"]], dtype=int)
         if not jobs:
             return
-        found = tails.process_fits([j["t"] for j in jobs], [j["v"] for j in jobs], [j["t"][j["peaks"]] for j in jobs], [j["v"][j["peaks"]] for j in jobs], [j["line"] for j in jobs], harmonics=waves, runs=[j["runs"] for j in jobs])
+        found = tails.process_fits([j["t"] for j in jobs], [j["v"] for j in jobs], [j["t"][j["peaks"]] for j in jobs], [j["v"][j["peaks"]] for j in jobs], [j["line"] for j in jobs], harmonics=waves, runs=[j["runs"] for j in jobs], spreads=len(periods) > 0)
         for job, fit in zip(jobs, found):
             job["found"] = ValueError("no start has a likelihood")
             job["fit"] = fit
         jobs = [j for j in jobs if j["fit"] is not None]
         by_period = [tails.process_levels([j["fit"] for j in jobs], period) for period in periods]
-        for job, levels in zip(jobs, zip(*by_period)):
+        for job, levels in zip(jobs, zip(*by_period) if by_period else [()] * len(jobs)):
             job["found"] = result(job, levels)
 
     def result(job: dict, found: tuple) -> dict:

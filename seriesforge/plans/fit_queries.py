@@ -72,13 +72,13 @@ def exceedance_processes(spark, d):
 @query()
 def process_peaks(spark, d):
     rows = A.series(spark, d)
-    return fits.process_peaks(fits.exceedance_processes(rows, frozen=A.frozen(rows)))
+    return fits.process_peaks(fits.exceedance_processes(rows, periods=(), frozen=A.frozen(rows)))
 
 
 @query()
 def process_residuals(spark, d):
     rows = A.series(spark, d)
-    return fits.process_residuals(fits.exceedance_processes(rows, frozen=A.frozen(rows)))
+    return fits.process_residuals(fits.exceedance_processes(rows, periods=(), frozen=A.frozen(rows)))
 
 
 @query()

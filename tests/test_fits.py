@@ -288,6 +288,35 @@ def test_peaks_and_residuals_do_not_depend_on_entities_beside(spark):
             assert x[:4] == y[:4] and x[4:] == pytest.approx(y[4:], rel=1e-3)
 
 
+def test_peaks_need_no_levels(spark):
+    """Without periods there are the same fits and peaks, only no levels."""
+    values, months = seasonal()
+    rows = spark.createDataFrame([(e, int(k // 12), int(m), int(k), float(v * (1 + e * (k % 5) / 50))) for e in range(3) for k, (v, m) in enumerate(zip(values, months))], "entity long, year int, month int, month_ordinal int, value double")
+    full, less = (fits.exceedance_processes(rows, (0.9,), periods=periods).cache() for periods in ((10.0,), ()))
+    assert full.where("message is null").count() == 6 and less.where("message is null and size(levels) = 0").count() == 6
+    for of in (fits.process_peaks, fits.process_residuals):
+        assert of(full).count() > 60 and sorted(map(tuple, of(full).collect())) == sorted(map(tuple, of(less).collect()))
+
+
+def test_losses_do_not_depend_on_how_grids_are_shared(monkeypatch):
+    """As one matrix or apart, at shape 0 and beside it."""
+    rng = np.random.default_rng(2)
+    grid, x = tails.design(np.linspace(0, 7, 64))[None], tails.design(rng.random((40, 5)).ravel() * 7).reshape(40, 5, 4)
+    model = tails.Processes(grid, np.zeros(40, dtype=int), rng.normal(2, 0.1, (40, 64)), np.full(40, 1 / 9), x, rng.normal(3, 0.2, (40, 5)), np.ones((40, 5)))
+    points = np.concatenate((rng.normal(0, 0.1, (40, 5)), np.where(np.arange(40) % 3, rng.uniform(-0.2, 0.2, 40), 0.0)[:, None]), axis=1)
+    together, single = model.loss(points, np.arange(40)), [model.loss(points[k : k + 1], np.array([k])) for k in range(40)]
+    apart = tails.Processes(np.repeat(grid, 40, axis=0), np.arange(40), model.u_grid, model.width, x, model.v, model.there).loss(points, np.arange(40))
+    for k in (0, 1):
+        assert np.allclose(together[k], np.concatenate([s[k] for s in single]), rtol=1e-9) and np.allclose(together[k], apart[k], rtol=1e-9)
+
+
+def test_tails_of_many_samples_are_those_of_each():
+    rng = np.random.default_rng(4)
+    samples = [rng.pareto(3, n) for n in (2, 3, 3, 7, 40, 40)] + [np.zeros(5), np.array([1.0, np.nan, 2.0, 0.5])]
+    for many, x in zip(tails.pareto_fits(samples), samples):
+        assert many == pytest.approx(tails.pareto_fit(x), nan_ok=True)
+
+
 def test_one_poor_combination_leaves_the_others(spark):
     values, months = seasonal()
     values[values < np.quantile(values, 0.5)] = 90.0  # a flat low side has no clusters
