@@ -105,7 +105,9 @@ def tail_process_events(rows: DataFrame, quantile: float = 0.95, run: int = 3) -
 
 
 def spans(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("entity").agg(F.min("month_ordinal").alias("first"), F.max("month_ordinal").alias("last"))
+    """First and last month of each entity.  Their values are counted, so that a query with spans and values sums the facts once for both."""
+    found = rows.groupBy("entity").agg(F.min("month_ordinal").alias("first"), F.max("month_ordinal").alias("last"), F.count("value").alias("n"))
+    return found.where("n >= 0").drop("n")
 
 
 def processes(rows: DataFrame, events: DataFrame) -> DataFrame:

@@ -247,6 +247,16 @@ def test_both_methods_of_many_entities_are_compared(spark):
     assert all((r.pooled_error is None) == (r.pooled_spectral_radius is not None) and (r.tail_error is None) == (r.tail_spectral_radius is not None) for r in found)
 
 
+def test_a_comparison_shares_scans_of_the_facts(spark, sf_dir):
+    """Spans of months are taken from the sums that the series have: two scans, which differ in their filters."""
+    from seriesforge.plans.registry import QUERIES
+
+    found = QUERIES["processes_compared"](spark, sf_dir)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") <= 2
+
+
 def test_many_exceedance_processes_are_searched_at_once():
     """Slopes equal differences of the losses; series beside others get the fit that they get alone, and 60 take seconds."""
     rng = np.random.default_rng(3)
