@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("seriesforge.llm.queries")
 
-from seriesforge.llm import chat_format, decontaminate, hilbert_search, jaccard_join, language_id, pii, queries, shingles, token_counts, trie_bpe, url_filters, warc  # noqa: E402
+from seriesforge.llm import chat_format, components, decontaminate, hilbert_search, jaccard_join, language_id, pii, queries, shingles, token_counts, trie_bpe, url_filters, warc  # noqa: E402
 from seriesforge.llm.vocabulary import default_vocabulary, load_word_bpe  # noqa: E402
 
 ODD_TEXTS = [None, "", " ", "\n\t", "a", "word", "don't!", "<|endoftext|>x<|startoftext|>", "ΑΣ Σς İ ǅ ½²Ⅷ", "ﬁ é é ẛ̣", "中文字 🎉👍🏽‍", "x\x1cy\x0bz\x85q", "the " * 3000, "tion" * 900, "aaaa" * 500]
@@ -170,6 +170,22 @@ def test_codewords_differ():
 # -- Jaccard join --------------------------------------------------------------------------
 
 
+def test_few_links_are_joined_in_one_task(spark, monkeypatch):
+    order = list(range(3000))
+    random.Random(3).shuffle(order)
+    rows = [(order[k], order[k + 1]) for k in range(2999) if k % 1000 != 999] + [(order[0], order[500])]  # three long paths, one with a loop
+    least = {n: min(order[k : k + 1000]) for k in range(0, 3000, 1000) for n in order[k : k + 1000]}
+    links, found = spark.createDataFrame(rows, "a long, b long"), []
+    for most in (components.TOGETHER, 40):  # with few left, at once; else by rounds until few are left
+        monkeypatch.setattr(components, "TOGETHER", most)
+        spark.sparkContext.setJobGroup(f"links {most}", "")
+        assert {r.node: r.component for r in components.components(links).collect()} == least
+        found.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"links {most}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert found[0] <= 8 and components.components(links.limit(0)).count() == 0
+    assert {r.node: r.component for r in components.components(links, stored=True).collect()} == least
+
+
 def brute_components(texts):
     sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := [x.decode() for x in (t or "").encode().lower().split()]) else set() for k, t in enumerate(texts)}
     up = {k: k for k in sets}
