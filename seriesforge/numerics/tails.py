@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from .special import minimise_many, simplex_many
+from .special import minimise_many
 
 #: Processes whose grids are worked on at a time: their intermediate results stay in a core's cache.
 BLOCK = 128
@@ -16,6 +16,8 @@ BLOCK = 128
 SHARED = 32
 #: Largest shape of a process, either way.
 WIDEST = 0.95
+#: Mean excess, over the values' deviation, up to which a threshold goes through the events: a searched line is not exact.
+ON_LINE = 1e-6
 
 # -- generalised Pareto --------------------------------------------------------------------
 
@@ -218,6 +220,23 @@ class Processes:
 
     def loss(self, p: np.ndarray, which: np.ndarray, slopes: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Values, 1e10 where an exceedance or a level is impossible, and slopes (0 there)."""
+        held = np.flatnonzero(self._held(p, which))
+        if len(held) < len(p):  # half of a search's points: their grids needn't be looked at
+            value, slope = np.full(len(p), 1e10), np.zeros(p.shape if slopes else len(p))
+            if len(held):
+                value[held], some = self._values(p[held], which[held], slopes)
+                slope[held] = some
+        else:
+            value, slope = self._values(p, which, slopes)
+        return value, slope if slopes else value
+
+    def _held(self, p: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Whether no exceedance is impossible."""
+        with np.errstate(all="ignore"):
+            z = self.there[which] * (self.v[which] - (self.events[which] @ p[:, :-2, None])[..., 0]) / np.exp(np.clip(p[:, -2:-1], -50, 50))
+            return (np.abs(p[:, -1]) < 1e-6) | ((1 + p[:, -1:] * z).min(1) > 0)
+
+    def _values(self, p: np.ndarray, which: np.ndarray, slopes: bool) -> tuple[np.ndarray, np.ndarray]:
         place = self.place[which]
         cuts = np.flatnonzero(np.diff(place)) + 1
         if SHARED * len(cuts) >= len(p):  # few of them share a grid
@@ -293,10 +312,49 @@ class Processes:
         slope[~(possible[:, None] & np.isfinite(slope))] = 0.0
 
 
+def rate_lines(grids: np.ndarray, place: np.ndarray, width: np.ndarray, sums: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Coefficients of the lines of a rate's logarithm that are likeliest for n events whose design rows have these sums: Newton's steps, halved where they don't lower the loss.
+
+    The loss is convex.  Where it has no least value but falls towards one without end, a line far enough out to be level.
+    """
+
+    def state(gamma: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        value, slope, curve = np.empty(len(which)), np.empty(gamma.shape), np.empty((*gamma.shape, gamma.shape[1]))
+        for k in range(0, len(which), BLOCK):
+            some = which[k : k + BLOCK]
+            x = grids[place[some]]
+            power = np.exp(np.clip((x @ gamma[k : k + BLOCK, :, None])[..., 0], -700, 700)) * width[some, None]
+            power[:, [0, -1]] /= 2
+            weighted = x * power[..., None]
+            value[k : k + BLOCK] = power.sum(1) - (gamma[k : k + BLOCK] * sums[some]).sum(1)
+            slope[k : k + BLOCK] = weighted.sum(1) - sums[some]
+            curve[k : k + BLOCK] = weighted.transpose(0, 2, 1) @ x
+        return value, slope, curve
+
+    gamma, left = np.zeros(sums.shape), np.arange(len(sums))
+    gamma[:, 0] = np.log(n / (width * (grids.shape[1] - 1))) / grids[place, 0, 0]  # a constant rate
+    value, slope, curve = state(gamma, left)
+    t, ridge = np.ones(len(sums)), 1e-12 * np.eye(sums.shape[1])
+    for _ in range(rounds):
+        left = left[(np.abs(slope[left]).max(1) > 1e-11 * np.maximum(1, n[left])) & (t[left] > 1e-10)]
+        if not len(left):
+            break
+        step = -np.linalg.solve(curve[left] + ridge * n[left, None, None], slope[left][..., None])[..., 0]
+        new = gamma[left] + t[left, None] * step
+        got, slopes, curves = state(new, left)
+        lower = got <= value[left] + 1e-4 * t[left] * (step * slope[left]).sum(1) + 1e-13 * np.abs(value[left])
+        at = left[lower]
+        gamma[at], value[at], slope[at], curve[at] = new[lower], got[lower], slopes[lower], curves[lower]
+        t[left] = np.where(lower, 1.0, t[left] / 2)
+    return gamma
+
+
 def process_fits(times: Sequence[np.ndarray], values: Sequence[np.ndarray], event_times: Sequence[np.ndarray], event_values: Sequence[np.ndarray], lines: Sequence[np.ndarray], points: int = 256, harmonics: int = 1, runs: Sequence[Sequence[tuple[float, float]]] | None = None, spreads: bool = True) -> list[dict | None]:
     """Location line, scale and shape of each series' likeliest process, None where no start has a likelihood; t is in years from the January of the first year.
 
-    The fit of shape 0 comes first, which has no ends of its range; fits of a free shape start from it.  With few
+    The fit of shape 0 comes first, which has no ends of its range; fits of a free shape start from it.  Over a threshold
+    that is a line as well, its scale is the mean excess, and its location is a line of the rate's logarithm, whose loss is
+    convex; there is none if the threshold goes through the events.  With few
     events these may have no maximum (a line through the events with their range's end just below it has any
     likelihood); then the fit of shape 0 stands.  Location and threshold are constant over each of the runs.
     Unless spreads is false, the covariance is the inverse of the loss's curvature, None where that isn't positive definite; a shape of 0 is
@@ -333,12 +391,13 @@ def process_fits(times: Sequence[np.ndarray], values: Sequence[np.ndarray], even
         slope[:, -1:] *= WIDEST * (1 - bent**2)
         return value, slope
 
-    tail = pareto_fits([np.maximum(v_events[k, : len(t)] - x_events[k, : len(t)] @ line[k], 0.0) for k, t in enumerate(event_times)])
-    start = np.array([math.log(scale if fine and scale > 0 else 0.5) for _, scale, fine in tail])
-    flat, value, fine = minimise_many(level, np.concatenate((line, start[:, None]), axis=1), 80)
-    if len(poor := np.flatnonzero(~fine)):
-        again = simplex_many(lambda p, which: model.loss(np.pad(p, ((0, 0), (0, 1))), poor[which], False)[0], flat[poor], 300)[0]
-        flat[poor], value[poor], fine[poor] = minimise_many(lambda p, which: level(p, poor[which]), again, 80)
+    excess = there * (v_events - (x_events @ line[..., None])[..., 0])
+    tail = pareto_fits([np.maximum(excess[k, : len(t)], 0.0) for k, t in enumerate(event_times)])
+    mean_excess, rate = excess.sum(1) / there.sum(1), rate_lines(grids, place, duration / (points - 1), (there[..., None] * x_events).sum(1), there.sum(1))
+    known, sigma = mean_excess > ON_LINE, np.where(mean_excess > 1e-12, mean_excess, 0.5)
+    flat = np.concatenate((line + sigma[:, None] * rate, np.log(sigma)[:, None]), axis=1)
+    value, slope = level(flat, np.arange(m))
+    fine = known & (np.abs(slope).max(1) < 1e-3 * np.maximum(1, np.abs(value)))
     able = value < 1e9
     point, left = np.pad(flat, ((0, 0), (0, 1))), np.flatnonzero(able)
     for begin in (np.array([min(max(shape, -0.5), 0.5) if known else 0.1 for shape, _, known in tail]), np.full(m, -0.1), np.full(m, 0.1)):

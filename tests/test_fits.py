@@ -413,3 +413,26 @@ def test_a_run_resumes(spark, tmp_path):
     assert run(ids) == 0
     with pytest.raises(ValueError):
         calculators.pending("nothing", ids, ids)
+
+
+def test_shape_zero_has_the_mean_excess_as_scale_and_the_rate_of_the_events(monkeypatch):
+    looked_at, loss = [], tails.Processes.loss
+    monkeypatch.setattr(tails.Processes, "loss", lambda self, p, *rest: looked_at.extend(p[:, -1] == 0) or loss(self, p, *rest))
+    rng = np.random.default_rng(8)
+    t = np.arange(84) / 12
+    v, line = rng.normal(size=84), np.array([2.5, 0.05, 0.3, -0.2])
+    events = np.array([5, 23, 50, 70])
+    v[events] = tails.design(t[events]) @ line + [1e-5, 4e-5, 2e-5, 3e-5]  # a threshold close below four of four events
+    fit = tails.process_fits([t], [v], [t[events]], [v[events]], [line], spreads=False)[0]
+    assert sum(looked_at) == 1  # no search for this fit
+    assert fit["converged"] and fit["shape"] == 0 and abs(fit["sigma"] - 2.5e-5) < 1e-10
+    x = tails.design(np.linspace(0, t[-1] + 1 / 12, 256))
+    weight = np.full(256, 7 / 255)
+    weight[[0, -1]] /= 2
+    rate = np.exp(x @ (fit["beta"] - line) / fit["sigma"]) * weight
+    assert np.allclose(rate @ x, tails.design(t[events]).sum(0), atol=1e-6)
+    v[events] = tails.design(t[events]) @ line  # it goes through all of them: no scale has the largest likelihood
+    try:
+        assert tails.process_fit(t, v, t[events], v[events], line)["converged"] is False
+    except ValueError as error:
+        assert "no start" in str(error)
